@@ -27,6 +27,16 @@ SKIPPABLE = 0x184D2A5E
 FILE_DOCS, MOST_FILES = 4096, 1 << 16
 
 
+def entry(key: int | None, packed: int, plain: int, digest: int) -> bytes:
+    return ENTRY.pack(key or 0, key is None, packed, plain, digest & (2**64 - 1))
+
+
+def seal(entries: list[bytes]) -> bytes:
+    """The seek table as a skippable frame."""
+    table = b"".join(entries)
+    return SKIP.pack(SKIPPABLE, len(table) + TAIL.size) + table + TAIL.pack(len(entries), len(table), MAGIC)
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, key: str = "doc_id", text: str = "text", file_docs: int = FILE_DOCS) -> DataFrame:
     """Write the ids of every whole text, end_id after each, to files in folder; return their manifest.
 
@@ -54,7 +64,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
                 for k, t in rows(b):
                     ids = own.encode(t) + end
                     at = 0 if k is None else int(np.searchsorted(bounds, k, "left"))
-                    yield at, k, len(ids), struct.unpack("<q", xxhash.xxh64(ids).digest()[::-1])[0], press.compress(ids)
+                    yield at, k, len(ids), int.from_bytes(xxhash.xxh64(ids).digest(), "big", signed=True), press.compress(ids)
 
         yield from batches(made(), schema)
 
@@ -64,8 +74,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
         done, out, at = [], None, None
 
         def close() -> None:
-            table = b"".join(entries)
-            out.write(SKIP.pack(SKIPPABLE, len(table) + TAIL.size) + table + TAIL.pack(len(entries), len(table), MAGIC))
+            out.write(seal(entries))
             out.close()
             publish(where, temporary, f"{root}/{at:08d}.ids")
             done.append((at, f"{folder}/{at:08d}.ids", len(entries), ids))
@@ -79,7 +88,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
                     temporary = f"{root}/.{at:08d}.{attempt}"
                     out = where.open_output_stream(temporary)
                 out.write(frame)
-                entries.append(ENTRY.pack(k or 0, k is None, len(frame), size, digest & (2**64 - 1)))
+                entries.append(entry(k, len(frame), size, digest))
                 ids += size // 4
         if out:
             close()
