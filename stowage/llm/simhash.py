@@ -61,15 +61,15 @@ def fingerprint(text: str | None, width: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(key, fp) of every row: the fingerprint's 64 bits as a signed integer."""
+    """(key, h, fp) of every row: a hash of the text, and the fingerprint's 64 bits as a signed integer."""
 
     def made(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
-            schema = pa.schema([b.schema.field(0), ("fp", pa.int64())])
-            yield from batches(((k, (f := fingerprint(t, width, seed)) - (f >> 63 << 64)) for k, t in rows(b)), schema)
+            schema = pa.schema([b.schema.field(0), ("h", pa.int64()), ("fp", pa.int64())])
+            yield from batches(((k, h, (f := fingerprint(t, width, seed)) - (f >> 63 << 64)) for k, h, t in rows(b)), schema)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(made, f"key {kind}, fp bigint")
+    return docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).mapInArrow(made, f"key {kind}, h bigint, fp bigint")
 
 
 @functools.cache
@@ -177,6 +177,19 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, fp: str = "fp") ->
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(found, "a bigint, b bigint")
 
 
+def classes(own: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, component_id, winner) of every distinct fingerprint: its component's smallest key, and the key and hash of the
+    row that stands for it (the smallest key's, then the smallest hash's; null keys come last)."""
+    if radius % 2:
+        raise ValueError("an even radius is needed: every pair that meets in a variant must be within it")
+    winner = F.struct(F.col("key").isNull().alias("unknown"), "key", "h")
+    groups = cut(own.groupBy("fp").agg(F.min("key").alias("component_id"), F.min(winner).alias("winner")))
+    found = connected(links(groups.select("fp"), groups.count(), radius))
+    rooted = cut(groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = cut(rooted.groupBy("root").agg(F.min("component_id").alias("component_id"), F.min("winner").alias("winner")))
+    return cut(rooted.select("fp", "root").join(least, "root").select("fp", "component_id", "winner"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = WORDS, seed: int = SEED) -> DataFrame:
     """(key, fingerprint, component_id) of every row: 16 lower-case hex digits, and the smallest key reachable by links.
 
@@ -184,12 +197,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     out as often as they came in, null keys too (they link, but name a component only if it has no other key: then it is
     null). Other columns are dropped; an empty table gives no rows. radius must be even.
     """
-    if radius % 2:
-        raise ValueError("an even radius is needed: every pair that meets in a variant must be within it")
     own = cut(fingerprints(docs, key, text, width, seed))
-    groups = cut(own.groupBy("fp").agg(F.min("key").alias("first")))
-    found = connected(links(groups.select("fp"), groups.count(), radius))
-    rooted = cut(groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    classes = cut(rooted.join(least, "root").select("fp", "component_id"))
-    return own.join(classes, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = classes(own, radius).select("fp", "component_id")
+    return own.join(found, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = WORDS, seed: int = SEED) -> DataFrame:
+    """docs with one row of each component: that with the smallest key (null keys last), of equal keys that with the
+    smallest text hash, of equal rows any one. All columns, whatever their names, stay as they are.
+    """
+    own = cut(fingerprints(docs, key, text, width, seed))
+    found = classes(own, radius).select("fp", F.col("winner.key").alias("best"), F.col("winner.h").alias("best_h"))
+    told = own.join(found, "fp").select("key", "h", (F.col("key").eqNullSafe(F.col("best")) & (F.col("h") == F.col("best_h"))).alias("stays"))
+    losers = cut(told.filter("not stays").select("key", "h").distinct())
+    again = cut(told.filter("stays").groupBy("key", "h").count().filter("count > 1").select("key", "h"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h"))
+
+    def same(other: DataFrame):
+        return whole["key"].eqNullSafe(other["key"]) & (whole["h"] == other["h"])
+
+    kept = whole.join(losers, same(losers), "left_anti")
+    if again.take(1):  # only rows that are repeated go through one more shuffle
+        kept = kept.join(again, kept["key"].eqNullSafe(again["key"]) & (kept["h"] == again["h"]), "left_anti").unionByName(kept.join(again, kept["key"].eqNullSafe(again["key"]) & (kept["h"] == again["h"]), "left_semi").dropDuplicates(["key", "h"]))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
