@@ -8,10 +8,17 @@ from __future__ import annotations
 import functools
 import os
 import re
-from collections.abc import Callable, Iterator
+import sys
+from array import array
+from collections.abc import Iterator
 
 #: Most parts that a worker remembers in each of two generations, the longest part that it remembers, and the characters handled at once.
-MEMO, LONGEST, SLAB = 400_000, 64, 1 << 20
+MEMO, LONGEST, SLAB = 600_000, 64, 1 << 20
+#: Marks that may follow a word, each a pre-token of its own.
+MARKS = frozenset(".,;:!?")
+#: The characters that stand for bytes in byte-level vocabularies: a printable one for itself, others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,8 +58,21 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(tokenizer_path(name))
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.parts: Callable[[str], list[str]] = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall if spaced else lambda t: t.replace("\n", " ").split(" ")
         self.spaced = spaced
+        self.ragged = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+        #: What can stand between parts and is one id that nothing else gives.
+        self.sep, self.sep_id = "", None
+        for sep in [f" {c}" if spaced else f" {c} " for c in "§•★♥©→…"]:
+            ids = self.lib.encode(sep, add_special_tokens=False).ids
+            if len(ids) == 1 and self.sep_id is None:
+                self.sep, self.sep_id = sep, ids[0]
+        self.marks = {m: self.raw(m) for m in MARKS}
+        #: The merges, if they can be had apart from the steps before them; a known sample must agree.
+        self.model = self.lib.model if sys.byteorder == "little" else None
+        for sample in ["stowage,", "Größe", "naïveté."] if self.model else []:
+            if self.word(f" {sample}" if spaced else sample) != self.raw(f" {sample}" if spaced else sample):
+                self.model = None
+                break
         #: What is known, and what was known before the memo was last full.
         self.memo: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -62,19 +82,42 @@ class Encoder:
 
         return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def parts(self, slab: str) -> list[str]:
+        """The parts of a text; where white space is kept, a part's own first."""
+        if not self.spaced:
+            return slab.replace("\n", " ").split(" ")
+        return self.ragged(slab)
+
     def apart(self, parts: list[str]) -> list[bytes]:
-        """The ids of each of parts, by one call of the library over all of them, told apart by their offsets."""
+        """The ids of each of parts, by one call of the library over all of them with separators between."""
         import numpy as np
 
-        if len(parts) == 1:
-            return [self.raw(parts[0])]
-        gap = "" if self.spaced else " "
-        made = self.lib.encode(gap.join(parts), add_special_tokens=False)
-        at = np.fromiter((o[0] for o in made.offsets), np.int64, len(made.offsets))
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + len(gap))
-        cuts = [0, *(4 * np.searchsorted(at, ends)).tolist()]
-        ids = np.asarray(made.ids, "<u4").tobytes()
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        text = self.sep.join(parts)
+        if self.sep_id is not None and text.count(self.sep.strip(" ")) == len(parts) - 1:
+            ids = np.asarray(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.sep_id).tolist()
+            if len(cuts) == len(parts) - 1:
+                ids = ids.tobytes()
+                return [ids[4 * a + 4 : 4 * b] for a, b in zip([-1, *cuts], [*cuts, len(ids) // 4], strict=True)]
+        return [self.raw(p) for p in parts]
+
+    def word(self, part: str) -> bytes | None:
+        """The ids of a Latin-1 word, perhaps with a mark after it, straight from the model's merges; None for all else.
+
+        Such a word is one pre-token, and so is the mark; the normalisers leave it but for its case.
+        """
+        core = part[1:] if self.spaced else part
+        tail = b""
+        if core[-1:] in MARKS:
+            core, tail = core[:-1], self.marks[core[-1]]
+        if not core.isalpha():
+            return None
+        try:
+            core.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        text = f" {core}" if self.spaced else core.lower()
+        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes() + tail
 
     def part_ids(self, parts: list[str]) -> bytes | None:
         """The ids of parts in order; None if they can't be encoded one by one."""
@@ -88,6 +131,9 @@ class Encoder:
                 return None
             made = {p: self.old[p] for p in new if p in self.old}
             made.update((p, self.raw(p)) for p in lone if p not in made)
+            if self.model:
+                plain = ((p, self.word(p)) for p in new if p not in made and (p[0] == " " or not self.spaced))
+                made.update((p, x) for p, x in plain if x is not None)
             rest = [p for p in new if p not in made]
             if rest:
                 made.update(zip(rest, self.apart(rest), strict=True))
