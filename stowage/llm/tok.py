@@ -17,6 +17,8 @@ MEMO, LONGEST, SLAB = 600_000, 64, 1 << 20
 #: Marks that may follow a word, each a pre-token of its own.
 MARKS = frozenset(".,;:!?")
 #: The characters that stand for bytes in byte-level vocabularies: a printable one for itself, others from 256 on.
+#: The byte-level vocabulary's pre-tokens.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
@@ -73,6 +75,8 @@ class Encoder:
             if self.word(f" {sample}" if spaced else sample) != self.raw(f" {sample}" if spaced else sample):
                 self.model = None
                 break
+        self.name = name
+        self.ranks = self.ranked()
         #: What is known, and what was known before the memo was last full.
         self.memo: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -144,11 +148,37 @@ class Encoder:
             self.memo.update(made if max(map(len, new)) <= LONGEST else {p: x for p, x in made.items() if len(p) <= LONGEST})
         return b"".join(got)
 
+    def ranked(self):
+        """The vocabulary as merge ranks for the faster byte-level library, None where they can't be had or don't agree.
+
+        Its patterns are the same, so ids are too; it is asked only about Latin-1 texts, whose letters, digits and white
+        space no version of Unicode tells apart.
+        """
+        if not self.spaced:
+            return None
+        try:
+            import tiktoken
+        except ImportError:
+            return None
+        chars = {chr(c): b for b, c in BYTE_CHARS.items()} | {chr(b): b for b in _PRINTABLE}
+        ranks = {bytes(map(chars.__getitem__, t)): n for t, n in self.lib.get_vocab(with_added_tokens=False).items() if t not in self.special}
+        if sorted(ranks.values()) != list(range(len(ranks))) or any(bytes([b]) not in ranks for b in range(256)):
+            return None
+        made = tiktoken.Encoding(self.name, pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        every = " ".join(f"{chr(a)}x {chr(a)}{chr(a)}  {chr(a)} 1{chr(a)}'s" for a in range(256)) + "\n \n"
+        return made if made.encode_ordinary(every) == self.lib.encode(every, add_special_tokens=False).ids else None
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if "<|" in text and any(s in text for s in self.special):
             return self.raw(text)
+        if self.ranks:
+            try:
+                text.encode("latin-1")
+                return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except UnicodeEncodeError:
+                pass
         out = []
         for slab in slabs(text):
             ids = self.part_ids(self.parts(slab))
