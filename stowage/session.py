@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,5 +23,13 @@ def session(app: str = "stowage", cores: int | str = "*", partitions: int = 8) -
     )
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it; on a cluster, pass it with --py-files instead."""
+    own, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if own not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), own]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
