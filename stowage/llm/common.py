@@ -49,6 +49,14 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
 
 
+def modest(spark: SparkSession) -> None:
+    """Fewer rows per Arrow batch than Spark's default, unless the session has its own number: documents can be long, and
+    an executor holds a batch in the JVM and in Python at once. Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def publish(files: pafs.FileSystem, temporary: str, final: str) -> None:
     """Give a finished file its name. A repeated attempt writes equal bytes, so either may win."""
     try:

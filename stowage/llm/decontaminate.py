@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, rows
+from .common import batches, modest, rows
 
 #: Words per shingle, least similarity, radius in bits, blocks of the multi-index, bytes of items per pass.
 WORDS, LEAST, RADIUS, BLOCKS, BLOCK_BYTES = 5, 0.8, 23, 8, 16 << 20
@@ -180,6 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     or items match nothing; an item of fewer words than a shingle is one shingle; items that are the same text are each
     reported; repeated rows are reported as often as they come, null keys with a null. Other columns are dropped.
     """
+    modest(docs.sparkSession)
     spark = docs.sparkSession
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     out = None
@@ -199,6 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, **options) -> DataFrame:
     """docs without the rows that hold a near copy of an item; all columns, whatever their names, stay as they are."""
+    modest(docs.sparkSession)
     spark = docs.sparkSession
     at = docs.columns.index(text)
     for items in item_passes(spark, benchmark, item, item_text, block_bytes):

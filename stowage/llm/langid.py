@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, rows
+from .common import batches, modest, rows
 
 #: N-gram lengths in bytes, buckets, dimensions, bytes handled at once.
 GRAMS, BUCKETS, DIM, SLAB = (2, 3, 4), 1 << 16, 16, 1 << 20
@@ -152,6 +152,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     if the score is below the model's limit. Repeated rows and null keys come out as often as they came in; other
     columns are dropped; an empty table gives no rows. Nothing is shuffled.
     """
+    modest(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def made(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +167,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs without the rows whose language is rejected; all columns, whatever their names, stay as they are."""
+    modest(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, rows
+from .common import batches, modest, rows
 
 #: Samples per unit, units per packet, samples a second, logical streams.
 UNIT, PACKET_UNITS, RATE, STREAMS = 192, 5, 8000, 2
@@ -169,6 +169,7 @@ def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             kind = b.schema.field(0).type
             yield from batches(made(b), pa.schema([("key", kind), ("n_bytes", pa.int64()), ("media", pa.binary())]))
 
+    modest(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(stored, f"key {kind}, n_bytes bigint, media binary").withColumnRenamed("key", key)
 

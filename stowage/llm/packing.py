@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest
 from .tok import encoder
 
 #: A window is packed once it holds as many tokens, or as many documents.
@@ -95,6 +96,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
         if ids:
             yield from flush()
 
+    modest(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return (
         docs.select(F.col(key).alias("key"), F.col(text).alias("text"))

@@ -9,6 +9,7 @@ labels on a bounded sample and then scores every whole text.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,21 +18,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, rows
+from .common import batches, cut, modest, rows
 
 #: Hash buckets of the scorer, most documents it learns from, longest text among them in bytes, bytes handled at once.
 BUCKETS, SAMPLE, SAMPLE_BYTES, SLAB = 1 << 16, 6000, 1 << 15, 1 << 20
 BAD, NONE, GOOD = 0, 1, 2
-#: (fact, bad at or beyond, good at or within): the labellers; a fact that is bad when low has its bounds the other way.
-LABELLERS: tuple[tuple[str, float, float], ...] = (
-    ("symbols", 0.03, 0.002),
-    ("capitals", 0.25, 0.06),
+#: (fact, bad at or beyond, good at or within or None): the labellers; a fact that is bad when low has its bounds the
+#: other way. Most see one defect only and say nothing of other texts; the last three look at a text as a whole, so that
+#: every defect is in the view of two at least.
+LABELLERS: tuple[tuple[str, float, float | None], ...] = (
+    ("symbols", 0.03, None),
+    ("capitals", 0.25, None),
+    ("runs", 0.10, None),
+    ("shouts", 0.10, None),
+    ("bars", 0.10, None),
+    ("common", 0.25, None),
     ("distinct", 0.35, 0.55),
-    ("runs", 0.10, 0.02),
-    ("shouts", 0.10, 0.01),
-    ("bars", 0.10, 0.01),
-    ("letters", 0.45, 0.60),
+    ("endings", 0.15, 0.02),
+    ("letters", 0.45, 0.75),
 )
+#: Facts that are bad when low.
+LOW = frozenset(("distinct", "letters"))
 _KIND = np.zeros(256, np.uint8)
 for _c in range(256):
     _KIND[_c] = 1 if chr(_c).islower() and _c < 128 or _c >= 128 else 2 if _c < 128 and chr(_c).isupper() else 3 if _c in b"#$%&*<>{}[]|\\~^" else 4 if _c in b" \t\n\r\v\f" else 0
@@ -40,17 +47,26 @@ for _c in range(256):
 def facts(text: str) -> dict[str, float]:
     """Shares that the labellers look at."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    kinds = np.bincount(_KIND[data], minlength=5) if len(data) <= SLAB else sum(np.bincount(_KIND[data[a : a + SLAB]], minlength=5) for a in range(0, len(data), SLAB))
+    kinds, odd = np.zeros(5, np.int64), 0
+    for at in range(0, len(data), SLAB):
+        x = data[at : at + SLAB + 2]  # a word's end is told from the two bytes before it
+        k = _KIND[x]
+        kinds += np.bincount(k[:SLAB], minlength=5)
+        last = np.flatnonzero((k[1:] == 4) & (k[:-1] != 4)) if at + SLAB < len(data) else np.append(np.flatnonzero((k[1:] == 4) & (k[:-1] != 4)), len(k) - 1)
+        odd += int(np.count_nonzero((k[last] == 3) | (x[last] == 33) & (x[np.maximum(last, 1) - 1] == 33)))
     words = text.lower().split()
     n, size = max(1, len(words)), max(1, len(data) - int(kinds[4]))
     runs = sum(map(str.__eq__, words, words[1:]))
     # long texts repeat common words: the share is taken over what so many words could be
-    distinct = len(set(words)) / n ** (1 if n < 200 else 0.93) * (1 if n < 200 else 200**-0.07)
+    often = Counter(words)
+    distinct = len(often) / n ** (1 if n < 200 else 0.93) * (1 if n < 200 else 200**-0.07)
     return {
         "symbols": int(kinds[3]) / size,
-        "capitals": int(kinds[2]) / size,
+        "capitals": int(kinds[2]) / size if size >= 40 else 0.0,
         "distinct": distinct,
         "runs": runs / n if runs > 2 else 0.0,
+        "endings": odd / n,
+        "common": max(often.values(), default=0) / n if n >= 20 else 0.0,
         "shouts": text.count("!!") / n,
         "bars": text.count(" | ") / n,
         "letters": int(kinds[1] + kinds[2]) / size,
@@ -62,7 +78,12 @@ def votes(text: str | None) -> list[int]:
     if not text or text.isspace():
         return [NONE] * len(LABELLERS)
     found = facts(text)
-    return [BAD if (x >= bad if bad > good else x <= bad) else GOOD if (x <= good if bad > good else x >= good) else NONE for (name, bad, good) in LABELLERS for x in (found[name],)]
+    out = []
+    for name, bad, good in LABELLERS:
+        side = -1 if name in LOW else 1
+        x = side * found[name]
+        out.append(BAD if x >= side * bad else GOOD if good is not None and x <= side * good else NONE)
+    return out
 
 
 def pattern(v: list[int]) -> int:
@@ -163,6 +184,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: in
     learns from about `sample` rows of at most sample_bytes, drawn by a hash over the whole table, half of them from the
     rows that the label model holds bad if there are so many.
     """
+    modest(docs.sparkSession)
     spark = docs.sparkSession
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()

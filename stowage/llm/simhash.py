@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, rows
+from .common import batches, cut, modest, rows
 from .components import connected
 
 #: Words per shingle, seed and radius of the defaults; white space that parts words; variants written out at once.
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             schema = pa.schema([b.schema.field(0), ("h", pa.int64()), ("fp", pa.int64())])
             yield from batches(((k, h, (f := fingerprint(t, width, seed)) - (f >> 63 << 64)) for k, h, t in rows(b)), schema)
 
+    modest(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).mapInArrow(made, f"key {kind}, h bigint, fp bigint")
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest
 from .tok import LONGEST, MEMO, slabs, tokenizer_path
 
 MARK = "▁"
@@ -92,6 +93,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
             n = pa.array([own.count(t) for t in b.column(2).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["key", "n_bytes", "n_tokens"])
 
+    modest(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     t = F.col(text)
     return (

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, publish, rows, scratch, store
+from .common import batches, cut, modest, publish, rows, scratch, store
 from .tok import encoder
 
 ENTRY, TAIL, SKIP, MAGIC = struct.Struct("<q?QQQ"), struct.Struct("<QQ8s"), struct.Struct("<II"), b"STOWIDS1"
@@ -45,6 +45,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
     only frames move; a file is streamed and never held whole. The manifest (file, path, n_docs, n_ids) has a row per
     file, none for an empty table, and is cut from its lineage. Other columns are dropped.
     """
+    modest(docs.sparkSession)
     spark = docs.sparkSession
     n = docs.count()
     files = max(1, min(MOST_FILES, -(-n // file_docs)))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, publish, rows, scratch, store
+from .common import batches, cut, modest, publish, rows, scratch, store
 
 #: Bytes read at once, and the compressed size after which a task starts another archive.
 CHUNK, ROLL = 1 << 16, 1 << 30
@@ -120,6 +120,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     where no key is known. An empty table writes no archive. Only digests that occur twice are joined back, so a payload
     is shuffled only if there are too many of them to broadcast; a digest with a large share of the rows is split then.
     """
+    modest(pages.sparkSession)
     text = F.encode(F.coalesce(F.col(body), F.lit("")), "UTF-8")
     own = pages.select(F.col(key).cast("bigint").alias("key"), F.col(url).cast("string").alias("url"), text.alias("body"), F.unhex(F.sha1(text)).alias("sha1"))
     firsts = cut(own.filter(F.octet_length("body") >= least).groupBy("sha1").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
