@@ -35,11 +35,19 @@ def folder_case(spark: SparkSession, parent: str, name: str) -> str:
     return name if name in there else next((n for n in there if n.lower() == name.lower()), name)
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    found = spark.read.format("binaryFile").load(path).select("content").take(1)
-    if not found:
+def read_text(spark: SparkSession, path: str, most: int = 64 << 20) -> str:
+    """A small file's text; by the file system layer, as Spark's readers pass over names that start with a dot."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
         raise OpenError(f"no file {path}")
-    return bytes(found[0][0]).decode("utf-8", "replace")
+    if store.getFileStatus(place).getLen() > most:
+        raise OpenError(f"more than {most} bytes: {path}")
+    stream = store.open(place)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+    finally:
+        stream.close()
 
 
 def parse_config(body: str) -> dict[str, list[str]]:

@@ -168,7 +168,7 @@ class PathQuery:
         return F.slice(folder_key, 1, len(want)) == F.array(*map(F.lit, want)) if want else F.lit(True)
 
     def file(self, path: Column) -> Column:
-        return F.lower(path) == self.text.lower()
+        return F.translate(F.lower(path), "\\", "/") == self.text.lower().replace("\\", "/")
 
 
 def hex_range(prefix: str) -> tuple[int, int]:

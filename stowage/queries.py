@@ -190,8 +190,8 @@ def path_query_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {ROOT} select doc_id, path from root where lower(path) = 'corpus/src5/en/doc_5.txt'")
 def path_query_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = root(spark, sf_dir).select("doc_id", "path")
-    return search.literal(own, PathQuery.parse("CORPUS/src5/en/doc_5.TXT"))
+    wanted = PathQuery.parse("CORPUS\\src5/en/doc_5.TXT")
+    return root(spark, sf_dir).select("doc_id", "path").filter(wanted.file(F.col("path")))
 
 
 @query(f"""with {ROOT}, f as (select string_split(lower(path), '/') as p, size from root), a as (select p[1:i] as k, size from f, unnest(range(0, len(p))) as t(i))
@@ -444,7 +444,7 @@ def text_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive index files made of order lines by one task per archive, parsed, and audited against their footers."""
     own = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 16).cast("int").alias("archive"), F.unhex(F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("ekey"), F.col("l_quantity").cast("bigint").alias("size"), F.col("l_partkey").alias("offset"))
-    packed = own.withColumn("part", F.pmod(F.xxhash64("ekey"), F.lit(64)))
+    packed = own.withColumn("part", F.col("offset") % 64)
 
     def build(key, pdf):
         import pandas as pd
@@ -456,5 +456,5 @@ def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.index_audit(files)
 
 
-ORACLE_SQL["index_files"] = """with p as (select l_orderkey % 16 as a, count(*) as n from lineitem group by 1)
-select cast(count(distinct a) * 64 as bigint) as files, cast(0 as bigint) as errors, cast(sum(n) as bigint) as entries, cast(sum(n) as bigint) as announced, cast(0 as bigint) as short from p"""
+ORACLE_SQL["index_files"] = """with p as (select l_orderkey % 16 as a, l_partkey % 64 as b, count(*) as n from lineitem group by 1, 2)
+select cast(count(*) as bigint) as files, cast(0 as bigint) as errors, cast(sum(n) as bigint) as entries, cast(sum(n) as bigint) as announced, cast(0 as bigint) as short from p"""
