@@ -210,9 +210,9 @@ def group_file(root: Column, index: Column) -> Column:
 
 
 def name_candidates(raw: Column) -> Column:
-    """Names to try in order: the whole, without `data:`, the base name; repeats dropped."""
-    stripped = F.regexp_replace(raw, r"(?i)^data:[/\\]*", "")
-    return F.array_distinct(F.array(raw, stripped, base_name(raw)))
+    """Names to try in order: the whole, without `data:`, what follows the last slash; empty ones and repeats dropped."""
+    stripped = F.regexp_replace(raw, "^data:", "")
+    return F.array_distinct(F.filter(F.array(raw, stripped, file_name(raw)), lambda n: n != ""))
 
 
 # Sizes and dumps.

@@ -393,11 +393,146 @@ def normalised(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(data, f"<{kind}").astype(np.float32) / {"i1": 127, "u1": 255, "i2": 32767, "u2": 65535}[kind]
 
 
+def _steps(raw: np.ndarray) -> np.ndarray:
+    """The 16 values of each block of 8 bytes: two ends, steps between, three bits per pixel."""
+    a, b = raw[:, 0].astype(np.int32)[:, None], raw[:, 1].astype(np.int32)[:, None]
+    k = np.arange(1, 7)
+    wide = ((7 - k) * a + k * b) // 7
+    narrow = np.concatenate([((5 - k[:4]) * a + k[:4] * b) // 5, np.zeros_like(a), np.full_like(a, 255)], 1)
+    table = np.concatenate([a, b, np.where(a > b, wide, narrow)], 1)
+    packed = raw[:, 2:8].astype(np.uint64) @ (np.uint64(1) << np.arange(0, 48, 8, dtype=np.uint64))
+    which = packed[:, None] >> (3 * np.arange(16, dtype=np.uint64)) & np.uint64(7)
+    return np.take_along_axis(table, which.astype(np.int64), 1)
+
+
+def channels(data: bytes, width: int, height: int, n: int) -> bytes:
+    """RGBA of one-channel blocks (as grey) or two-channel ones (red and green, blue as a normal's z)."""
+    need(width * height * 4 <= IMAGE_BYTES, "too large")
+    bw, bh, size = -(-width // 4), -(-height // 4), 8 * n
+    have = min(len(data) // size, bw * bh)
+    raw = np.frombuffer(data, np.uint8, have * size).reshape(have, size)
+    out = np.zeros((bw * bh, 16, 4), np.uint8)
+    out[:have, :, 3] = 255
+    for k in range(n):
+        out[:have, :, k] = _steps(raw[:, 8 * k : 8 * k + 8])
+    if n == 1:
+        out[:have, :, 1:3] = out[:have, :, :1]
+    grid = out.reshape(bh, bw, 4, 4, 4).transpose(0, 2, 1, 3, 4).reshape(bh * 4, bw * 4, 4)[:height, :width]
+    return np.ascontiguousarray(grid).tobytes() if n == 1 else normal_z(np.ascontiguousarray(grid).tobytes())
+
+
+#: Block forms with bytes per block; BC7 isn't decoded here.
+BLOCKS: dict[str, tuple[int, Callable[[bytes, int, int], bytes] | None]] = {
+    "BC1": (8, lambda d, w, h: dxt(d, w, h, 1)),
+    "BC3": (16, lambda d, w, h: dxt(d, w, h, 5)),
+    "BC4": (8, lambda d, w, h: channels(d, w, h, 1)),
+    "BC5": (16, lambda d, w, h: channels(d, w, h, 2)),
+    "BC7": (16, None),
+}
+#: The container's magic, and which form its codes stand for (code, 16 bytes a block): the first is right.
+DE_MAGIC, DE_FORMS = b"<DE(", {(0x3E, True): "BC3", (0x3D, True): "BC3", (0x39, False): "BC1", (0x3A, False): "BC4", (0x3F, False): "BC4"}
+
+
+def texture_header(data: bytes) -> dict | None:
+    """Dimensions, mips and the largest mip's place in a container whose mip offsets count from their own field."""
+    if len(data) < 0x2C or data[:4] != DE_MAGIC:
+        return None
+    width, height = struct.unpack_from("<II", data, 8)
+    (mips,) = struct.unpack_from("<I", data, 0x1C)
+    if not (0 < width <= 16384 and 0 < height <= 16384 and 0 < mips <= 16) or len(data) < 0x24 + 8 * mips:
+        return None
+    size, offset = struct.unpack_from("<II", data, 0x24)
+    start = 0x28 + offset
+    if not size or start + size > len(data):
+        return None
+    blocks = (max(4, width) // 4) * (max(4, height) // 4)
+    return {"code": data[4], "width": width, "height": height, "mips": mips, "start": start, "size": size, "block": size // blocks}
+
+
+def texture(data: bytes) -> tuple[bytes, int, int, str]:
+    """RGBA, dimensions and form of a container's largest mip: by its code, or the first form that looks decoded."""
+    h = texture_header(data)
+    need(h is not None, "not a texture container")
+    body, w, t = data[h["start"] : h["start"] + h["size"]], h["width"], h["height"]
+    form = DE_FORMS.get((h["code"], h["block"] == 16))
+    if form:
+        return BLOCKS[form][1](body, w, t), w, t, form
+    for form in ("BC3", "BC5") if h["block"] == 16 else ("BC1", "BC4"):
+        pixels = BLOCKS[form][1](body, w, t)
+        if plausible(pixels, w):
+            return pixels, w, t, form
+    raise Malformed("no form of blocks looks right; BC7 isn't decoded")
+
+
+def bare_texture(data: bytes, name: str) -> tuple[bytes, int, int, str] | None:
+    """Blocks without a header: forms in an order that the name suggests, power-of-two sides, the first that looks
+    decoded; None for 64 zero bytes at the start (encrypted) or if nothing does."""
+    low = name.lower()
+    if len(data) < 64 or not any(data[:64]):
+        return None
+    masks = any(k in low for k in ("_rough", "_metallic", "_ao", "_alpha", "_opacity", "_mask"))
+    for form in ("BC5", "BC3", "BC1", "BC4") if "_normal" in low else ("BC4", "BC1", "BC5", "BC3") if masks else ("BC3", "BC1", "BC5", "BC4"):
+        size, make = BLOCKS[form]
+        for w, h in sides(len(data) * 16 // size):
+            pixels = make(data, w, h)
+            if plausible(pixels, w):
+                return pixels, w, h, form
+    return None
+
+
+def world_model(data: bytes) -> dict:
+    """Counts and bounds of a world model's root, from its header chunk."""
+    found = {name: (at, size) for name, at, size in chunks(data)}
+    need("MVER" in found and "MOHD" in found and found["MOHD"][1] >= 60, "no header chunk")
+    at = found["MOHD"][0]
+    names = ("materials", "groups", "portals", "lights", "doodad_names", "doodads", "doodad_sets")
+    out = dict(zip(names, struct.unpack_from("<7I", data, at), strict=True))
+    box = struct.unpack_from("<6f", data, at + 36)
+    textures = found.get("MOTX", (0, 0))
+    return out | {"version": int.from_bytes(data[found["MVER"][0] : found["MVER"][0] + 4], "little"), "textures": len(c_strings(data[textures[0] : sum(textures)])), "low": list(box[:3]), "high": list(box[3:])}
+
+
+def creature_model(data: bytes) -> dict:
+    """Version, name and counts of a creature model's header, in its own chunk or at the file's start."""
+    if data[:4] == b"MD21":
+        need(len(data) >= 8, "header")
+        data = data[8 : 8 + int.from_bytes(data[4:8], "little")]
+    need(data[:4] == b"MD20" and len(data) >= 0x60, "not a creature model")
+    version, n, at = struct.unpack_from("<III", data, 4)
+    need(at + n <= len(data), "name")
+    pair = lambda o: struct.unpack_from("<I", data, o)[0]
+    return {"version": version, "name": data[at : at + n].split(b"\0")[0].decode("latin-1"), "animations": pair(0x1C), "bones": pair(0x2C), "vertices": pair(0x3C), "views": pair(0x44), "textures": pair(0x50)}
+
+
+def terrain(data: bytes) -> dict:
+    """Chunks, vertices (145 a chunk) and triangles (256) of a terrain tile's root, with the lowest and highest of heights."""
+    n, low, high = 0, np.inf, -np.inf
+    for name, at, size in chunks(data):
+        if name == "MCNK" and size >= 128:
+            n += 1
+            (base,) = struct.unpack_from("<f", data, at + 112)
+            inner = at + 128
+            while inner + 8 <= at + size:
+                kind, length = data[inner : inner + 4][::-1], int.from_bytes(data[inner + 4 : inner + 8], "little")
+                if kind == b"MCVT" and length >= 580 and inner + 588 <= at + size:
+                    heights = np.frombuffer(data, "<f4", 145, inner + 8) + base
+                    low, high = min(low, float(heights.min())), max(high, float(heights.max()))
+                inner += 8 + length
+    need(n > 0, "no terrain chunks")
+    return {"chunks": n, "vertices": 145 * n, "triangles": 256 * n, "low": None if np.isinf(low) else low, "high": None if np.isinf(high) else high}
+
+
+TERRAIN_PARTS = ("_tex0.adt", "_tex1.adt", "_obj0.adt", "_obj1.adt", "_lod.adt")
 #: Plug-ins in the order in which they are asked: name, whether it claims (name, data), what it makes.
 REGISTRY: list[tuple[str, Callable[[str, bytes], bool], Callable[[bytes, str], str | None]]] = [
     ("blp", lambda n, d: d[:3] == b"BLP" and d[3:4] in (b"0", b"1", b"2"), lambda d, n: "{}x{}".format(*blp(d)[1:])),
     ("pcx", lambda n, d: n.lower().endswith(".pcx") and d[:1] == b"\x0a", lambda d, n: "{}x{}".format(*pcx(d)[1:])),
     ("power", lambda n, d: n.lower().endswith(".pow"), lambda d, n: f"{sum(1 for _ in search_power(d))} matches"),
+    ("texture", lambda n, d: texture_header(d) is not None, lambda d, n: "{}x{} {}".format(*texture(d)[1:])),
+    ("bare texture", lambda n, d: n.lower().endswith(".tex"), lambda d, n: "{}x{} {}".format(*t[1:]) if (t := bare_texture(d, n)) else None),
+    ("creature", lambda n, d: n.lower().endswith(".m2") and d[:4] in (b"MD20", b"MD21"), lambda d, n: "{name}: {vertices} vertices, {bones} bones".format(**creature_model(d))),
+    ("world model", lambda n, d: n.lower().endswith(".wmo") and d[:4] == b"REVM", lambda d, n: "{groups} groups, {materials} materials".format(**world_model(d))),
+    ("terrain", lambda n, d: n.lower().endswith(".adt") and not n.lower().endswith(TERRAIN_PARTS), lambda d, n: "{chunks} chunks, {triangles} triangles".format(**terrain(d))),
     ("movie", lambda n, d: movie(d) is not None, lambda d, n: "{width}x{height}".format(**movie(d))),
     ("chunked", lambda n, d: d[:4] == b"REVM", lambda d, n: " ".join(c[0] for c in chunks(d))),
     ("audio", lambda n, d: d[:4] in (b"RIFF", b"OggS") or d[:3] == b"ID3" or n.lower().endswith(".mp3"), lambda d, n: (audio(d, n) or {}).get("codec")),

@@ -110,7 +110,7 @@ def test_scalars(spark):
     assert get(C.package_locale(F.lit("x/frFR.SC2Assets/y"))) == 16 and get(C.package_locale(F.lit("base.stormdata"))) == C.LOCALE_ALL
     assert get(C.parse_locale(F.lit("frFR,deDE"))) == 48 and get(C.parse_locale(F.lit(""))) == C.LOCALE_ALL
     assert get(C.group_file(F.lit("a/B.WMO"), F.lit(7))) == "a/B_007.wmo"
-    assert get(C.name_candidates(F.lit("data:x\\y.dds"))) == ["data:x\\y.dds", "x\\y.dds", "y.dds"]
+    assert get(C.name_candidates(F.lit("data:x/y.dds"))) == ["data:x/y.dds", "x/y.dds", "y.dds"]
     assert get(C.hex_dump(F.lit(bytearray(range(18))))) == ["00000000  " + " ".join(f"{k:02X}" for k in range(16)), "00000010  10 11"]
     assert get(C.hex_dump(F.lit(bytearray()))) == []
     assert get(C.remote_path(F.lit(bytearray(b"\xab\xcd\xef")))) == "ab/cd/abcdef"
