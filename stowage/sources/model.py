@@ -1,8 +1,8 @@
 """Self-describing model files: sections, pointers between them, and a tree of typed elements, flattened to rows.
 
 A file describes its own types; the walk here is a table of scalar kinds and a handful of shapes (one child, a counted run
-of children, a counted run of pointers), each of which says where the children's data and types are. Sections that are
-compressed are told as unsupported.
+of children, a counted run of pointers), each of which says where the children's data and types are. Sections are
+plain or coded by functions.bitknit; older kinds of compression are told as unsupported.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bitknit
 from ..functions.preview import obj
 from .binary import table_function
 from .formats import Malformed, need
@@ -33,6 +34,8 @@ SCALARS = {10: ("f", 0), 11: ("b", 0), 12: ("B", 0), 13: ("b", 127), 14: ("B", 2
 #: Type ids that are pointers whose target isn't followed, with the number of pointers; the transform; text.
 OPAQUE, TRANSFORM, TEXT, LAST_TYPE = {1: 1, 5: 2, 6: 1, 22: 1}, 9, 8, 22
 DEEPEST, MOST_ELEMENTS = 64, 5_000_000
+#: Fixed value: the kind of compression that is read.
+BITKNIT = 4
 
 Row = tuple[str, list[int], str, str | None, float | None, int | None]
 COLUMNS = "path string, ord array<int>, kind string, str_v string, f32_v float, i32_v bigint"
@@ -81,11 +84,19 @@ def load(data: bytes) -> Model:
     sections, plain = [], 0
     for k in range(count):
         packed, start, stored, size, _, _, _, fix, fixes, _, _ = struct.unpack_from(f"{order}11I", data, 32 + info + 44 * k)
-        need(start + stored <= len(data) and (packed or fix + 12 * fixes <= len(data)), f"section {k}")
-        if stored and packed:
+        need(start + stored <= len(data), f"section {k}")
+        if stored and packed not in (0, BITKNIT):
             raise Malformed(f"section {k} is compressed (kind {packed})")
-        pointers = {a: (b, c) for a, b, c in struct.iter_unpack(f"{order}3I", data[fix : fix + 12 * fixes])}
-        sections.append(Section(data[start : start + stored], pointers))
+        body = data[start : start + stored]
+        table = data[fix : fix + 12 * fixes]
+        if packed == BITKNIT:
+            body = bitknit.decode(body, size) if stored else b""
+            if fixes:  # the pointers are coded too, behind their coded size
+                need(fix + 4 <= len(data), f"pointers of section {k}")
+                (coded,) = struct.unpack_from(f"{order}I", data, fix)
+                table = bitknit.decode(data[fix + 4 : fix + 4 + coded], 12 * fixes)
+        need(len(table) == 12 * fixes, f"pointers of section {k}")
+        sections.append(Section(body, {a: (b, c) for a, b, c in struct.iter_unpack(f"{order}3I", table)}))
         plain += size
     return Model(order, width, sections, (ts, tp), (rs, rp), plain)
 
@@ -272,13 +283,18 @@ class Writer:
         self.data += raw
         return len(self.data) - len(raw)
 
-    def file(self, types: tuple[int, int], root: int) -> bytes:
+    def file(self, types: tuple[int, int], root: int, coded: bool = False) -> bytes:
         magic = next(m for m, v in MAGICS.items() if v == (self.o, self.w))
         parts, at = [bytes(self.data), bytes(self.types)], 32 + 40 + 88
         table, body = b"", b""
         for part, fixes in zip(parts, self.fix, strict=True):
-            table += struct.pack(f"{self.o}11I", 0, at + len(body), len(part), len(part), 4, 0, 0, at + len(body) + len(part), len(fixes), 0, 0)
-            body += part + b"".join(struct.pack(f"{self.o}3I", *f) for f in fixes)
+            rows = b"".join(struct.pack(f"{self.o}3I", *f) for f in fixes)
+            size = len(part)
+            if coded:
+                part, rows = bitknit.encode(part), bitknit.encode(rows)
+                rows = struct.pack(f"{self.o}I", len(rows)) + rows
+            table += struct.pack(f"{self.o}11I", BITKNIT * coded, at + len(body), len(part), size, 4, 0, 0, at + len(body) + len(part), len(fixes), 0, 0)
+            body += part + rows
         head = struct.pack(f"{self.o}IIII", 0, 0, 0, 0)
         info = struct.pack(f"{self.o}i9I", 7, 0, 0, 40, 2, *types, 0, root, 0)
         return magic + head + info + table + body

@@ -6,7 +6,7 @@ import pytest
 from stowage.sources import formats, model
 
 
-def example(width, order):
+def example(width, order, coded=False):
     w = model.Writer(width, order)
     pack = lambda code, *v: struct.pack(order + code, *v)
     vertex = [("Position", 10, None, 3), ("Normal", 13, None, 3), ("TextureCoordinates0", 21, None, 2)]
@@ -31,7 +31,7 @@ def example(width, order):
         pack("i", -7) + pack("I16f", 1, *range(16)) + pack("I", 1) + pointer + pack("I", 1) + pointer + pointer,
         (72 + 4, (0, files)), (72 + 4 + width + 4, (0, all_meshes)),
     )
-    return w.file(types, root)
+    return w.file(types, root, coded)
 
 
 @pytest.mark.parametrize(("width", "order"), [(4, "<"), (8, "<"), (4, ">"), (8, ">")])
@@ -46,6 +46,10 @@ def test_elements_and_meshes(width, order):
     assert "f 1/1 2/2 3/3" in mesh.obj() and "vt 0.500000 0.750000" in mesh.obj()
 
 
+def test_coded_sections_are_the_same():
+    assert list(model.elements(example(4, "<", True))) == list(model.elements(example(4, "<")))
+
+
 def test_model_tables(spark):
     files = spark.createDataFrame([("m", bytearray(example(8, "<"))), ("bad", bytearray(b"junk" * 40))], "file string, blob binary")
     rows = model.flattened(files).cache()
@@ -63,7 +67,7 @@ def test_hostile_models_are_malformed():
             list(model.elements(bad))
     at = 32 + 40
     with pytest.raises(formats.Malformed, match="compressed"):
-        list(model.elements(good[:at] + struct.pack("<I", 4) + good[at + 4 :]))
+        list(model.elements(good[:at] + struct.pack("<I", 2) + good[at + 4 :]))
     for _ in range(400):
         data = bytearray(good)
         for _ in range(rng.randrange(1, 4)):
