@@ -23,7 +23,7 @@ def test_round_trip():
         packed = bitknit.encode(data)
         coded += len(packed) < 0.8 * len(data)  # the coded form, not plain quanta
         assert bitknit.decode(packed, len(data)) == data
-    assert coded >= 4
+    assert coded >= 3  # short and random samples stay plain
 
 
 def test_plain_quantum_and_damage():
