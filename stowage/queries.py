@@ -118,7 +118,7 @@ idx as (select substr(ekey, 1, 18) as ekey9, cast(sum(size) over (order by ekey
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = root(spark, sf_dir)
     names = own.select("path", F.col("doc_id").alias("name_hash"))
-    entries = own.filter(F.col("doc_id") % 11 != 0).select(F.col("doc_id").alias("name_hash"), F.lit(0).alias("entry_ord"), F.unhex("ckey").alias("ckey"), "locale", F.lit(0).alias("content"))
+    entries = own.filter("lang <> 'es'").select(F.col("doc_id").alias("name_hash"), F.lit(0).alias("entry_ord"), F.unhex("ckey").alias("ckey"), "locale", F.lit(0).alias("content"))
     enc = own.filter(~F.col("ckey").startswith("f")).groupBy("ckey").agg(F.max("size").alias("size")).withColumn("ekey", F.md5(F.concat(F.lit("e"), "ckey")))
     encoding = enc.select(F.unhex("ckey").alias("ckey"), F.array(F.unhex("ekey")).alias("ekeys"), "size")
     # offsets as a running sum by range: totals per first digit are summed first, so no task sees all keys
@@ -130,18 +130,18 @@ def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve(names, entries, encoding, index, 0xFFFFFFFF)
 
 
-@query(f"""with {CHAIN} select path, case when r.doc_id % 11 = 0 then null else upper(r.ckey) end as ckey, case when r.doc_id % 11 <> 0 then upper(enc.ekey) end as ekey,
-  case when r.doc_id % 11 <> 0 then "offset" end as "offset", case when r.doc_id % 11 = 0 then 'name_not_found' when enc.ekey is null then 'encoding_not_found' when "offset" is null then 'index_not_found' end as error
+@query(f"""with {CHAIN} select path, case when r.lang = 'es' then null else upper(r.ckey) end as ckey, case when r.lang <> 'es' then upper(enc.ekey) end as ekey,
+  case when r.lang <> 'es' then "offset" end as "offset", case when r.lang = 'es' then 'name_not_found' when enc.ekey is null then 'encoding_not_found' when "offset" is null then 'index_not_found' end as error
 from root r left join enc using (ckey) left join idx on idx.ekey9 = substr(enc.ekey, 1, 18)""")
 def resolve_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chain(spark, sf_dir).select("path", F.hex("ckey").alias("ckey"), F.hex("ekey").alias("ekey"), "offset", "error")
 
 
-@query(f"""with {CHAIN}, r2 as (select case when r.doc_id % 11 = 0 or enc.ekey is null then 'error' when "offset" is null then 'missing_block' when r.doc_id % 7 = 0 then 'exists' else 'ok' end as status
+@query(f"""with {CHAIN}, r2 as (select case when r.lang = 'es' or enc.ekey is null then 'error' when "offset" is null then 'missing_block' when r.source = 'src7' then 'exists' else 'ok' end as status
 from root r left join enc using (ckey) left join idx on idx.ekey9 = substr(enc.ekey, 1, 18)) select status, cast(count(*) as bigint) as count from r2 group by status""")
 def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an export would report, by status."""
-    there = F.regexp_extract("path", r"Doc_(\d+)\.txt$", 1).cast("bigint") % 7 == 0
+    there = F.col("path").startswith("Corpus/src7/")
     return sets.count_by(_chain(spark, sf_dir).select(plan_status(F.col("error"), there).alias("status")))
 
 
@@ -164,21 +164,21 @@ def longest_prefix_package(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with l as (select l_orderkey as chain, l_linenumber as pos, l_partkey, l_suppkey, l_partkey % 5 as pkg, l_partkey % 3 = 0 as last from lineitem),
 c as (select *, coalesce(sum(case when last then 1 else 0 end) over (partition by chain order by pos, l_partkey, l_suppkey rows between unbounded preceding and 1 preceding), 0) as link from l),
 m as (select *, row_number() over (partition by chain, link, pkg order by pos, l_partkey, l_suppkey) as n from c)
-select chain, cast(link as bigint) as link, pos, l_partkey from m where n = 1 and pkg = 2""")
+select chain, cast(link as bigint) as link, pkg, pos, l_partkey from m where n = 1""")
 def entry_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs that end at a terminator, and in each run the first row of a package."""
     own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chain"), F.col("l_linenumber").alias("pos"), "l_partkey", "l_suppkey", (F.col("l_partkey") % 5).alias("pkg"))
     order = ["pos", "l_partkey", "l_suppkey"]
-    linked = resolve.chains(own, "chain", order, F.col("l_partkey") % 3 == 0).filter("pkg = 2")
-    return first_wins(linked, ["chain", "link", "pkg"], order).select("chain", "link", "pos", "l_partkey")
+    linked = resolve.chains(own, "chain", order, F.col("l_partkey") % 3 == 0)
+    return first_wins(linked, ["chain", "link", "pkg"], order).select("chain", "link", "pkg", "pos", "l_partkey")
 
 
-@query(f"""with {ROOT}, ids as (select doc_id as file_data_id, doc_id * 7 as h from root where doc_id % 3 = 0)
-select path, coalesce(h, length(path)) as name_hash from root left join ids on ids.file_data_id = case when doc_id % 2 = 0 then doc_id end""")
+@query(f"""with {ROOT}, ids as (select doc_id as file_data_id, doc_id * 7 as h from root where lang in ('en', 'fr'))
+select path, coalesce(h, length(path)) as name_hash from root left join ids on ids.file_data_id = case when lang <> 'fr' then doc_id end""")
 def listfile_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = root(spark, sf_dir)
-    fdids = own.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("file_data_id"), (F.col("doc_id") * 7).alias("name_hash"))
-    lines = own.select("path", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("file_data_id"))
+    fdids = own.filter("lang in ('en', 'fr')").select(F.col("doc_id").alias("file_data_id"), (F.col("doc_id") * 7).alias("name_hash"))
+    lines = own.select("path", F.when(F.col("lang") != "fr", F.col("doc_id")).alias("file_data_id"))
     return resolve.listfile_hashes(lines, fdids, F.length("path").cast("bigint")).select("path", "name_hash")
 
 
@@ -241,20 +241,20 @@ def index_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("entries"), F.countDistinct("l_orderkey").alias("archives"), F.count_if(F.col("l_quantity") < 5).alias("short"), F.max("l_linenumber").alias("widest"))
 
 
-@query("""with o as (select distinct md5(text) as k, lang from documents where doc_id % 2 = 0), n as (select distinct md5(text) as k, lang from documents where doc_id % 3 = 0)
+@query("""with o as (select distinct md5(text) as k, lang from documents where source < 'src15'), n as (select distinct md5(text) as k, lang from documents where source >= 'src12')
 select k, lang from n except select k, lang from o""")
 def archive_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").select(F.md5("text").alias("k"), "lang", "doc_id")
-    return own.filter("doc_id % 3 = 0").drop("doc_id").subtract(own.filter("doc_id % 2 = 0").drop("doc_id"))
+    own = table(spark, sf_dir, "documents").select(F.md5("text").alias("k"), "lang", "source")
+    return own.filter("source >= 'src12'").drop("source").subtract(own.filter("source < 'src15'").drop("source"))
 
 
 @query(f"""with {ROOT} select coalesce(a.path, b.path) as path, case when a.path is null then 'added' when b.path is null then 'removed' else 'changed' end as change
-from (select path, ckey from root where doc_id % 2 = 0) a full join (select path, case when doc_id % 5 = 0 then 'x' else ckey end as ckey from root where doc_id % 3 = 0) b on a.path = b.path
+from (select path, ckey from root where source < 'src15') a full join (select path, case when lang = 'de' then 'x' else ckey end as ckey from root where source >= 'src12') b on a.path = b.path
 where a.path is null or b.path is null or a.ckey <> b.ckey""")
 def archive_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = root(spark, sf_dir)
-    new = own.filter("doc_id % 3 = 0").withColumn("ckey", F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("ckey")))
-    return sets.archive_diff(own.filter("doc_id % 2 = 0"), new)
+    new = own.filter("source >= 'src12'").withColumn("ckey", F.when(F.col("lang") == "de", "x").otherwise(F.col("ckey")))
+    return sets.archive_diff(own.filter("source < 'src15'"), new)
 
 
 @query(f"with {ROOT} select doc_id, path from root where doc_id in (select doc_id from labels where quality = 0)")
@@ -355,13 +355,13 @@ def game_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", C.game_type(uid).alias("game"))
 
 
-@query("""with s as (select c_custkey % 500 as k, 0 as storage, c_custkey as seq from customer where c_custkey % 2 = 0 union all select c_custkey % 500, 1, c_custkey from customer where c_custkey % 2 = 1 union all select c_custkey % 500, 1, c_custkey + 7 from customer where c_custkey % 4 = 0),
+@query("""with s as (select c_custkey % 500 as k, 0 as storage, c_custkey as seq from customer where c_mktsegment < 'F' union all select c_custkey % 500, 1, c_custkey from customer where c_mktsegment >= 'F' union all select c_custkey % 500, 1, c_custkey + 7 from customer where c_acctbal < 0),
 r as (select *, row_number() over (partition by k order by storage, seq) as n from s) select k, storage, seq from r where n = 1""")
 def storage_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     key = (F.col("c_custkey") % 500).alias("k")
-    first = c.filter("c_custkey % 2 = 0").select(key, F.col("c_custkey").alias("seq"))
-    second = c.filter("c_custkey % 2 = 1").select(key, F.col("c_custkey").alias("seq")).unionByName(c.filter("c_custkey % 4 = 0").select(key, (F.col("c_custkey") + 7).alias("seq")))
+    first = c.filter("c_mktsegment < 'F'").select(key, F.col("c_custkey").alias("seq"))
+    second = c.filter("c_mktsegment >= 'F'").select(key, F.col("c_custkey").alias("seq")).unionByName(c.filter("c_acctbal < 0").select(key, (F.col("c_custkey") + 7).alias("seq")))
     return sets.storage_union([first, second], ["k"], ["seq"])
 
 
