@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from stowage import queries as core
+from stowage import queries_formats  # noqa: F401  it registers its queries with core
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
