@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +59,15 @@ def modest(spark: SparkSession) -> None:
         spark.conf.set(name, "1000")
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can: a driver's peak shouldn't stay."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def publish(files: pafs.FileSystem, temporary: str, final: str) -> None:
     """Give a finished file its name. A repeated attempt writes equal bytes, so either may win."""
     try:

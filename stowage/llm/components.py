@@ -30,5 +30,5 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         k += 1
     found = nodes.select("node", F.col("node").alias("root"))
     for step in steps:
-        found = cut(found.join(step.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-    return found
+        found = found.join(step.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return cut(found)

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, modest, rows
+from .common import batches, modest, rows, trim
 
 #: N-gram lengths in bytes, buckets, dimensions, bytes handled at once.
 GRAMS, BUCKETS, DIM, SLAB = (2, 3, 4), 1 << 16, 16, 1 << 20
 #: The sample: rows per language, and the longest text in it, in bytes.
-SAMPLE, SAMPLE_BYTES = 1500, 1 << 15
+SAMPLE, SAMPLE_BYTES = 800, 1 << 14
 #: Share of the calibration documents whose right predictions may be rejected, and the most the limit may be.
 REJECT, MOST_LIMIT = 0.001, 0.4
 UNKNOWN = "und"
@@ -81,13 +81,12 @@ def fit(sample: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, seed:
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    sample = sorted(sample)
     seen = []
-    for text, lang in sample:
+    for text, lang in sorted(sample):
         found = [b for b in buckets(folded(text)) if len(b)]
         if found:
             index, n = np.unique(np.concatenate(found), return_counts=True)
-            seen.append((index, (n / n.sum()).astype(np.float32), langs.index(lang)))
+            seen.append((index.astype(np.int32), (n / n.sum()).astype(np.float32), langs.index(lang)))
     held, learnt = seen[::5], [x for k, x in enumerate(seen) if k % 5] or seen
     steps, at = epochs * len(learnt), 0
     for _ in range(epochs):
@@ -119,6 +118,8 @@ def fit(sample: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, seed:
     score = (p / p.sum(axis=1, keepdims=True)).max(axis=1) if len(raw) else np.zeros(0)
     right = score[raw.argmax(axis=1) == truth] if len(raw) else score
     limit = min(MOST_LIMIT, float(np.quantile(right, REJECT))) if len(right) else 0.0
+    del seen, held, learnt
+    trim()
     return Model(langs, (table * scale).astype(np.float32), bias * scale, limit)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, modest, rows
+from .common import batches, cut, modest, rows, trim
 
 #: Hash buckets of the scorer, most documents it learns from, longest text among them in bytes, bytes handled at once.
 BUCKETS, SAMPLE, SAMPLE_BYTES, SLAB = 1 << 16, 6000, 1 << 15, 1 << 20
@@ -220,6 +220,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: in
 
     some = own.filter(~empty & (F.length("text") <= sample_bytes // 4)).select("text", draw).mapInArrow(drawn, "text string, good double").distinct()
     scorer = spark.sparkContext.broadcast(learn_scorer([tuple(r) for r in some.collect()]))
+    trim()
 
     def scored(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linear, known = scorer.value, by_pattern.value
