@@ -91,7 +91,8 @@ def ball_masks(half: int, width: int, spent: int) -> np.ndarray:
 
 
 def bucket_forest(fps: np.ndarray, bucket: int, width: int, half: int) -> np.ndarray:
-    """Pairs (member, other) that span what the fingerprints that reach this bucket have in common here."""
+    """Pairs of places in fps that span what the fingerprints that reach this bucket have in common here: (the first of
+    its group, other). Each of fps is there once."""
     low = np.uint64((1 << width) - 1)
     spent = np.bitwise_count((fps ^ np.uint64(bucket)) & low)
     groups = [(fps[spent == s] & ~low | np.uint64(bucket), np.flatnonzero(spent == s), ball_masks(half, width, s)) for s in range(half + 1)]
@@ -141,54 +142,47 @@ def bucket_forest(fps: np.ndarray, bucket: int, width: int, half: int) -> np.nda
                     parent[max(rx, ry)] = min(rx, ry)
     roots = np.array([root(k) for k in range(len(fps))], np.int64)
     moved = np.flatnonzero(roots != np.arange(len(fps)))
-    return np.stack([fps[roots[moved]], fps[moved]], 1)
+    return np.stack([roots[moved], moved], 1)
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS, fp: str = "fp") -> DataFrame:
-    """(a, b): pairs of distinct fingerprints that span every group linked within radius bits, none of them wrong.
+def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """(a, b) for distinct (t, fp, name, rank) rows: names of fingerprints of a table t, pairs that span every group linked
+    within radius bits, none of them wrong; a has the group's least rank (then name).
 
-    n, their number, sets how many low bits make a bucket.
+    n, the number of rows, sets how many low bits make a bucket.
     """
-    half = -(-radius // 2)
+    if radius % 2:
+        raise ValueError("an even radius is needed: every pair that meets in a variant must be within it")
+    half = radius // 2
     width = min(20, max(6, (max(1, n) // 2048).bit_length()))
     masks = [int(m) for k in range(half + 1) for m in flips(k, 0, width)]
-    sent = distinct.select(F.explode(F.array(*map(F.lit, masks))).alias("m"), F.col(fp).alias("fp")).select(F.col("m").bitwiseXOR(F.col("fp").bitwiseAND((1 << width) - 1)).cast("int").alias("bucket"), "fp")
+    sent = distinct.select("t", "fp", "name", "rank", F.explode(F.array(*map(F.lit, masks))).alias("m")).select("t", F.col("m").bitwiseXOR(F.col("fp").bitwiseAND((1 << width) - 1)).cast("int").alias("bucket"), "fp", "name", "rank")
 
-    def forest(bucket: int, held: list[np.ndarray]) -> Iterator[tuple]:
-        fps = np.sort(np.concatenate(held)).view(np.uint64)
-        yield from map(tuple, bucket_forest(fps, bucket, width, half).view(np.int64).tolist())
+    def forest(bucket: int, held: list[pa.RecordBatch]) -> Iterator[tuple]:
+        fps, names, ranks = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (2, 3, 4))
+        order = np.lexsort((names, ranks))
+        names = names[order]
+        yield from map(tuple, names[bucket_forest(fps[order].view(np.uint64), bucket, width, half)].tolist())
 
     def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[tuple]:
             now, held = None, []
             for b in parts:
-                bucket, fps = b.column(0).to_numpy(), b.column(1).to_numpy()
-                for own in np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1):
-                    if len(own):
-                        if bucket[own[0]] != now:
+                at = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    if y > x:
+                        if at[x] != now:
                             if held:
-                                yield from forest(now, held)
-                            now, held = int(bucket[own[0]]), []
-                        held.append(fps[own])
+                                yield from forest(now & 0xFFFFFFFF, held)
+                            now, held = int(at[x]), []
+                        held.append(b.slice(x, y - x))
             if held:
-                yield from forest(now, held)
+                yield from forest(now & 0xFFFFFFFF, held)
 
         yield from batches(made(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), most_rows=1 << 16)
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(found, "a bigint, b bigint")
-
-
-def classes(own: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id, winner) of every distinct fingerprint: its component's smallest key, and the key and hash of the
-    row that stands for it (the smallest key's, then the smallest hash's; null keys come last)."""
-    if radius % 2:
-        raise ValueError("an even radius is needed: every pair that meets in a variant must be within it")
-    winner = F.struct(F.col("key").isNull().alias("unknown"), "key", "h")
-    groups = cut(own.groupBy("fp").agg(F.min("key").alias("component_id"), F.min(winner).alias("winner")))
-    found = connected(links(groups.select("fp"), groups.count(), radius))
-    rooted = cut(groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    least = cut(rooted.groupBy("root").agg(F.min("component_id").alias("component_id"), F.min("winner").alias("winner")))
-    return cut(rooted.select("fp", "root").join(least, "root").select("fp", "component_id", "winner"))
+    return sent.repartition("t", "bucket").sortWithinPartitions("t", "bucket").mapInArrow(found, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -199,25 +193,147 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     null). Other columns are dropped; an empty table gives no rows. radius must be even.
     """
     own = cut(fingerprints(docs, key, text, width, seed))
-    found = classes(own, radius).select("fp", "component_id")
-    return own.join(found, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = cut(own.groupBy("fp").agg(F.min("key").alias("first")))
+    found = connected(links(groups.select(F.lit(0).alias("t"), "fp", F.col("fp").alias("name"), F.lit(0).cast("bigint").alias("rank")), groups.count(), radius))
+    rooted = cut(groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    classes = cut(rooted.join(least, "root").select("fp", "component_id"))
+    return own.join(classes, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Removing near copies by what their texts share.
+
+#: Words per shingle, least similarity, and the tables whose word-set fingerprints propose pairs.
+SHINGLE, LEAST, TABLES = 5, 0.8, 6
+
 
+def word_prints(text: str | None, tables: int) -> list[int]:
+    """A fingerprint for each table: a bit is 1 if set in over half of the hashes of the distinct words.
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = WORDS, seed: int = SEED) -> DataFrame:
-    """docs with one row of each component: that with the smallest key (null keys last), of equal keys that with the
-    smallest text hash, of equal rows any one. All columns, whatever their names, stay as they are.
+    A few changed words change many shingles but little of the set of words: texts that share 0.8 of their 5-word
+    shingles differ in 4 bits on average here, in 8 to 10 by shingles.
     """
-    own = cut(fingerprints(docs, key, text, width, seed))
-    found = classes(own, radius).select("fp", F.col("winner.key").alias("best"), F.col("winner.h").alias("best_h"))
-    told = own.join(found, "fp").select("key", "h", (F.col("key").eqNullSafe(F.col("best")) & (F.col("h") == F.col("best_h"))).alias("stays"))
-    losers = cut(told.filter("not stays").select("key", "h").distinct())
-    again = cut(told.filter("stays").groupBy("key", "h").count().filter("count > 1").select("key", "h"))
+    from xxhash import xxh64_intdigest as hashed
+
+    words = sorted(set(words_of(text))) if text else []
+    if not words:
+        return [0] * tables
+    h = np.array([hashed(w, SEED) for w in words], np.uint64)
+    out = []
+    for t in range(tables):
+        x = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(t + 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        out.append(int.from_bytes(np.packbits(2 * bit_sums(x) > len(x)).tobytes(), "big"))
+    return out
+
+
+def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles; a text of fewer words is one shingle, one without words has none."""
+    from xxhash import xxh64_intdigest as hashed
+
+    words = words_of(text) if text else []
+    own = np.fromiter((hashed(w, SEED) for w in words), np.uint64, len(words))
+    if not len(own):
+        return own
+    n = max(1, len(own) - width + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(width, len(own))):
+        h = (h ^ own[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def similar(a: bytes, b: bytes) -> float:
+    """The Jaccard similarity of two shingle sets; that of two empty ones is 1."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """pairs (a, b) of text hashes with good: whether the shingle sets of their texts (h, text) are similar enough.
+
+    Only texts of some pair are shingled, each once; sets and pairs are cut first, so a text in many pairs is split.
+    """
+
+    def shingled(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            yield from batches(((h, shingle_set(t, width).tobytes()) for h, t in rows(b)), pa.schema([("h", pa.int64()), ("s", pa.binary())]))
+
+    def judged(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            yield from batches(((x, y, similar(s, t) >= least) for x, y, s, t in rows(b, 64)), pa.schema([("a", pa.int64()), ("b", pa.int64()), ("good", pa.bool_())]))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    sets = cut(texts.join(ends, "h", "left_semi").mapInArrow(shingled, "h bigint, s binary").groupBy("h").agg(F.first("s").alias("s")))
+    first = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a")
+    return first.join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(judged, "a bigint, b bigint, good boolean")
+
+
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tables: int = TABLES, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(h, best, winner) of every distinct text's hash: the key and the text hash of the row that stands for its group.
+
+    Groups are what links of exact similarity >= least join. Ball hashing on each table's word-set fingerprints proposes
+    pairs of a text and the smallest key near it; pairs are verified on whole texts; texts whose pair fails are proposed
+    again among themselves, without those that they failed with, until no proposal is left.
+    """
+
+    def made(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            own = ((h, [f - (f >> 63 << 64) for f in word_prints(t, tables)]) for h, t in rows(b))
+            yield from batches(own, pa.schema([("h", pa.int64()), ("fps", pa.list_(pa.int64()))]))
+
+    modest(docs.sparkSession)
+    texts = docs.select(F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    far = F.lit((1 << 63) - 1)
+    keyed = docs.select(F.xxhash64(F.col(text)).alias("h"), F.col(key).cast("bigint").alias("key"))
+    least_keys = keyed.groupBy("h").agg(F.min("key").alias("key"))
+    prints = texts.mapInArrow(made, "h bigint, fps array<bigint>").groupBy("h").agg(F.first("fps").alias("fps"))
+    nodes = cut(prints.join(least_keys, "h").select("h", "key", F.coalesce("key", far).alias("rank"), "fps"))
+    left, good = nodes, None
+    while True:
+        each = left.select("h", "rank", F.posexplode("fps").alias("t", "fp"))
+        # texts of one fingerprint are proposed to the first of them, and that one stands for the fingerprint
+        firsts = cut(each.groupBy("t", "fp").agg(F.min(F.struct("rank", "h")).alias("f")))
+        same = each.join(firsts, ["t", "fp"]).filter("h <> f.h").select(F.col("f.h").alias("a"), F.col("h").alias("b"))
+        near = links(firsts.select("t", "fp", F.col("f.h").alias("name"), F.col("f.rank").alias("rank")), firsts.count() // tables, radius)
+        pairs = cut(same.unionByName(near).distinct())
+        if not pairs.take(1):
+            break
+        judged = cut(verified(pairs, texts, width, least))
+        links_ = judged.filter("good").select("a", "b")
+        good = links_ if good is None else good.unionByName(links_)
+        # what found no copy and was no one's first goes on
+        again = judged.groupBy(F.col("b").alias("h")).agg(F.max("good").alias("done")).filter("not done").join(judged.select(F.col("a").alias("h")).distinct(), "h", "left_anti")
+        left = cut(left.join(again.select("h"), "h", "left_semi"))
+        if not left.take(1):
+            break
+    best = F.min(F.struct("rank", "h", "key")).alias("w")
+    if good is None:
+        rooted = nodes.withColumn("root", F.col("h"))
+    else:
+        rooted = cut(nodes.join(connected(good).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")))
+    winners = cut(rooted.groupBy("root").agg(best).select("root", F.col("w.key").alias("best"), F.col("w.h").alias("winner")))
+    return cut(rooted.select("h", "root").join(winners, "root").select("h", "best", "winner"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of near copies (see copies()): that with the smallest key (null keys last), of equal
+    keys that with the smallest text hash, of equal rows any one. Texts without words are copies of each other. All
+    columns, whatever their names, stay as they are; an empty table stays empty.
+    """
+    keyed = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h"))
+    told = keyed.join(copies(docs, key, text, **options), "h").select("key", "h", (F.col("key").eqNullSafe(F.col("best")) & (F.col("h") == F.col("winner"))).alias("stays"))
+    told = cut(told.groupBy("key", "h", "stays").count())
+    losers, again = told.filter("not stays").select("key", "h"), told.filter("stays and count > 1").select("key", "h")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h"))
 
-    def same(other: DataFrame):
-        return whole["key"].eqNullSafe(other["key"]) & (whole["h"] == other["h"])
+    def same(one: DataFrame, other: DataFrame):
+        return one["key"].eqNullSafe(other["key"]) & (one["h"] == other["h"])
 
-    kept = whole.join(losers, same(losers), "left_anti")
+    kept = whole.join(losers, same(whole, losers), "left_anti")
     if again.take(1):  # only rows that are repeated go through one more shuffle
-        kept = kept.join(again, kept["key"].eqNullSafe(again["key"]) & (kept["h"] == again["h"]), "left_anti").unionByName(kept.join(again, kept["key"].eqNullSafe(again["key"]) & (kept["h"] == again["h"]), "left_semi").dropDuplicates(["key", "h"]))
+        kept = kept.join(again, same(kept, again), "left_anti").unionByName(kept.join(again, same(kept, again), "left_semi").dropDuplicates(["key", "h"]))
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

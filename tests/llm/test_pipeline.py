@@ -1,12 +1,11 @@
 from collections import defaultdict
 
 import corpus_pipeline
-from pyspark.sql import functions as F
 
-from stowage.llm import langid, simhash
+from stowage.llm import langid
 from stowage.session import table
 
-from .test_duplicates import brute, slow_matches
+from .test_duplicates import kept_brute, slow_matches
 from .test_text_models import slow_base
 
 
@@ -21,7 +20,7 @@ def test_stages_against_brute_force(spark, sf_dir):
             model = langid.learn(docs)
             assert {r.doc_id for r in rows} == {k for k, r in before.items() if (p := model.predict(r.text))[0] != "und" and p[1] >= model.limit}
         elif name == "near_duplicates":
-            assert {r.doc_id for r in rows} == {c for _, _, c in brute([(k, r.text) for k, r in before.items()])}
+            assert {r.doc_id for r in rows} == kept_brute([(k, r.text) for k, r in before.items()])
         elif name == "benchmark_leaks":
             items = [tuple(r) for r in table(spark, sf_dir, "benchmark").collect()]
             assert {r.doc_id for r in rows} == before.keys() - {k for k, _ in slow_matches([(k, r.text) for k, r in before.items()], items)}
@@ -51,9 +50,3 @@ def test_odd_rows_go_through(spark, odd_docs, no_docs, sf_dir):
                 assert after.columns == docs.columns
                 docs = after
             after.collect()
-
-
-def test_no_two_near_duplicates_are_left(spark, sf_dir):
-    kept = simhash.keep_one(table(spark, sf_dir, "documents"))
-    again = simhash.near_duplicates(kept)
-    assert again.filter(F.col("component_id") != F.col("doc_id")).count() == 0
