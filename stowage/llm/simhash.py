@@ -90,15 +90,18 @@ def ball_masks(half: int, width: int, spent: int) -> np.ndarray:
     return np.concatenate([flips(k, width, 64) for k in range(half - spent + 1)])
 
 
-def bucket_forest(fps: np.ndarray, bucket: int, width: int, half: int) -> np.ndarray:
+def bucket_forest(fps: np.ndarray, bucket: int, width: int, half: int, nearest: bool = False) -> np.ndarray:
     """Pairs of places in fps that span what the fingerprints that reach this bucket have in common here: (the first of
-    its group, other). Each of fps is there once."""
+    its group, other); if nearest is set, also (the closest of those just before it in some variant, other). Each of fps is
+    there once."""
     low = np.uint64((1 << width) - 1)
     spent = np.bitwise_count((fps ^ np.uint64(bucket)) & low)
     groups = [(fps[spent == s] & ~low | np.uint64(bucket), np.flatnonzero(spent == s), ball_masks(half, width, s)) for s in range(half + 1)]
     total = sum(len(i) * len(m) for _, i, m in groups)
     passes = -(-total // AT_ONCE)
     parent = np.arange(len(fps))
+    far = np.int64(1) << 62
+    closest = np.full(len(fps), far)
 
     def root(k: int) -> int:
         while parent[k] != k:
@@ -129,25 +132,39 @@ def bucket_forest(fps: np.ndarray, bucket: int, width: int, half: int) -> np.nda
         mixed = lambda v: v * np.uint64(0xD6E8FEB86659FD93) >> shift
         seen[mixed(twice)] = True
         first = np.full(len(twice), -1)
+        met: list[tuple[np.ndarray, np.ndarray]] = []
         for v, index in variants(p):
             may = np.flatnonzero(seen[mixed(v)])
             at = np.searchsorted(twice, v[may])
             at[at == len(twice)] = 0
             hit = twice[at] == v[may]
             at, index = at[hit], index[may[hit]]
+            if nearest:
+                met.append((at, index))
             new = first[at] < 0
             first[at[new][::-1]] = index[new][::-1]
             for x, y in np.unique(np.stack([first[at], index], 1), axis=0).tolist():
                 if x != y and (rx := root(x)) != (ry := root(y)):
                     parent[max(rx, ry)] = min(rx, ry)
+        if met:
+            at, index = (np.concatenate(x) for x in zip(*met, strict=True))
+            order = np.lexsort((index, at))
+            at, index = at[order], index[order]
+            together = at[1:] == at[:-1]
+            before, after = index[:-1][together], index[1:][together]
+            np.minimum.at(closest, after, np.bitwise_count(fps[before] ^ fps[after]).astype(np.int64) << 40 | before)
     roots = np.array([root(k) for k in range(len(fps))], np.int64)
     moved = np.flatnonzero(roots != np.arange(len(fps)))
-    return np.stack([roots[moved], moved], 1)
+    out = np.stack([roots[moved], moved], 1)
+    if nearest:
+        has = np.flatnonzero(closest < far)
+        out = np.unique(np.concatenate([out, np.stack([closest[has] & (1 << 40) - 1, has], 1)]), axis=0)
+    return out
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+def links(distinct: DataFrame, n: int, radius: int = RADIUS, nearest: bool = False) -> DataFrame:
     """(a, b) for distinct (t, fp, name, rank) rows: names of fingerprints of a table t, pairs that span every group linked
-    within radius bits, none of them wrong; a has the group's least rank (then name).
+    within radius bits, none of them wrong; a has the group's least rank (then name). nearest: see bucket_forest().
 
     n, the number of rows, sets how many low bits make a bucket.
     """
@@ -162,7 +179,7 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
         fps, names, ranks = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (2, 3, 4))
         order = np.lexsort((names, ranks))
         names = names[order]
-        yield from map(tuple, names[bucket_forest(fps[order].view(np.uint64), bucket, width, half)].tolist())
+        yield from map(tuple, names[bucket_forest(fps[order].view(np.uint64), bucket, width, half, nearest)].tolist())
 
     def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[tuple]:
@@ -252,22 +269,24 @@ def similar(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """pairs (a, b) of text hashes with good: whether the shingle sets of their texts (h, text) are similar enough.
-
-    Only texts of some pair are shingled, each once; sets and pairs are cut first, so a text in many pairs is split.
-    """
+def shingle_sets(texts: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """(h, s) of the wanted hashes' texts (h, text): only those are shingled, each once; cut from its lineage."""
 
     def shingled(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
             yield from batches(((h, shingle_set(t, width).tobytes()) for h, t in rows(b)), pa.schema([("h", pa.int64()), ("s", pa.binary())]))
 
+    return cut(texts.join(wanted, "h", "left_semi").mapInArrow(shingled, "h bigint, s binary").groupBy("h").agg(F.first("s").alias("s")))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """pairs (a, b) of text hashes with good: whether their shingle sets are similar enough. Both sides are cut before,
+    so a text in many pairs is split."""
+
     def judged(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
             yield from batches(((x, y, similar(s, t) >= least) for x, y, s, t in rows(b, 64)), pa.schema([("a", pa.int64()), ("b", pa.int64()), ("good", pa.bool_())]))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    sets = cut(texts.join(ends, "h", "left_semi").mapInArrow(shingled, "h bigint, s binary").groupBy("h").agg(F.first("s").alias("s")))
     first = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a")
     return first.join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(judged, "a bigint, b bigint, good boolean")
 
@@ -275,9 +294,10 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, least: fl
 def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tables: int = TABLES, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """(h, best, winner) of every distinct text's hash: the key and the text hash of the row that stands for its group.
 
-    Groups are what links of exact similarity >= least join. Ball hashing on each table's word-set fingerprints proposes
-    pairs of a text and the smallest key near it; pairs are verified on whole texts; texts whose pair fails are proposed
-    again among themselves, without those that they failed with, until no proposal is left.
+    Groups are what links of exact similarity >= least join. Ball hashing on each table's word-set fingerprints proposes to
+    each text the smallest key of its group and the closest fingerprint before it, so proposals are linear in the texts,
+    however large a group is; they are verified on whole texts. Texts all of whose proposals fail are proposed again among
+    themselves, without those that they failed with, as long as a round finds a link.
     """
 
     def made(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,18 +312,22 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     least_keys = keyed.groupBy("h").agg(F.min("key").alias("key"))
     prints = texts.mapInArrow(made, "h bigint, fps array<bigint>").groupBy("h").agg(F.first("fps").alias("fps"))
     nodes = cut(prints.join(least_keys, "h").select("h", "key", F.coalesce("key", far).alias("rank"), "fps"))
-    left, good = nodes, None
+    left, good, sets = nodes, None, None
     while True:
         each = left.select("h", "rank", F.posexplode("fps").alias("t", "fp"))
         # texts of one fingerprint are proposed to the first of them, and that one stands for the fingerprint
         firsts = cut(each.groupBy("t", "fp").agg(F.min(F.struct("rank", "h")).alias("f")))
         same = each.join(firsts, ["t", "fp"]).filter("h <> f.h").select(F.col("f.h").alias("a"), F.col("h").alias("b"))
-        near = links(firsts.select("t", "fp", F.col("f.h").alias("name"), F.col("f.rank").alias("rank")), firsts.count() // tables, radius)
+        near = links(firsts.select("t", "fp", F.col("f.h").alias("name"), F.col("f.rank").alias("rank")), firsts.count() // tables, radius, True)
         pairs = cut(same.unionByName(near).distinct())
         if not pairs.take(1):
             break
-        judged = cut(verified(pairs, texts, width, least))
+        if sets is None:  # later rounds are among these texts
+            sets = shingle_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), width)
+        judged = cut(verified(pairs, sets, least))
         links_ = judged.filter("good").select("a", "b")
+        if not links_.take(1):
+            break
         good = links_ if good is None else good.unionByName(links_)
         # what found no copy and was no one's first goes on
         again = judged.groupBy(F.col("b").alias("h")).agg(F.max("good").alias("done")).filter("not done").join(judged.select(F.col("a").alias("h")).distinct(), "h", "left_anti")
