@@ -220,8 +220,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 # Removing near copies by what their texts share.
 
-#: Words per shingle, least similarity, and the tables whose word-set fingerprints propose pairs.
-SHINGLE, LEAST, TABLES = 5, 0.8, 6
+#: Words per shingle, least similarity, the tables whose word-set fingerprints propose pairs, rounds of proposals.
+SHINGLE, LEAST, TABLES, ROUNDS = 5, 0.8, 6, 3
 
 
 def word_prints(text: str | None, tables: int) -> list[int]:
@@ -291,13 +291,14 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFra
     return first.join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(judged, "a bigint, b bigint, good boolean")
 
 
-def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tables: int = TABLES, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tables: int = TABLES, width: int = SHINGLE, least: float = LEAST, rounds: int = ROUNDS) -> DataFrame:
     """(h, best, winner) of every distinct text's hash: the key and the text hash of the row that stands for its group.
 
     Groups are what links of exact similarity >= least join. Ball hashing on each table's word-set fingerprints proposes to
     each text the smallest key of its group and the closest fingerprint before it, so proposals are linear in the texts,
     however large a group is; they are verified on whole texts. Texts all of whose proposals fail are proposed again among
-    themselves, without those that they failed with, as long as a round finds a link.
+    themselves, without those that they failed with, in at most `rounds` rounds and while a round finds a link; what finds
+    none stays, so the result never loses a text that isn't a copy.
     """
 
     def made(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +314,7 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     prints = texts.mapInArrow(made, "h bigint, fps array<bigint>").groupBy("h").agg(F.first("fps").alias("fps"))
     nodes = cut(prints.join(least_keys, "h").select("h", "key", F.coalesce("key", far).alias("rank"), "fps"))
     left, good, sets = nodes, None, None
-    while True:
+    for _ in range(rounds):
         each = left.select("h", "rank", F.posexplode("fps").alias("t", "fp"))
         # texts of one fingerprint are proposed to the first of them, and that one stands for the fingerprint
         firsts = cut(each.groupBy("t", "fp").agg(F.min(F.struct("rank", "h")).alias("f")))
