@@ -162,16 +162,16 @@ def bucket_forest(fps: np.ndarray, bucket: int, width: int, half: int, nearest:
     return out
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS, nearest: bool = False) -> DataFrame:
+def links(distinct: DataFrame, n: int, radius: int = RADIUS, nearest: bool = False, per_bucket: int = 2048) -> DataFrame:
     """(a, b) for distinct (t, fp, name, rank) rows: names of fingerprints of a table t, pairs that span every group linked
     within radius bits, none of them wrong; a has the group's least rank (then name). nearest: see bucket_forest().
 
-    n, the number of rows, sets how many low bits make a bucket.
+    n, the number of rows of a table, sets how many low bits make a bucket: about per_bucket rows are of its own.
     """
     if radius % 2:
         raise ValueError("an even radius is needed: every pair that meets in a variant must be within it")
     half = radius // 2
-    width = min(20, max(6, (max(1, n) // 2048).bit_length()))
+    width = min(20, max(6, (max(1, n) // per_bucket).bit_length()))
     masks = [int(m) for k in range(half + 1) for m in flips(k, 0, width)]
     sent = distinct.select("t", "fp", "name", "rank", F.explode(F.array(*map(F.lit, masks))).alias("m")).select("t", F.col("m").bitwiseXOR(F.col("fp").bitwiseAND((1 << width) - 1)).cast("int").alias("bucket"), "fp", "name", "rank")
 
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 # Removing near copies by what their texts share.
 
 #: Words per shingle, least similarity, the tables whose word-set fingerprints propose pairs, rounds of proposals.
-SHINGLE, LEAST, TABLES, ROUNDS = 5, 0.8, 6, 3
+SHINGLE, LEAST, TABLES, ROUNDS = 5, 0.8, 5, 3
 
 
 def word_prints(text: str | None, tables: int) -> list[int]:
@@ -319,7 +319,7 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
         # texts of one fingerprint are proposed to the first of them, and that one stands for the fingerprint
         firsts = cut(each.groupBy("t", "fp").agg(F.min(F.struct("rank", "h")).alias("f")))
         same = each.join(firsts, ["t", "fp"]).filter("h <> f.h").select(F.col("f.h").alias("a"), F.col("h").alias("b"))
-        near = links(firsts.select("t", "fp", F.col("f.h").alias("name"), F.col("f.rank").alias("rank")), firsts.count() // tables, radius, True)
+        near = links(firsts.select("t", "fp", F.col("f.h").alias("name"), F.col("f.rank").alias("rank")), firsts.count() // tables, radius, True, 8192)
         pairs = cut(same.unionByName(near).distinct())
         if not pairs.take(1):
             break
