@@ -11,6 +11,7 @@ there is to say of it, and a forest per bucket is what leaves the task. Exact co
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -220,30 +221,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 # Removing near copies by what their texts share.
 
-#: Words per shingle, least similarity, the tables whose word-set fingerprints propose pairs, rounds of proposals.
-SHINGLE, LEAST, TABLES, ROUNDS = 5, 0.8, 5, 3
-
-
-def word_prints(text: str | None, tables: int) -> list[int]:
-    """A fingerprint for each table: a bit is 1 if set in over half of the hashes of the distinct words.
-
-    A few changed words change many shingles but little of the set of words: texts that share 0.8 of their 5-word
-    shingles differ in 4 bits on average here, in 8 to 10 by shingles.
-    """
-    from xxhash import xxh64_intdigest as hashed
-
-    words = sorted(set(words_of(text))) if text else []
-    if not words:
-        return [0] * tables
-    h = np.array([hashed(w, SEED) for w in words], np.uint64)
-    out = []
-    for t in range(tables):
-        x = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(t + 1)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        out.append(int.from_bytes(np.packbits(2 * bit_sums(x) > len(x)).tobytes(), "big"))
-    return out
+#: Words per shingle, least similarity; texts sampled for how common shingles are, and the least count that tells one.
+SHINGLE, LEAST, SAMPLE, COMMON = 5, 0.8, 8192, 4
+#: Members up to which a bucket gives all its pairs; bits of a set's parities; texts and bytes of shingles of a block;
+#: occurrences up to which a shingle's pairs are counted one by one.
+SMALL, PARITIES, BLOCK_TEXTS, BLOCK_BYTES, FEW = 8, 512, 512, 4 << 20, 16
 
 
 def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -291,50 +273,221 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFra
     return first.join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(judged, "a bigint, b bigint, good boolean")
 
 
-def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tables: int = TABLES, width: int = SHINGLE, least: float = LEAST, rounds: int = ROUNDS) -> DataFrame:
+def common_shingles(texts: DataFrame, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample of the distinct texts, in order, and their counts. They only set the order in
+    which prefix() takes shingles: any order finds the same pairs, this one keeps passages that many texts hold apart."""
+
+    def shingled(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for (t,) in rows(b):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width).view(np.int64))], ["w"])
+
+    part = max(1, texts.count() // SAMPLE)
+    sample = texts.filter(F.pmod(F.xxhash64("h"), F.lit(part)) == 0).groupBy("h").agg(F.first("text").alias("text"))
+    counts = sample.select("text").mapInArrow(shingled, "w bigint").groupBy("w").count().filter(F.col("count") >= COMMON)
+    found = np.array([tuple(r) for r in counts.orderBy(F.desc("count"), "w").limit(1 << 16).collect()], np.int64).reshape(-1, 2)
+    w = found[:, 0].copy().view(np.uint64)
+    order = np.argsort(w)
+    return w[order], found[order, 1]
+
+
+def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float = LEAST) -> np.ndarray:
+    """The first shingles of a set in one order of all shingles, uncommon ones first: two sets of n and m shingles whose
+    similarity is at least `least` share least * n, so among the first n - ceil(least * n) + 1 of each is a shared one.
+    Texts without words share the shingle 0."""
+    n = len(own)
+    if not n:
+        return np.zeros(1, np.uint64)
+    known, counts = common
+    often = np.zeros(n, np.int64)
+    if len(known):
+        at = np.searchsorted(known, own)
+        at[at == len(known)] = 0
+        often = np.where(known[at] == own, counts[at], 0)
+    return own[np.lexsort((own, often))][: n - int(np.ceil(least * n - 1e-9)) + 1]
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's shingles fall on each of PARITIES bits, as 64-bit words: two sets differ in at
+    least as many shingles as these bits."""
+    return np.packbits(np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).view(np.uint64)
+
+
+def bucket_pairs(w: np.ndarray, h: np.ndarray, n: np.ndarray, least: float = LEAST) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """For rows in order of (w, n) with whole buckets w: all pairs of h from a bucket of up to SMALL members, if their sizes
+    n allow the similarity (False); the rows (w, h) of a larger bucket (True)."""
+    starts = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+    members = np.repeat(np.diff(np.append(starts, len(w))), np.diff(np.append(starts, len(w))))
+    yield w[members > SMALL], h[members > SMALL], True
+    for d in range(1, min(SMALL, len(w))):
+        at = np.flatnonzero((w[d:] == w[:-d]) & (n[:-d] >= least * n[d:] - 1e-9) & (members[d:] <= SMALL))
+        yield np.minimum(h[at], h[at + d]), np.maximum(h[at], h[at + d]), False
+
+
+def proposed(postings: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b, many) of (w, h, n) rows, see bucket_pairs(); each once."""
+
+    def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def paired(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            for x, y, many in bucket_pairs(*(np.concatenate(c) for c in zip(*held, strict=True)), least):
+                for k in range(0, len(x), 1 << 16):
+                    a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), many))], ["a", "b", "many"])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        for p in parts:
+            if not p.num_rows:
+                continue
+            cols = tuple(c.to_numpy() for c in p.columns)
+            # what is before the last bucket of the batch is whole
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if held and (last or held[-1][0][-1] != cols[0][0]):
+                if last:
+                    held.append(tuple(c[:last] for c in cols))
+                yield from paired(held)
+                held = []
+            elif last:
+                yield from paired([tuple(c[:last] for c in cols)])
+            held.append(tuple(c[last:] for c in cols))
+        if held:
+            yield from paired(held)
+
+    return postings.repartition("w").sortWithinPartitions("w", "n", "h").mapInArrow(found, "a bigint, b bigint, many boolean").distinct()
+
+
+def may_be(n, m, differ, least: float = LEAST):
+    """Whether sets of n and m shingles, which differ in `differ` at least, can be similar enough; arrays or columns."""
+    return differ <= (n + m) * ((1 - least) / (1 + least)) + 1e-6
+
+
+def large_buckets(members: DataFrame, prints: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b) of (a: bucket, b: text hash) rows: text hashes that span what pairs that may be similar by their sizes and
+    parities join in each bucket. What a text reaches leaves the bucket, so a dense group takes few comparisons."""
+
+    def spanned(names: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int]]:
+        left, reached = np.arange(len(names)), []
+        while len(left):
+            if not reached:
+                reached, left = [left[0]], left[1:]
+            k = reached.pop()
+            near = may_be(n[left], n[k], np.bitwise_count(bits[left] ^ bits[k]).sum(axis=1, dtype=np.int64), least)
+            yield from ((int(names[k]), x) for x in names[left[near]].tolist())
+            reached += left[near].tolist()
+            left = left[~near]
+
+    def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple]:
+            for _, held in itertools.groupby((r for b in parts for r in rows(b)), key=lambda r: r[0]):
+                _, names, n, bits = zip(*held, strict=True)
+                yield from spanned(np.array(names, np.int64), np.array(n, np.int64), np.array(bits, np.int64).view(np.uint64))
+
+        yield from batches(made(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    with_bits = members.join(prints.select(F.col("h").alias("b"), "n", "bits"), "b").select("a", "b", "n", "bits")
+    return with_bits.repartition("a").sortWithinPartitions("a", "b").mapInArrow(found, "a bigint, b bigint")
+
+
+def block_links(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
+    """(first, other) places that span the groups which pairs of similarity >= least join; every pair is compared."""
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], np.repeat(np.arange(m), sizes)[order]
+    count = np.bincount(at)[at]
+    both = np.zeros((m, m), np.int64)
+    few = np.flatnonzero((count > 1) & (count <= FEW))
+    x, own = at[few], owner[few]
+    for d in range(1, min(FEW, len(x))):
+        same = x[d:] == x[:-d]
+        both += np.bincount(own[:-d][same] * m + own[d:][same], minlength=m * m).reshape(m, m)
+    often = np.flatnonzero(count > FEW)
+    x, own = np.unique(at[often], return_inverse=True)[1], owner[often]
+    for k in range(0, int(x.max()) + 1 if len(x) else 0, 2048):
+        part = (x >= k) & (x < k + 2048)
+        held = np.zeros((m, 2048), np.float32)
+        held[own[part], x[part] - k] = 1
+        both += np.triu(held @ held.T, 1).astype(np.int64)
+    near = both / np.maximum(1, sizes[:, None] + sizes - both) >= least
+    near |= near.T
+    out, left = [], np.ones(m, bool)
+    for k in range(m):
+        if left[k]:
+            group = np.zeros(m, bool)
+            new = np.arange(m) == k
+            while new.any():
+                group |= new
+                new = near[new].any(axis=0) & ~group
+            left &= ~group
+            out += [(k, o) for o in np.flatnonzero(group).tolist() if o != k]
+    return out
+
+
+def group_links(groups: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b) of (node, root) rows: text hashes that span what pairs of similarity >= least join within a root's texts.
+
+    A root's texts are dealt into blocks of bounded size, and each two blocks meet in a task, so every pair is compared
+    in bounded memory; what leaves is a forest for each two blocks, never the pairs.
+    """
+    sized = sets.select(F.col("h").alias("node"), F.length("s").alias("size"))
+    totals = cut(groups.join(sized, "node").groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("n")))
+    placed = cut(groups.join(totals, "root").withColumn("x", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")))
+    others = F.when(F.col("n") < 2, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda y: y != F.col("x")))
+    met = placed.join(sets.withColumnRenamed("h", "node"), "node").withColumn("y", F.explode(others))
+    met = met.select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "s")
+
+    def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple]:
+            for _, held in itertools.groupby((r for b in parts for r in rows(b)), key=lambda r: r[:3]):
+                names, own = zip(*((r[3], np.frombuffer(r[4], np.uint64)) for r in held), strict=True)
+                yield from ((names[a], names[b]) for a, b in block_links([s if len(s) else np.zeros(1, np.uint64) for s in own], least))
+
+        yield from batches(made(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(found, "a bigint, b bigint")
+
+
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """(h, best, winner) of every distinct text's hash: the key and the text hash of the row that stands for its group.
 
-    Groups are what links of exact similarity >= least join. Ball hashing on each table's word-set fingerprints proposes to
-    each text the smallest key of its group and the closest fingerprint before it, so proposals are linear in the texts,
-    however large a group is; they are verified on whole texts. Texts all of whose proposals fail are proposed again among
-    themselves, without those that they failed with, in at most `rounds` rounds and while a round finds a link; what finds
-    none stays, so the result never loses a text that isn't a copy.
+    Groups are what links of exact similarity >= least join, all of them: a prefix filter over the shingles (see prefix())
+    misses no pair, and only pairs whose sets' sizes or parities rule the similarity out are put aside. Pairs of small
+    buckets are verified one by one; the texts that larger buckets join are compared block by block, each with every other
+    (see group_links()), so a large group leaves no pairs but a forest.
     """
 
     def made(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
-            own = ((h, [f - (f >> 63 << 64) for f in word_prints(t, tables)]) for h, t in rows(b))
-            yield from batches(own, pa.schema([("h", pa.int64()), ("fps", pa.list_(pa.int64()))]))
+            own = ((h, len(s := shingle_set(t, width)), prefix(s, common.value, least).tobytes(), parities(s).view(np.int64).tolist()) for h, t in rows(b))
+            yield from batches(own, pa.schema([("h", pa.int64()), ("n", pa.int32()), ("p", pa.binary()), ("bits", pa.list_(pa.int64()))]))
+
+    def spread(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for a in range(0, b.num_rows, 64):
+                h, n, p = (c.to_pylist() for c in b.slice(a, 64).columns)
+                w = np.frombuffer(b"".join(p), np.int64)
+                many = [len(x) // 8 for x in p]
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.repeat(np.array(h, np.int64), many)), pa.array(np.repeat(np.array(n, np.int32), many))], ["w", "h", "n"])
 
     modest(docs.sparkSession)
     texts = docs.select(F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
     far = F.lit((1 << 63) - 1)
     keyed = docs.select(F.xxhash64(F.col(text)).alias("h"), F.col(key).cast("bigint").alias("key"))
-    least_keys = keyed.groupBy("h").agg(F.min("key").alias("key"))
-    prints = texts.mapInArrow(made, "h bigint, fps array<bigint>").groupBy("h").agg(F.first("fps").alias("fps"))
-    nodes = cut(prints.join(least_keys, "h").select("h", "key", F.coalesce("key", far).alias("rank"), "fps"))
-    left, good, sets = nodes, None, None
-    for _ in range(rounds):
-        each = left.select("h", "rank", F.posexplode("fps").alias("t", "fp"))
-        # texts of one fingerprint are proposed to the first of them, and that one stands for the fingerprint
-        firsts = cut(each.groupBy("t", "fp").agg(F.min(F.struct("rank", "h")).alias("f")))
-        same = each.join(firsts, ["t", "fp"]).filter("h <> f.h").select(F.col("f.h").alias("a"), F.col("h").alias("b"))
-        near = links(firsts.select("t", "fp", F.col("f.h").alias("name"), F.col("f.rank").alias("rank")), firsts.count() // tables, radius, True, 8192)
-        pairs = cut(same.unionByName(near).distinct())
-        if not pairs.take(1):
-            break
-        if sets is None:  # later rounds are among these texts
-            sets = shingle_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), width)
-        judged = cut(verified(pairs, sets, least))
-        links_ = judged.filter("good").select("a", "b")
-        if not links_.take(1):
-            break
-        good = links_ if good is None else good.unionByName(links_)
-        # what found no copy and was no one's first goes on
-        again = judged.groupBy(F.col("b").alias("h")).agg(F.max("good").alias("done")).filter("not done").join(judged.select(F.col("a").alias("h")).distinct(), "h", "left_anti")
-        left = cut(left.join(again.select("h"), "h", "left_semi"))
-        if not left.take(1):
-            break
+    nodes = cut(keyed.groupBy("h").agg(F.min("key").alias("key")).withColumn("rank", F.coalesce("key", far)))
+    firsts = [F.first(c).alias(c) for c in ("n", "p", "bits")]
+    prints = cut(texts.mapInArrow(made, "h bigint, n int, p binary, bits array<bigint>").groupBy("h").agg(*firsts))
+    pairs = cut(proposed(prints.select("h", "n", "p").mapInArrow(spread, "w bigint, h bigint, n int"), least))
+    bits = [prints.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
+    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    few = cut(pairs.filter("not many").join(bits[0], "a").join(bits[1], "b").filter(may_be(F.col("na"), F.col("nb"), differ, least)).select("a", "b"))
+    many = cut(large_buckets(pairs.filter("many").select("a", "b"), prints, least).distinct())
+    good, any_many = None, bool(many.take(1))
+    if any_many or few.take(1):
+        sets = shingle_sets(texts, few.unionByName(many).select(F.explode(F.array("a", "b")).alias("h")).distinct(), width)
+        good = verified(few, sets, least).filter("good").select("a", "b")
+        if any_many:
+            good = good.unionByName(group_links(connected(many), sets, least))
     best = F.min(F.struct("rank", "h", "key")).alias("w")
     if good is None:
         rooted = nodes.withColumn("root", F.col("h"))

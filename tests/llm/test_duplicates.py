@@ -159,6 +159,31 @@ def test_failed_proposals_are_proposed_again(spark):
     assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2, 5}
 
 
+def kept(spark, texts):
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    return {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}, kept_brute(rows)
+
+
+def scattered(rng, words, most, number=200, length=300):
+    """Variants of one text with up to `most` words changed anywhere."""
+    base, out = [rng.choice(words) for _ in range(length)], []
+    for _ in range(number):
+        own = list(base)
+        for at in rng.sample(range(length), rng.randint(1, most)):
+            own[at] = rng.choice(words)
+        out.append(own)
+    return out
+
+
+def test_a_loose_group_keeps_no_linked_copy(spark):
+    """Most pairs of the group fail: what fails with some texts must still be compared with all others."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(4000)]
+    texts = scattered(rng, words, 8) + scattered(rng, words, 14)
+    got, want = kept(spark, texts)
+    assert got == want and 1 < len(want) < len(texts)
+
+
 def test_similarity_of_shingle_sets():
     rng = random.Random(4)
     for _ in range(200):
