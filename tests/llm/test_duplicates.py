@@ -184,6 +184,34 @@ def test_a_loose_group_keeps_no_linked_copy(spark):
     assert got == want and 1 < len(want) < len(texts)
 
 
+def test_block_links():
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(t) for t in scattered(rng, words, 12, 60, 120) + scattered(rng, words, 3, 10, 120) + scattered(rng, words, 20, 30, 40)]
+    near = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if jaccard(texts[a], texts[b]) >= 0.8]
+    got = simhash.block_links([simhash.shingle_set(t) for t in texts])
+    assert len(got) < len(texts) and roots(range(len(texts)), got) == roots(range(len(texts)), near)
+
+
+def test_groups_larger_than_a_block(spark, monkeypatch):
+    """Every two blocks of a group meet."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 16)
+    texts = scattered(random.Random(13), [f"w{k}" for k in range(4000)], 12, 120, 200)
+    got, want = kept(spark, texts)
+    assert got == want and 1 < len(want) < len(texts)
+
+
+def test_many_orders_of_the_same_words(spark):
+    """Five orders of one word set, each with copies: the word sets say nothing about which texts are copies."""
+    rng = random.Random(14)
+    words, texts = [f"w{k}" for k in range(150)], []
+    for _ in range(5):
+        own = rng.sample(words, len(words))
+        texts += [own, [*own[:-1], "new"], [*own[:-2], "newer", "newest"]]
+    got, want = kept(spark, rng.sample(texts, len(texts)))
+    assert got == want and len(want) == 5
+
+
 def test_similarity_of_shingle_sets():
     rng = random.Random(4)
     for _ in range(200):
