@@ -212,6 +212,30 @@ def test_many_orders_of_the_same_words(spark):
     assert got == want and len(want) == 5
 
 
+def test_added_and_cut_text(spark):
+    """A fifth appended or almost a fifth cut off is similar enough: each text loses its copy."""
+    rng, texts = random.Random(15), []
+    for size in (100, 250, 1000):
+        for _ in range(10):
+            base = [f"v{rng.randrange(10**6)}" for _ in range(size)]
+            more = [f"v{rng.randrange(10**6)}" for _ in range(size // 5)]
+            texts += [base, base + more] if rng.random() < 0.5 else [base, base[: size - size * 18 // 100]]
+    got, want = kept(spark, texts)
+    assert got == want and len(want) == 30
+
+
+def test_prefixes_meet():
+    """Whatever is common, prefixes of sets that are similar enough share a shingle."""
+    rng = random.Random(16)
+    for _ in range(300):
+        base = [rng.getrandbits(64) for _ in range(rng.randrange(1, 60))]
+        more = [rng.getrandbits(64) for _ in range(rng.randrange(0, len(base) // 4 + 1))]
+        a, b = (np.unique(np.array(x, np.uint64)) for x in (base, base + more))
+        w = np.unique(np.array(rng.sample(base, len(base) // 2), np.uint64))
+        common = w, np.array([rng.randrange(1, 9) for _ in w], np.int64)
+        assert len(base) / len(b) < 0.8 or len(np.intersect1d(simhash.prefix(a, common), simhash.prefix(b, common)))
+
+
 def test_similarity_of_shingle_sets():
     rng = random.Random(4)
     for _ in range(200):
