@@ -7,9 +7,12 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,10 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder, so that what follows neither recomputes it nor needs its executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, bare: bool = False) -> DataFrame:
+    """Write df to the shared folder, so that what follows neither recomputes it nor needs its executors.
+
+    bare: forget the plan's estimate of its size too. A checkpoint keeps it, a join's is the product of its sides', and in
+    a loop these products grow until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    made = df.checkpoint()
+    if not bare:
+        return made
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(made._jdf.queryExecution().toRdd(), made._jdf.schema(), False), spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -100,3 +111,23 @@ def batches(found, schema: pa.Schema, most_bytes: int = 8 << 20, most_rows: int
             held, weight = [], 0
     if held:
         yield batch(schema, held)
+
+
+#: Bits of a sieve.
+SIEVE = 1 << 26
+
+
+def sieve(found: DataFrame, c: str):
+    """A test for arrays of 64-bit hashes that holds for all in column c of found and for few others (all, if found is far
+    larger than SIEVE): what it clears needs no join. It is a bitmap of SIEVE bits, 8 MB, whatever the size of found."""
+    at = F.pmod(F.col(c), F.lit(SIEVE))
+    words = found.select(F.shiftright(at, 5).cast("int").alias("w"), at.bitwiseAND(31).alias("bit")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1, cast(bit as int))")).alias("b")).toArrow()
+    bitmap = np.zeros(SIEVE >> 5, np.int32)
+    bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    shared = found.sparkSession.sparkContext.broadcast(bitmap.view(np.uint32))
+
+    def near(h: np.ndarray) -> np.ndarray:
+        own = h.view(np.uint64) & np.uint64(SIEVE - 1)
+        return (shared.value[(own >> np.uint64(5)).astype(np.int64)] >> (own & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+    return near

@@ -12,15 +12,18 @@ from __future__ import annotations
 
 import functools
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, modest, rows
+from .common import batches, cut, modest, rows, sieve
 from .components import connected
+from .shingles import LEAST, SHINGLE, differing, may_be, parities, partners, prefix, shingle_set, similar, words_of
 
 #: Words per shingle, seed and radius of the defaults; white space that parts words; variants written out at once.
 WORDS, SEED, RADIUS, AT_ONCE = 4, 42, 4, 1 << 22
@@ -28,11 +31,6 @@ WORDS, SEED, RADIUS, AT_ONCE = 4, 42, 4, 1 << 22
 BLOCK, LANES = 1 << 16, 255
 
 
-def words_of(text: str) -> list[bytes]:
-    """The words of a text, A-Z lower-cased, parted by ASCII white space: exactly bytes.split() and bytes.lower()."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
 def bit_sums(h: np.ndarray) -> np.ndarray:
     """How many of h (unsigned 64-bit) have each bit set, bit 63 first."""
     bits = np.unpackbits(h.astype(">u8").view(np.uint8)).view(np.uint64).reshape(-1, 8)
@@ -91,18 +89,15 @@ def ball_masks(half: int, width: int, spent: int) -> np.ndarray:
     return np.concatenate([flips(k, width, 64) for k in range(half - spent + 1)])
 
 
-def bucket_forest(fps: np.ndarray, bucket: int, width: int, half: int, nearest: bool = False) -> np.ndarray:
+def bucket_forest(fps: np.ndarray, bucket: int, width: int, half: int) -> np.ndarray:
     """Pairs of places in fps that span what the fingerprints that reach this bucket have in common here: (the first of
-    its group, other); if nearest is set, also (the closest of those just before it in some variant, other). Each of fps is
-    there once."""
+    its group, other). Each of fps is there once."""
     low = np.uint64((1 << width) - 1)
     spent = np.bitwise_count((fps ^ np.uint64(bucket)) & low)
     groups = [(fps[spent == s] & ~low | np.uint64(bucket), np.flatnonzero(spent == s), ball_masks(half, width, s)) for s in range(half + 1)]
     total = sum(len(i) * len(m) for _, i, m in groups)
     passes = -(-total // AT_ONCE)
     parent = np.arange(len(fps))
-    far = np.int64(1) << 62
-    closest = np.full(len(fps), far)
 
     def root(k: int) -> int:
         while parent[k] != k:
@@ -133,74 +128,85 @@ def bucket_forest(fps: np.ndarray, bucket: int, width: int, half: int, nearest:
         mixed = lambda v: v * np.uint64(0xD6E8FEB86659FD93) >> shift
         seen[mixed(twice)] = True
         first = np.full(len(twice), -1)
-        met: list[tuple[np.ndarray, np.ndarray]] = []
         for v, index in variants(p):
             may = np.flatnonzero(seen[mixed(v)])
             at = np.searchsorted(twice, v[may])
             at[at == len(twice)] = 0
             hit = twice[at] == v[may]
             at, index = at[hit], index[may[hit]]
-            if nearest:
-                met.append((at, index))
             new = first[at] < 0
             first[at[new][::-1]] = index[new][::-1]
             for x, y in np.unique(np.stack([first[at], index], 1), axis=0).tolist():
                 if x != y and (rx := root(x)) != (ry := root(y)):
                     parent[max(rx, ry)] = min(rx, ry)
-        if met:
-            at, index = (np.concatenate(x) for x in zip(*met, strict=True))
-            order = np.lexsort((index, at))
-            at, index = at[order], index[order]
-            together = at[1:] == at[:-1]
-            before, after = index[:-1][together], index[1:][together]
-            np.minimum.at(closest, after, np.bitwise_count(fps[before] ^ fps[after]).astype(np.int64) << 40 | before)
     roots = np.array([root(k) for k in range(len(fps))], np.int64)
     moved = np.flatnonzero(roots != np.arange(len(fps)))
-    out = np.stack([roots[moved], moved], 1)
-    if nearest:
-        has = np.flatnonzero(closest < far)
-        out = np.unique(np.concatenate([out, np.stack([closest[has] & (1 << 40) - 1, has], 1)]), axis=0)
-    return out
+    return np.stack([roots[moved], moved], 1)
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS, nearest: bool = False, per_bucket: int = 2048) -> DataFrame:
-    """(a, b) for distinct (t, fp, name, rank) rows: names of fingerprints of a table t, pairs that span every group linked
-    within radius bits, none of them wrong; a has the group's least rank (then name). nearest: see bucket_forest().
-
-    n, the number of rows of a table, sets how many low bits make a bucket: about per_bucket rows are of its own.
+def runs(parts: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """The rows of sorted batches by what is in their first `keys` columns, all integers without nulls: (values, slices)."""
+    now, held = None, []
+    for b in parts:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1).tolist(), b.num_rows]
+        for x, y in itertools.pairwise(cuts):
+            at = tuple(int(c[x]) for c in cols)
+            if at != now:
+                if held:
+                    yield now, held
+                now, held = at, []
+            held.append(b.slice(x, y - x))
+    if held:
+        yield now, held
+
+
+def gathered(parts: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """The columns of batches, joined until there are `most` rows or no more; none is empty."""
+    held, n = [], 0
+    for b in itertools.chain(parts, [None]):
+        if b is not None and b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= most or b is None and n:
+            yield [np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(held[0].num_columns)]
+            held, n = [], 0
+
+
+def links(distinct: DataFrame, n: int, radius: int = RADIUS, per_bucket: int = 2048, crowd: int = 4096) -> DataFrame:
+    """(a, b) for distinct fingerprints fp: pairs that span every group linked within radius bits, none of them wrong.
+
+    n, the number of fingerprints, sets how many low bits make a bucket: about per_bucket are of its own. A bucket that
+    more than twice the mean number reach (and `crowd`) is dealt into parts, each two of which meet in a task, so that no
+    task holds more than about twice the mean. Such buckets are less than half of all, 2^20 at most, and are broadcast.
     """
     if radius % 2:
         raise ValueError("an even radius is needed: every pair that meets in a variant must be within it")
     half = radius // 2
     width = min(20, max(6, (max(1, n) // per_bucket).bit_length()))
     masks = [int(m) for k in range(half + 1) for m in flips(k, 0, width)]
-    sent = distinct.select("t", "fp", "name", "rank", F.explode(F.array(*map(F.lit, masks))).alias("m")).select("t", F.col("m").bitwiseXOR(F.col("fp").bitwiseAND((1 << width) - 1)).cast("int").alias("bucket"), "fp", "name", "rank")
-
-    def forest(bucket: int, held: list[pa.RecordBatch]) -> Iterator[tuple]:
-        fps, names, ranks = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (2, 3, 4))
-        order = np.lexsort((names, ranks))
-        names = names[order]
-        yield from map(tuple, names[bucket_forest(fps[order].view(np.uint64), bucket, width, half, nearest)].tolist())
+    sent = distinct.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("m")).select(F.col("m").bitwiseXOR(F.col("fp").bitwiseAND((1 << width) - 1)).cast("int").alias("bucket"), "fp")
+    most = max(crowd, 2 * n * len(masks) >> width)
+    crowded = cut(sent.groupBy("bucket").count().filter(F.col("count") > most).select("bucket", F.ceil(F.col("count") * 2 / most).cast("int").alias("parts")))
+    if crowded.take(1):
+        dealt = sent.join(F.broadcast(crowded), "bucket", "left").withColumn("x", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
+        met = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda y: y != F.col("x")))
+        sent = dealt.withColumn("y", F.explode(met)).select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "fp")
+    else:
+        sent = sent.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
 
     def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[tuple]:
-            now, held = None, []
-            for b in parts:
-                at = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy()
-                cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
-                for x, y in zip(cuts, cuts[1:], strict=False):
-                    if y > x:
-                        if at[x] != now:
-                            if held:
-                                yield from forest(now & 0xFFFFFFFF, held)
-                            now, held = int(at[x]), []
-                        held.append(b.slice(x, y - x))
-            if held:
-                yield from forest(now & 0xFFFFFFFF, held)
+            for (bucket, _, _), held in runs(parts, 3):
+                fps = np.sort(np.concatenate([b.column(3).to_numpy() for b in held]))
+                yield from map(tuple, fps[bucket_forest(fps.view(np.uint64), bucket, width, half)].tolist())
 
         yield from batches(made(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), most_rows=1 << 16)
 
-    return sent.repartition("t", "bucket").sortWithinPartitions("t", "bucket").mapInArrow(found, "a bigint, b bigint")
+    deal = ["bucket", "i", "j"]
+    return sent.repartition(*deal).sortWithinPartitions(*deal).mapInArrow(found, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -212,78 +218,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     """
     own = cut(fingerprints(docs, key, text, width, seed))
     groups = cut(own.groupBy("fp").agg(F.min("key").alias("first")))
-    found = connected(links(groups.select(F.lit(0).alias("t"), "fp", F.col("fp").alias("name"), F.lit(0).cast("bigint").alias("rank")), groups.count(), radius))
+    found = connected(links(groups.select("fp"), groups.count(), radius))
     rooted = cut(groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     classes = cut(rooted.join(least, "root").select("fp", "component_id"))
     return own.join(classes, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Removing near copies by what their texts share.
-
-#: Words per shingle, least similarity; texts sampled for how common shingles are, and the least count that tells one.
-SHINGLE, LEAST, SAMPLE, COMMON = 5, 0.8, 8192, 4
-#: Members up to which a bucket gives all its pairs; bits of a set's parities; texts and bytes of shingles of a block;
-#: occurrences up to which a shingle's pairs are counted one by one.
-SMALL, PARITIES, BLOCK_TEXTS, BLOCK_BYTES, FEW = 8, 512, 512, 4 << 20, 16
-
-
-def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles; a text of fewer words is one shingle, one without words has none."""
-    from xxhash import xxh64_intdigest as hashed
-
-    words = words_of(text) if text else []
-    own = np.fromiter((hashed(w, SEED) for w in words), np.uint64, len(words))
-    if not len(own):
-        return own
-    n = max(1, len(own) - width + 1)
-    h = np.zeros(n, np.uint64)
-    for k in range(min(width, len(own))):
-        h = (h ^ own[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return np.unique(h)
-
-
-def similar(a: bytes, b: bytes) -> float:
-    """The Jaccard similarity of two shingle sets; that of two empty ones is 1."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+# Removing near copies: fingerprints within the radius first, then an exact way for the pairs that they leave.
 
+#: Texts sampled for how common shingles are, least count that tells one, and from which count its texts are dealt out.
+SAMPLE, COMMON, HOT = 8192, 4, 32
+#: Members up to which a bucket gives all its pairs; texts of a block of a larger one; ranks of partners taken first and
+#: how many times as far each next round goes.
+SMALL, BLOCK_TEXTS, FIRST, FURTHER = 8, 2048, 4, 8
+PAIR = "a bigint, b bigint"
 
-def shingle_sets(texts: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(h, s) of the wanted hashes' texts (h, text): only those are shingled, each once; cut from its lineage."""
 
-    def shingled(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in found:
-            yield from batches(((h, shingle_set(t, width).tobytes()) for h, t in rows(b)), pa.schema([("h", pa.int64()), ("s", pa.binary())]))
-
-    return cut(texts.join(wanted, "h", "left_semi").mapInArrow(shingled, "h bigint, s binary").groupBy("h").agg(F.first("s").alias("s")))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """pairs (a, b) of text hashes with good: whether their shingle sets are similar enough. Both sides are cut before,
-    so a text in many pairs is split."""
-
-    def judged(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in found:
-            yield from batches(((x, y, similar(s, t) >= least) for x, y, s, t in rows(b, 64)), pa.schema([("a", pa.int64()), ("b", pa.int64()), ("good", pa.bool_())]))
+def text_hash(text: str) -> F.Column:
+    """A hash of the text; 0 for null and for texts without words."""
+    return F.when(F.col(text).rlike(r"[^ \t-\r]"), F.xxhash64(F.col(text))).otherwise(F.lit(0).cast("bigint"))
 
-    first = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a")
-    return first.join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(judged, "a bigint, b bigint, good boolean")
 
-
-def common_shingles(texts: DataFrame, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample of the distinct texts, in order, and their counts. They only set the order in
-    which prefix() takes shingles: any order finds the same pairs, this one keeps passages that many texts hold apart."""
+def common_shingles(texts: DataFrame, n: int, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample of about SAMPLE distinct of n texts (h, text), in order, and their counts.
+    They only set the order in which prefix() takes shingles and how buckets are dealt: any order finds the same pairs,
+    this one keeps passages that many texts hold apart."""
 
     def shingled(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
             for (t,) in rows(b):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width).view(np.int64))], ["w"])
 
-    part = max(1, texts.count() // SAMPLE)
-    sample = texts.filter(F.pmod(F.xxhash64("h"), F.lit(part)) == 0).groupBy("h").agg(F.first("text").alias("text"))
+    sample = texts.filter(F.pmod(F.xxhash64("h"), F.lit(max(1, n // SAMPLE))) == 0).groupBy("h").agg(F.first("text").alias("text"))
     counts = sample.select("text").mapInArrow(shingled, "w bigint").groupBy("w").count().filter(F.col("count") >= COMMON)
     found = np.array([tuple(r) for r in counts.orderBy(F.desc("count"), "w").limit(1 << 16).collect()], np.int64).reshape(-1, 2)
     w = found[:, 0].copy().view(np.uint64)
@@ -291,227 +258,266 @@ def common_shingles(texts: DataFrame, width: int = SHINGLE) -> tuple[np.ndarray,
     return w[order], found[order, 1]
 
 
-def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float = LEAST) -> np.ndarray:
-    """The first shingles of a set in one order of all shingles, uncommon ones first: two sets of n and m shingles whose
-    similarity is at least `least` share least * n, so among the first n - ceil(least * n) + 1 of each is a shared one.
-    Texts without words share the shingle 0."""
-    n = len(own)
-    if not n:
-        return np.zeros(1, np.uint64)
-    known, counts = common
-    often = np.zeros(n, np.int64)
-    if len(known):
-        at = np.searchsorted(known, own)
-        at[at == len(known)] = 0
-        often = np.where(known[at] == own, counts[at], 0)
-    return own[np.lexsort((own, often))][: n - int(np.ceil(least * n - 1e-9)) + 1]
+def prints_of(texts: DataFrame, common, width: int, least: float) -> DataFrame:
+    """(h, n, fp, bits, p) of (h, text): size, SimHash, parities and prefix of a text's shingle set; a text that a task has
+    seen before is left out there, so that a hot one comes once a task."""
+
+    def made(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def own() -> Iterator[tuple]:
+            seen: set[int] = set()
+            for b in found:
+                for h, t in rows(b):
+                    if h not in seen:
+                        seen.add(h)
+                        s = shingle_set(t, width)
+                        fp = np.packbits(2 * bit_sums(s) > len(s)).view(">i8")[0]
+                        yield h, len(s), int(fp), parities(s).tobytes(), prefix(s, common.value, least).tobytes()
+
+        yield from batches(own(), pa.schema([("h", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bits", pa.binary()), ("p", pa.binary())]))
+
+    return texts.mapInArrow(made, "h bigint, n int, fp bigint, bits binary, p binary")
 
 
-def parities(own: np.ndarray) -> np.ndarray:
-    """Whether an odd number of a set's shingles fall on each of PARITIES bits, as 64-bit words: two sets differ in at
-    least as many shingles as these bits."""
-    return np.packbits(np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).view(np.uint64)
+def postings(prints: DataFrame, hot: np.ndarray, wanted: bool) -> DataFrame:
+    """(w, h, n) for every shingle w of the prefixes that is hot, or isn't, as wanted."""
+
+    def spread(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for a in range(0, b.num_rows, 256):
+                h, n, p = (c.to_pylist() for c in b.slice(a, 256).columns)
+                w, many = np.frombuffer(b"".join(p), np.uint64), [len(x) // 8 for x in p]
+                at = np.flatnonzero(np.isin(w, hot) == wanted)
+                cols = w[at].view(np.int64), np.repeat(np.array(h, np.int64), many)[at], np.repeat(np.array(n, np.int32), many)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["w", "h", "n"])
+
+    return prints.select("h", "n", "p").mapInArrow(spread, "w bigint, h bigint, n int")
 
 
 def bucket_pairs(w: np.ndarray, h: np.ndarray, n: np.ndarray, least: float = LEAST) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """For rows in order of (w, n) with whole buckets w: all pairs of h from a bucket of up to SMALL members, if their sizes
     n allow the similarity (False); the rows (w, h) of a larger bucket (True)."""
-    starts = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-    members = np.repeat(np.diff(np.append(starts, len(w))), np.diff(np.append(starts, len(w))))
+    members = np.diff(np.append(np.flatnonzero(np.append(True, w[1:] != w[:-1])), len(w)))
+    members = np.repeat(members, members)
     yield w[members > SMALL], h[members > SMALL], True
     for d in range(1, min(SMALL, len(w))):
         at = np.flatnonzero((w[d:] == w[:-d]) & (n[:-d] >= least * n[d:] - 1e-9) & (members[d:] <= SMALL))
         yield np.minimum(h[at], h[at + d]), np.maximum(h[at], h[at + d]), False
 
 
-def proposed(postings: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b, many) of (w, h, n) rows, see bucket_pairs(); each once."""
+def proposed(posted: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b, many) of (w, h, n) rows, see bucket_pairs(); each once. A bucket is streamed: a task holds no more of it than
+    tells that it is large."""
 
     def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def paired(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            for x, y, many in bucket_pairs(*(np.concatenate(c) for c in zip(*held, strict=True)), least):
+        def told(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for x, y, many in bucket_pairs(*cols, least):
                 for k in range(0, len(x), 1 << 16):
                     a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), many))], ["a", "b", "many"])
 
-        held: list[tuple[np.ndarray, ...]] = []
-        for p in parts:
-            if not p.num_rows:
-                continue
-            cols = tuple(c.to_numpy() for c in p.columns)
-            # what is before the last bucket of the batch is whole
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        large = None  # the bucket at the end, if it is known to be large
+        for p in gathered(parts):
+            cols = [np.concatenate([x, c]) for x, c in zip(held, p, strict=True)]
+            again = np.append(False, (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1]))
+            cols = [c[~again] for c in cols]
             last = int(np.searchsorted(cols[0], cols[0][-1]))
-            if held and (last or held[-1][0][-1] != cols[0][0]):
-                if last:
-                    held.append(tuple(c[:last] for c in cols))
-                yield from paired(held)
-                held = []
-            elif last:
-                yield from paired([tuple(c[:last] for c in cols)])
-            held.append(tuple(c[last:] for c in cols))
-        if held:
-            yield from paired(held)
-
-    return postings.repartition("w").sortWithinPartitions("w", "n", "h").mapInArrow(found, "a bigint, b bigint, many boolean").distinct()
-
-
-def may_be(n, m, differ, least: float = LEAST):
-    """Whether sets of n and m shingles, which differ in `differ` at least, can be similar enough; arrays or columns."""
-    return differ <= (n + m) * ((1 - least) / (1 + least)) + 1e-6
-
-
-def large_buckets(members: DataFrame, prints: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b) of (a: bucket, b: text hash) rows: text hashes that span what pairs that may be similar by their sizes and
-    parities join in each bucket. What a text reaches leaves the bucket, so a dense group takes few comparisons."""
-
-    def spanned(names: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int]]:
-        left, reached = np.arange(len(names)), []
-        while len(left):
-            if not reached:
-                reached, left = [left[0]], left[1:]
-            k = reached.pop()
-            near = may_be(n[left], n[k], np.bitwise_count(bits[left] ^ bits[k]).sum(axis=1, dtype=np.int64), least)
-            yield from ((int(names[k]), x) for x in names[left[near]].tolist())
-            reached += left[near].tolist()
-            left = left[~near]
+            if large is not None:  # the rest of a bucket of which some rows have gone out
+                k = int(np.searchsorted(cols[0], large, "right"))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0][:k]), pa.array(cols[1][:k]), pa.array(np.full(k, True))], ["a", "b", "many"])
+                last, cols = max(0, last - k), [c[k:] for c in cols]
+                if not len(cols[0]):
+                    held = cols
+                    continue
+                large = None
+            end = len(cols[0]) if len(cols[0]) - last > SMALL else last
+            large = int(cols[0][-1]) if end > last else None
+            yield from told([c[:end] for c in cols])
+            held = [c[end:] for c in cols]
+        yield from told(held)
+
+    return posted.repartition("w").sortWithinPartitions("w", "n", "h").mapInArrow(found, "a bigint, b bigint, many boolean").distinct()
+
+
+def plausible(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (a, b) that sizes and parities don't rule out; known: (h, n, bits)."""
+
+    def may(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple[int, int]]:
+            for b in found:
+                for a, o, n, m, x, y in rows(b):
+                    if may_be(n, m, int(differing(np.frombuffer(x, np.uint64)[None], np.frombuffer(y, np.uint64)[None])[0, 0]), least):
+                        yield a, o
 
-    def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made() -> Iterator[tuple]:
-            for _, held in itertools.groupby((r for b in parts for r in rows(b)), key=lambda r: r[0]):
-                _, names, n, bits = zip(*held, strict=True)
-                yield from spanned(np.array(names, np.int64), np.array(n, np.int64), np.array(bits, np.int64).view(np.uint64))
-
-        yield from batches(made(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    with_bits = members.join(prints.select(F.col("h").alias("b"), "n", "bits"), "b").select("a", "b", "n", "bits")
-    return with_bits.repartition("a").sortWithinPartitions("a", "b").mapInArrow(found, "a bigint, b bigint")
-
-
-def block_links(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
-    """(first, other) places that span the groups which pairs of similarity >= least join; every pair is compared."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, at = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    at, owner = at[order], np.repeat(np.arange(m), sizes)[order]
-    count = np.bincount(at)[at]
-    both = np.zeros((m, m), np.int64)
-    few = np.flatnonzero((count > 1) & (count <= FEW))
-    x, own = at[few], owner[few]
-    for d in range(1, min(FEW, len(x))):
-        same = x[d:] == x[:-d]
-        both += np.bincount(own[:-d][same] * m + own[d:][same], minlength=m * m).reshape(m, m)
-    often = np.flatnonzero(count > FEW)
-    x, own = np.unique(at[often], return_inverse=True)[1], owner[often]
-    for k in range(0, int(x.max()) + 1 if len(x) else 0, 2048):
-        part = (x >= k) & (x < k + 2048)
-        held = np.zeros((m, 2048), np.float32)
-        held[own[part], x[part] - k] = 1
-        both += np.triu(held @ held.T, 1).astype(np.int64)
-    near = both / np.maximum(1, sizes[:, None] + sizes - both) >= least
-    near |= near.T
-    out, left = [], np.ones(m, bool)
-    for k in range(m):
-        if left[k]:
-            group = np.zeros(m, bool)
-            new = np.arange(m) == k
-            while new.any():
-                group |= new
-                new = near[new].any(axis=0) & ~group
-            left &= ~group
-            out += [(k, o) for o in np.flatnonzero(group).tolist() if o != k]
-    return out
-
-
-def group_links(groups: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b) of (node, root) rows: text hashes that span what pairs of similarity >= least join within a root's texts.
-
-    A root's texts are dealt into blocks of bounded size, and each two blocks meet in a task, so every pair is compared
-    in bounded memory; what leaves is a forest for each two blocks, never the pairs.
-    """
-    sized = sets.select(F.col("h").alias("node"), F.length("s").alias("size"))
-    totals = cut(groups.join(sized, "node").groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("n")))
-    placed = cut(groups.join(totals, "root").withColumn("x", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")))
-    others = F.when(F.col("n") < 2, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda y: y != F.col("x")))
-    met = placed.join(sets.withColumnRenamed("h", "node"), "node").withColumn("y", F.explode(others))
-    met = met.select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "s")
+        yield from batches(made(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), most_rows=1 << 16)
 
-    def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made() -> Iterator[tuple]:
-            for _, held in itertools.groupby((r for b in parts for r in rows(b)), key=lambda r: r[:3]):
-                names, own = zip(*((r[3], np.frombuffer(r[4], np.uint64)) for r in held), strict=True)
-                yield from ((names[a], names[b]) for a, b in block_links([s if len(s) else np.zeros(1, np.uint64) for s in own], least))
+    for c in "ab":
+        pairs = pairs.join(known.select(F.col("h").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")), c)
+    return pairs.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(may, PAIR)
 
-        yield from batches(made(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(found, "a bigint, b bigint")
+def packed_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, z) of the wanted hashes' texts, compressed; each once, cut from its lineage. A bitmap of bounded size keeps most
+    other texts out of the shuffle."""
+    near = sieve(wanted, "h")
 
+    def packed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple[int, bytes]]:
+            seen: set[int] = set()
+            for b in found:
+                at = np.flatnonzero(near(b.column(0).to_numpy()))
+                for k in at.tolist():
+                    h = b.column(0)[k].as_py()
+                    if h not in seen:
+                        seen.add(h)
+                        yield h, zlib.compress(b" ".join(words_of(b.column(1)[k].as_py())), 1)
 
-def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """(h, best, winner) of every distinct text's hash: the key and the text hash of the row that stands for its group.
+        yield from batches(made(), pa.schema([("h", pa.int64()), ("z", pa.binary())]))
 
-    Groups are what links of exact similarity >= least join, all of them: a prefix filter over the shingles (see prefix())
-    misses no pair, and only pairs whose sets' sizes or parities rule the similarity out are put aside. Pairs of small
-    buckets are verified one by one; the texts that larger buckets join are compared block by block, each with every other
-    (see group_links()), so a large group leaves no pairs but a forest.
-    """
+    return cut(texts.mapInArrow(packed, "h bigint, z binary").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("z").alias("z")))
 
-    def made(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in found:
-            own = ((h, len(s := shingle_set(t, width)), prefix(s, common.value, least).tobytes(), parities(s).view(np.int64).tolist()) for h, t in rows(b))
-            yield from batches(own, pa.schema([("h", pa.int64()), ("n", pa.int32()), ("p", pa.binary()), ("bits", pa.list_(pa.int64()))]))
 
-    def spread(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in found:
-            for a in range(0, b.num_rows, 64):
-                h, n, p = (c.to_pylist() for c in b.slice(a, 64).columns)
-                w = np.frombuffer(b"".join(p), np.int64)
-                many = [len(x) // 8 for x in p]
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.repeat(np.array(h, np.int64), many)), pa.array(np.repeat(np.array(n, np.int32), many))], ["w", "h", "n"])
+def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(a, b, good) of pairs (a, b): whether the shingle sets of the texts (h, z) are similar enough. Pairs are cut before,
+    so a text in many pairs is split."""
 
-    modest(docs.sparkSession)
-    texts = docs.select(F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
-    far = F.lit((1 << 63) - 1)
-    keyed = docs.select(F.xxhash64(F.col(text)).alias("h"), F.col(key).cast("bigint").alias("key"))
-    nodes = cut(keyed.groupBy("h").agg(F.min("key").alias("key")).withColumn("rank", F.coalesce("key", far)))
-    firsts = [F.first(c).alias(c) for c in ("n", "p", "bits")]
-    prints = cut(texts.mapInArrow(made, "h bigint, n int, p binary, bits array<bigint>").groupBy("h").agg(*firsts))
-    pairs = cut(proposed(prints.select("h", "n", "p").mapInArrow(spread, "w bigint, h bigint, n int"), least))
-    bits = [prints.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
-    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    few = cut(pairs.filter("not many").join(bits[0], "a").join(bits[1], "b").filter(may_be(F.col("na"), F.col("nb"), differ, least)).select("a", "b"))
-    many = cut(large_buckets(pairs.filter("many").select("a", "b"), prints, least).distinct())
-    good, any_many = None, bool(many.take(1))
-    if any_many or few.take(1):
-        sets = shingle_sets(texts, few.unionByName(many).select(F.explode(F.array("a", "b")).alias("h")).distinct(), width)
-        good = verified(few, sets, least).filter("good").select("a", "b")
-        if any_many:
-            good = good.unionByName(group_links(connected(many), sets, least))
-    best = F.min(F.struct("rank", "h", "key")).alias("w")
-    if good is None:
-        rooted = nodes.withColumn("root", F.col("h"))
-    else:
-        rooted = cut(nodes.join(connected(good).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")))
-    winners = cut(rooted.groupBy("root").agg(best).select("root", F.col("w.key").alias("best"), F.col("w.h").alias("winner")))
-    return cut(rooted.select("h", "root").join(winners, "root").select("h", "best", "winner"))
+    def judged(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple]:
+            last, own = None, np.zeros(0, np.uint64)
+            for r in found:
+                for a, b, x, y in rows(r, 64):
+                    if b != last:
+                        last, own = b, shingle_set(zlib.decompress(y).decode("utf-8", "surrogatepass"), width)
+                    yield a, b, similar(shingle_set(zlib.decompress(x).decode("utf-8", "surrogatepass"), width), own) >= least
+
+        yield from batches(made(), pa.schema([("a", pa.int64()), ("b", pa.int64()), ("good", pa.bool_())]))
+
+    for c in "ab":
+        pairs = pairs.join(texts.select(F.col("h").alias(c), F.col("z").alias(f"z{c}")), c)
+    return cut(pairs.select("a", "b", "za", "zb").mapInArrow(judged, PAIR + ", good boolean"), bare=True)
+
+
+def blocks(members: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
+    """(w, i, j, out, h, n, bits) of (w, h): the tasks (w, i, j) in which each two texts of a bucket w meet that aren't both
+    of its largest group. What isn't of that group is out; block i of those meets block j of all."""
+    rooted = cut(members.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
+    groups = rooted.groupBy("w", "root").agg(F.count("*").alias("m"))
+    sizes = groups.groupBy("w").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("hub")).filter("all > most")
+    sizes = cut(sizes.select("w", "hub", F.ceil(F.col("all") / BLOCK_TEXTS).cast("int").alias("nj"), F.ceil((F.col("all") - F.col("most")) / BLOCK_TEXTS).cast("int").alias("ni")))
+    placed = rooted.join(sizes, "w").join(known.select("h", "n", "bits"), "h")
+    at = lambda n: F.pmod(F.xxhash64("h"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    out = F.col("root") != F.col("hub")
+    own = F.transform(every("ni"), lambda i: F.struct(i.alias("i"), at("nj").alias("j"), F.lit(False).alias("first")))
+    also = F.transform(every("nj"), lambda j: F.struct(at("ni").alias("i"), j.alias("j"), F.lit(True).alias("first")))
+    none = F.filter(also, lambda x: F.lit(False))
+    placed = placed.withColumn("out", out).withColumn("t", F.explode(F.concat(own, F.when(out, also).otherwise(none))))
+    return cut(placed.select("w", "t.i", "t.j", "t.first", "out", "h", "n", "bits"))
+
+
+def further(placed: DataFrame, roots: DataFrame, lo: int, hi: int, least: float) -> DataFrame:
+    """(a, b): in each task of blocks(), the partners of ranks lo to hi of its texts that are out, where both aren't joined
+    yet; (0, 0) if others are left for later rounds."""
+
+    def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple[int, int]]:
+            for _, held in runs(parts, 3):
+                first, out, h, n, root = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in (3, 4, 5, 6, 7))
+                bits = [np.frombuffer(x, np.uint64) for b in held for x in b.column(8).to_pylist()]
+                if len(np.unique(root)) > 1:
+                    mine, others = np.flatnonzero(first), np.flatnonzero(~first)
+                    sides = [{"h": h[k], "n": n[k], "root": root[k], "out": out[k]} for k in (mine, others)]
+                    pairs, more = partners(*sides, [bits[k] for k in mine], [bits[k] for k in others], lo, hi, least)
+                    for x, y in pairs:
+                        a, b = int(h[mine[x]]), int(h[others[y]])
+                        yield min(a, b), max(a, b)
+                    if more:
+                        yield 0, 0
+
+        yield from batches(made(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), most_rows=1 << 16)
+
+    rooted = placed.join(roots, "h", "left").select("w", "i", "j", "first", "out", "h", "n", F.coalesce("root", "h").alias("root"), "bits")
+    return rooted.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j", "first", "h").mapInArrow(found, PAIR).distinct()
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row of each group of near copies (see copies()): that with the smallest key (null keys last), of equal
-    keys that with the smallest text hash, of equal rows any one. Texts without words are copies of each other. All
-    columns, whatever their names, stay as they are; an empty table stays empty.
+def text_links(texts: DataFrame, n: int, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(h, root) of every hash of texts (h, text) that has a link: a text linked by similarity >= least of shingle sets.
+
+    Links come in three steps, and every one is verified on the whole texts. First, ball hashing: SimHash fingerprints
+    within RADIUS bits, equal ones included. At a similarity of 0.8 fingerprints differ in 10 bits or so, so an exact way
+    follows for the rest: two such texts share a shingle of their prefixes (see prefix()), and pairs of buckets of up to
+    SMALL texts are all verified that sizes and parities don't rule out. In larger buckets (and those of shingles that
+    are hot in a sample) every text outside the largest group is held against all others, in blocks: in each round its
+    next partners, of those that may be similar and aren't joined yet, are verified, until none is left.
+    """
+    common = common_shingles(texts, n, width)
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+    hot = common[0][common[1] >= HOT]
+    prints = cut(prints_of(texts, shared, width, least))
+    known = cut(prints.groupBy("h").agg(*[F.first(c).alias(c) for c in ("n", "fp", "bits")]))
+    fps = cut(known.groupBy("fp").agg(F.min("h").alias("own")))
+    near = links(fps.select("fp"), fps.count())
+    for c in "ab":
+        near = near.withColumnRenamed(c, "fp").join(fps, "fp").withColumnRenamed("own", c).drop("fp")
+    equal = known.join(fps, "fp").filter("h <> own").select(F.col("own").alias("a"), F.col("h").alias("b"))
+    found = cut(proposed(postings(prints, hot, False), least))
+    pairs = near.select("a", "b").unionByName(equal).unionByName(found.filter("not many").select("a", "b"))
+    pairs = cut(plausible(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), known, least))
+    members = found.filter("many").select(F.col("a").alias("w"), F.col("b").alias("h"))
+    if len(hot):
+        members = members.unionByName(postings(prints, hot, True).select("w", "h").distinct())
+    members = cut(members)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(members.select("h")).distinct()
+    stored = packed_texts(texts, cut(wanted))
+    judged = verified(pairs, stored, width, least)
+    roots = connected(judged.filter("good")).withColumnRenamed("node", "h")
+    placed = blocks(members, known, roots)
+    lo, hi = 0, FIRST
+    while placed.take(1):
+        found = cut(further(placed, roots, lo, hi, least), bare=True)
+        new = cut(found.filter("a <> b").join(judged, ["a", "b"], "left_anti"), bare=True)
+        if new.take(1):
+            judged = judged.unionByName(verified(new, stored, width, least))
+            roots = connected(judged.filter("good")).withColumnRenamed("node", "h")
+        if not found.filter("a = 0 and b = 0").take(1):
+            break
+        lo, hi = hi, hi * FURTHER
+    return roots
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """docs with one row of each group of near copies: that with the smallest key (null keys last), of equal keys that with
+    the smallest text hash, of equal rows any one.
+
+    Groups are what links of a Jaccard similarity of `least` or more of the texts' sets of `width`-word shingles join: all
+    such links (see text_links()) but for collisions of 64-bit hashes, so recall is 1 whatever the edits and the keys'
+    order; clean texts stay. Texts without words, null ones included, are copies of each other. Keys may be of any type
+    that can be ordered. All columns, whatever their names, stay as they are; an empty table stays empty.
     """
-    keyed = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h"))
-    told = keyed.join(copies(docs, key, text, **options), "h").select("key", "h", (F.col("key").eqNullSafe(F.col("best")) & (F.col("h") == F.col("winner"))).alias("stays"))
-    told = cut(told.groupBy("key", "h", "stays").count())
-    losers, again = told.filter("not stays").select("key", "h"), told.filter("stays and count > 1").select("key", "h")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h"))
+    modest(docs.sparkSession)
+    texts = docs.select(text_hash(text).alias("h"), F.col(text).alias("text")).filter("h <> 0")
+    keys = cut(docs.select(F.col(key).alias("key"), text_hash(text).alias("h")).groupBy("key", "h").count())
+    roots = text_links(texts, docs.count(), width, least)
+    least_key = F.min(F.struct(F.col("key").isNull().alias("null"), "key", "h")).alias("w")
+    told = cut(keys.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
+    best = cut(told.groupBy("root").agg(least_key).select("root", F.col("w.key").alias("best"), F.col("w.h").alias("winner")))
+    told = told.join(best, "root").withColumn("stays", F.col("key").eqNullSafe(F.col("best")) & (F.col("h") == F.col("winner")))
+    told = cut(told.filter("not stays or count > 1").select("key", "h", "stays", F.xxhash64("key", "h").alias("c")))
+    near = sieve(told, "c")
+
+    @F.pandas_udf("boolean")
+    def touched(c: pd.Series) -> pd.Series:
+        return pd.Series(near(c.to_numpy()))
+
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"), text_hash(text).alias("h"))
+    whole = whole.withColumn("touched", touched(F.xxhash64("key", "h")))
 
     def same(one: DataFrame, other: DataFrame):
         return one["key"].eqNullSafe(other["key"]) & (one["h"] == other["h"])
 
-    kept = whole.join(losers, same(whole, losers), "left_anti")
-    if again.take(1):  # only rows that are repeated go through one more shuffle
-        kept = kept.join(again, same(kept, again), "left_anti").unionByName(kept.join(again, same(kept, again), "left_semi").dropDuplicates(["key", "h"]))
+    # only rows that the bitmap doesn't clear are shuffled: losers go, and rows that are repeated stay once
+    some, again = whole.filter("touched"), told.filter("stays")
+    once = some.join(told, same(some, told), "left_anti")
+    one = some.join(again, same(some, again), "left_semi").dropDuplicates(["key", "h"])
+    kept = whole.filter("not touched").unionByName(once).unionByName(one)
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from stowage.llm import decontaminate, queries, simhash
+from stowage.llm import decontaminate, queries, shingles, simhash
 from stowage.llm.components import connected
 from stowage.session import table
 
@@ -184,21 +184,98 @@ def test_a_loose_group_keeps_no_linked_copy(spark):
     assert got == want and 1 < len(want) < len(texts)
 
 
-def test_block_links():
-    rng = random.Random(12)
-    words = [f"w{k}" for k in range(3000)]
-    texts = [" ".join(t) for t in scattered(rng, words, 12, 60, 120) + scattered(rng, words, 3, 10, 120) + scattered(rng, words, 20, 30, 40)]
-    near = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if jaccard(texts[a], texts[b]) >= 0.8]
-    got = simhash.block_links([simhash.shingle_set(t) for t in texts])
-    assert len(got) < len(texts) and roots(range(len(texts)), got) == roots(range(len(texts)), near)
-
-
 def test_groups_larger_than_a_block(spark, monkeypatch):
-    """Every two blocks of a group meet."""
-    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 16)
-    texts = scattered(random.Random(13), [f"w{k}" for k in range(4000)], 12, 120, 200)
+    """Every two blocks of a bucket meet that aren't both of its largest group, over several rounds."""
+    for name, value in (("BLOCK_TEXTS", 16), ("SMALL", 3), ("HOT", 8), ("FIRST", 1), ("FURTHER", 2)):
+        monkeypatch.setattr(simhash, name, value)
+    rng, words = random.Random(13), [f"w{k}" for k in range(4000)]
+    got, want = kept(spark, scattered(rng, words, 12, 120, 200) + scattered(rng, words, 5, 40, 60))
+    assert got == want and 1 < len(want) < 160
+
+
+def test_a_star_in_either_order(spark):
+    """Copies that are near the original only: whichever has the smallest key, one stays."""
+    rng = random.Random(17)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    around = []
+    for _ in range(200):
+        own = list(base)
+        for at in rng.sample(range(2, 298, 5), 6):
+            own[at] = f"v{rng.randrange(10**6)}"
+        around.append(own)
+    assert all(jaccard(" ".join(base), " ".join(x)) >= 0.8 for x in around)
+    for texts in ([base, *around], [*around, base]):
+        got, want = kept(spark, texts)
+        assert got == want == {0}
+
+
+def test_replaced_tails(spark):
+    """A block of a text is replaced, as much as a similarity of 0.8 allows: recall is 1 at every size."""
+    rng, texts = random.Random(18), []
+    for size in (20, 30, 50, 100, 200, 400):
+        for _ in range(40):
+            base = [f"v{rng.randrange(10**7)}" for _ in range(size)]
+            tail = (size - 4) // 9
+            own = base[: size - tail] + [f"u{rng.randrange(10**7)}" for _ in range(tail)]
+            texts += [base, own] if rng.random() < 0.5 else [own, base]
     got, want = kept(spark, texts)
-    assert got == want and 1 < len(want) < len(texts)
+    assert got == want and len(want) == 240
+
+
+def test_keys_of_other_types(spark):
+    df = spark.createDataFrame([("b", "a b c d e f"), ("a", "a b c d e f"), (None, "a b c d e f"), (None, "x y z")], "doc_id string, text string")
+    assert sorted(tuple(r) for r in simhash.keep_one(df).collect() if r.doc_id) == [("a", "a b c d e f")]
+
+
+def test_buckets_are_streamed(spark, monkeypatch):
+    """Buckets of all sizes over batches of any size: pairs of small ones, members of large ones, nothing else."""
+    rng = random.Random(19)
+    buckets = {w: rng.sample(range(1, 10**6), rng.choice((1, 2, 3, 8, 9, 40, 300))) for w in range(1, 60)}
+    posted = [(w, h, 10) for w, own in buckets.items() for h in own for _ in range(rng.choice((1, 1, 2)))]
+    want = {(a, b, False) for own in buckets.values() if len(own) <= 8 for a in own for b in own if a < b}
+    want |= {(w, h, True) for w, own in buckets.items() if len(own) > 8 for h in own}
+    for most in (1, 7, 100, 1 << 16):
+        monkeypatch.setattr(simhash, "gathered", lambda parts, most=most, f=GATHERED: f(parts, most))
+        found = simhash.proposed(spark.createDataFrame(posted, "w long, h long, n int").repartition(3)).collect()
+        assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
+GATHERED = simhash.gathered
+
+
+def test_a_crowded_bucket_is_dealt_out(spark):
+    """10^4 fingerprints that reach the same bucket: its parts meet two by two, and no task holds it all."""
+    rng = np.random.default_rng(3)
+    fps = np.unique((rng.integers(0, 2**58, 10_000, dtype=np.uint64) << np.uint64(6)) | np.uint64(5))
+    close = fps[:300] ^ np.uint64(1 << 20) ^ np.uint64(1 << 33) ^ np.uint64(1 << 50)
+    every = np.unique(np.concatenate([fps, close]))
+    df = spark.createDataFrame([(int(x),) for x in every.view(np.int64)], "fp long")
+    found = simhash.links(df, len(every), crowd=1000)
+    got = roots([int(x) for x in every.view(np.int64)], [tuple(r) for r in found.collect()])
+    near = [(int(np.int64(a)), int(np.int64(b))) for a, b in zip(fps[:300].view(np.int64), close.view(np.int64), strict=True)]
+    alike = lambda f: len({f[a] for a, _ in near}) == len(near) and all(f[a] == f[b] for a, b in near)
+    assert alike(got) and len(set(got.values())) == len(every) - 300
+
+
+def test_partners_are_all_those_that_may_be():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    sets = []
+    for size in (30, 33, 300, 330, 1100, 4000):
+        for _ in range(12):
+            own = base[:size].copy()
+            k = rng.integers(0, size // 6 + 1)
+            own[rng.choice(size, k, replace=False)] = rng.integers(0, 2**63, k, dtype=np.uint64)
+            sets.append(np.unique(own))
+    near = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if shingles.similar(sets[a], sets[b]) >= 0.8}
+    side = {"h": np.arange(len(sets)), "n": np.array([len(s) for s in sets]), "root": np.arange(len(sets)), "out": np.ones(len(sets), bool)}
+    bits = [shingles.parities(s) for s in sets]
+    got, lo, more = set(), 0, True
+    while more:
+        pairs, more = shingles.partners(side, side, bits, bits, lo, lo + 5, most=1 << 12)
+        got |= set(pairs)
+        lo += 5
+    assert near <= got and len(got) < 1.3 * len(near)
 
 
 def test_many_orders_of_the_same_words(spark):
@@ -233,14 +310,14 @@ def test_prefixes_meet():
         a, b = (np.unique(np.array(x, np.uint64)) for x in (base, base + more))
         w = np.unique(np.array(rng.sample(base, len(base) // 2), np.uint64))
         common = w, np.array([rng.randrange(1, 9) for _ in w], np.int64)
-        assert len(base) / len(b) < 0.8 or len(np.intersect1d(simhash.prefix(a, common), simhash.prefix(b, common)))
+        assert len(base) / len(b) < 0.8 or len(np.intersect1d(shingles.prefix(a, common), shingles.prefix(b, common)))
 
 
 def test_similarity_of_shingle_sets():
     rng = random.Random(4)
     for _ in range(200):
         a, b = (" ".join(rng.choice("ab c") for _ in range(rng.randrange(30))) for _ in range(2))
-        assert abs(simhash.similar(simhash.shingle_set(a).tobytes(), simhash.shingle_set(b).tobytes()) - jaccard(a, b)) < 1e-12
+        assert abs(shingles.similar(shingles.shingle_set(a), shingles.shingle_set(b)) - jaccard(a, b)) < 1e-12
 
 
 def test_components(spark):
