@@ -71,8 +71,9 @@ def modest(spark: SparkSession) -> None:
 
 
 def trim() -> None:
-    """Give freed memory back to the system, where the C library can: a driver's peak shouldn't stay."""
+    """Give freed memory back to the system, where the allocators can: a driver's or a worker's peak shouldn't stay."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

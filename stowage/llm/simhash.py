@@ -16,12 +16,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, modest, rows, sieve
+from .common import batches, cut, modest, rows, sieve, trim
 from .components import connected
 from .shingles import LEAST, SHINGLE, differing, may_be, parities, partners, prefix, shingle_set, similar, words_of
 
@@ -202,6 +201,7 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, per_bucket: int = 2
             for (bucket, _, _), held in runs(parts, 3):
                 fps = np.sort(np.concatenate([b.column(3).to_numpy() for b in held]))
                 yield from map(tuple, fps[bucket_forest(fps.view(np.uint64), bucket, width, half)].tolist())
+            trim()
 
         yield from batches(made(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), most_rows=1 << 16)
 
@@ -232,6 +232,8 @@ SAMPLE, COMMON, HOT = 8192, 4, 32
 #: Members up to which a bucket gives all its pairs; texts of a block of a larger one; ranks of partners taken first and
 #: how many times as far each next round goes.
 SMALL, BLOCK_TEXTS, FIRST, FURTHER = 8, 2048, 4, 8
+#: Groups of fewer texts are dealt into blocks of about FEW_TEXTS, up to FEW_BLOCKS of them, for the sake of more tasks.
+FEW_TEXTS, FEW_BLOCKS = 128, 16
 PAIR = "a bigint, b bigint"
 
 
@@ -335,6 +337,7 @@ def proposed(posted: DataFrame, least: float = LEAST) -> DataFrame:
             yield from told([c[:end] for c in cols])
             held = [c[end:] for c in cols]
         yield from told(held)
+        trim()
 
     return posted.repartition("w").sortWithinPartitions("w", "n", "h").mapInArrow(found, "a bigint, b bigint, many boolean").distinct()
 
@@ -378,8 +381,8 @@ def packed_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """(a, b, good) of pairs (a, b): whether the shingle sets of the texts (h, z) are similar enough. Pairs are cut before,
-    so a text in many pairs is split."""
+    """(a, b, good) of pairs (a, b) of hashes of texts (h, text): whether the shingle sets are similar enough. Pairs are cut
+    before, so a text in many pairs is split."""
 
     def judged(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[tuple]:
@@ -389,29 +392,32 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, least: fl
                     if b != last:
                         last, own = b, shingle_set(zlib.decompress(y).decode("utf-8", "surrogatepass"), width)
                     yield a, b, similar(shingle_set(zlib.decompress(x).decode("utf-8", "surrogatepass"), width), own) >= least
+            trim()
 
         yield from batches(made(), pa.schema([("a", pa.int64()), ("b", pa.int64()), ("good", pa.bool_())]))
 
+    stored = packed_texts(texts, cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()))
     for c in "ab":
-        pairs = pairs.join(texts.select(F.col("h").alias(c), F.col("z").alias(f"z{c}")), c)
+        pairs = pairs.join(stored.select(F.col("h").alias(c), F.col("z").alias(f"z{c}")), c)
     return cut(pairs.select("a", "b", "za", "zb").mapInArrow(judged, PAIR + ", good boolean"), bare=True)
 
 
 def blocks(members: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
-    """(w, i, j, out, h, n, bits) of (w, h): the tasks (w, i, j) in which each two texts of a bucket w meet that aren't both
-    of its largest group. What isn't of that group is out; block i of those meets block j of all."""
+    """(w, i, j, first, out, h, n, bits) of (w, h): the tasks (w, i, j) in which each two texts of a bucket meet that aren't
+    both of its largest group. Buckets with the same largest group are taken together, as copies share many shingles, and
+    w names that group; what isn't of it is out. Block i of those (first) meets block j of all."""
     rooted = cut(members.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
     groups = rooted.groupBy("w", "root").agg(F.count("*").alias("m"))
-    sizes = groups.groupBy("w").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("hub")).filter("all > most")
-    sizes = cut(sizes.select("w", "hub", F.ceil(F.col("all") / BLOCK_TEXTS).cast("int").alias("nj"), F.ceil((F.col("all") - F.col("most")) / BLOCK_TEXTS).cast("int").alias("ni")))
-    placed = rooted.join(sizes, "w").join(known.select("h", "n", "bits"), "h")
+    hubs = groups.groupBy("w").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("hub")).filter("all > most")
+    texts = cut(rooted.join(hubs.select("w", "hub"), "w").select(F.col("hub").alias("w"), "h", (F.col("root") != F.col("hub")).alias("out")).distinct())
+    parts = lambda n: F.greatest(F.ceil(n / BLOCK_TEXTS), F.least(F.ceil(n / FEW_TEXTS), F.lit(FEW_BLOCKS))).cast("int")
+    sizes = cut(texts.groupBy("w").agg(parts(F.count("*")).alias("nj"), parts(F.count_if("out")).alias("ni")))
+    placed = texts.join(sizes, "w").join(known.select("h", "n", "bits"), "h")
     at = lambda n: F.pmod(F.xxhash64("h"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    out = F.col("root") != F.col("hub")
     own = F.transform(every("ni"), lambda i: F.struct(i.alias("i"), at("nj").alias("j"), F.lit(False).alias("first")))
     also = F.transform(every("nj"), lambda j: F.struct(at("ni").alias("i"), j.alias("j"), F.lit(True).alias("first")))
-    none = F.filter(also, lambda x: F.lit(False))
-    placed = placed.withColumn("out", out).withColumn("t", F.explode(F.concat(own, F.when(out, also).otherwise(none))))
+    placed = placed.withColumn("t", F.explode(F.concat(own, F.when(F.col("out"), also).otherwise(F.slice(also, 1, 0)))))
     return cut(placed.select("w", "t.i", "t.j", "t.first", "out", "h", "n", "bits"))
 
 
@@ -433,6 +439,7 @@ def further(placed: DataFrame, roots: DataFrame, lo: int, hi: int, least: float)
                         yield min(a, b), max(a, b)
                     if more:
                         yield 0, 0
+            trim()
 
         yield from batches(made(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), most_rows=1 << 16)
 
@@ -466,18 +473,15 @@ def text_links(texts: DataFrame, n: int, width: int = SHINGLE, least: float = LE
     members = found.filter("many").select(F.col("a").alias("w"), F.col("b").alias("h"))
     if len(hot):
         members = members.unionByName(postings(prints, hot, True).select("w", "h").distinct())
-    members = cut(members)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(members.select("h")).distinct()
-    stored = packed_texts(texts, cut(wanted))
-    judged = verified(pairs, stored, width, least)
+    judged = verified(pairs, texts, width, least)
     roots = connected(judged.filter("good")).withColumnRenamed("node", "h")
-    placed = blocks(members, known, roots)
+    placed = blocks(cut(members), known, roots)
     lo, hi = 0, FIRST
     while placed.take(1):
         found = cut(further(placed, roots, lo, hi, least), bare=True)
         new = cut(found.filter("a <> b").join(judged, ["a", "b"], "left_anti"), bare=True)
         if new.take(1):
-            judged = judged.unionByName(verified(new, stored, width, least))
+            judged = judged.unionByName(verified(new, texts, width, least))
             roots = connected(judged.filter("good")).withColumnRenamed("node", "h")
         if not found.filter("a = 0 and b = 0").take(1):
             break
@@ -505,9 +509,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     told = cut(told.filter("not stays or count > 1").select("key", "h", "stays", F.xxhash64("key", "h").alias("c")))
     near = sieve(told, "c")
 
-    @F.pandas_udf("boolean")
-    def touched(c: pd.Series) -> pd.Series:
-        return pd.Series(near(c.to_numpy()))
+    @F.arrow_udf("boolean")
+    def touched(c: pa.Array) -> pa.Array:
+        return pa.array(near(c.to_numpy()))
 
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"), text_hash(text).alias("h"))
     whole = whole.withColumn("touched", touched(F.xxhash64("key", "h")))

@@ -186,7 +186,7 @@ def test_a_loose_group_keeps_no_linked_copy(spark):
 
 def test_groups_larger_than_a_block(spark, monkeypatch):
     """Every two blocks of a bucket meet that aren't both of its largest group, over several rounds."""
-    for name, value in (("BLOCK_TEXTS", 16), ("SMALL", 3), ("HOT", 8), ("FIRST", 1), ("FURTHER", 2)):
+    for name, value in (("BLOCK_TEXTS", 16), ("FEW_TEXTS", 16), ("SMALL", 3), ("HOT", 8), ("FIRST", 1), ("FURTHER", 2)):
         monkeypatch.setattr(simhash, name, value)
     rng, words = random.Random(13), [f"w{k}" for k in range(4000)]
     got, want = kept(spark, scattered(rng, words, 12, 120, 200) + scattered(rng, words, 5, 40, 60))
