@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 SAMPLE, COMMON, HOT = 8192, 4, 32
 #: Members up to which a bucket gives all its pairs; texts of a block of a larger one; ranks of partners taken first and
 #: how many times as far each next round goes.
-SMALL, BLOCK_TEXTS, FIRST, FURTHER = 8, 2048, 4, 8
+SMALL, BLOCK_TEXTS, FIRST, FURTHER = 8, 2048, 4, 64
 #: Groups of fewer texts are dealt into blocks of about FEW_TEXTS, up to FEW_BLOCKS of them, for the sake of more tasks.
 FEW_TEXTS, FEW_BLOCKS = 128, 16
 PAIR = "a bigint, b bigint"
@@ -409,7 +409,7 @@ def blocks(members: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = cut(members.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
     groups = rooted.groupBy("w", "root").agg(F.count("*").alias("m"))
     hubs = groups.groupBy("w").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("hub")).filter("all > most")
-    texts = cut(rooted.join(hubs.select("w", "hub"), "w").select(F.col("hub").alias("w"), "h", (F.col("root") != F.col("hub")).alias("out")).distinct())
+    texts = cut(rooted.join(cut(hubs.select("w", "hub")), "w").select(F.col("hub").alias("w"), "h", (F.col("root") != F.col("hub")).alias("out")).distinct())
     parts = lambda n: F.greatest(F.ceil(n / BLOCK_TEXTS), F.least(F.ceil(n / FEW_TEXTS), F.lit(FEW_BLOCKS))).cast("int")
     sizes = cut(texts.groupBy("w").agg(parts(F.count("*")).alias("nj"), parts(F.count_if("out")).alias("ni")))
     placed = texts.join(sizes, "w").join(known.select("h", "n", "bits"), "h")
