@@ -343,7 +343,7 @@ def slow_matches(docs, items, least=0.8):
         words = decontaminate.word_list((t or "").lower())
         for i, x in items:
             own = decontaminate.word_list((x or "").lower())
-            for s in range(len(words) - len(own) + 1) if own else ():
+            for s in range(max(1, len(words) - len(own) + 1)) if own and words else ():
                 v = decontaminate.similarity(shingles(words[s : s + len(own)]), shingles(own))
                 if v >= least:
                     out[k, i] = max(v, out.get((k, i), 0))
@@ -383,13 +383,38 @@ def test_decontamination_with_edits_and_odd_items(spark, odd_docs, no_docs):
     assert decontaminate.contaminated(odd_docs, hello.limit(0)).collect() == []
 
 
-def test_index_misses_no_fingerprint_within_the_radius():
+def test_index_misses_no_fingerprint_within_the_radius_and_is_selective():
     rng = random.Random(4)
-    items = [(k, " ".join(f"w{rng.randrange(400)}" for _ in range(20))) for k in range(150)]
-    index = decontaminate.Index(items, 5, 23, 8, 0.8)
+    items = [(k, " ".join(f"w{rng.randrange(4000)}" for _ in range(60))) for k in range(2000)]
+    index = decontaminate.Index(items, 5, 16, 0.8)
+    proposed = 0
     for _ in range(200):
-        f = rng.getrandbits(64)
-        assert set(index.near(f).tolist()) == {k for k, p in enumerate(index.prints.tolist()) if (p ^ f).bit_count() <= 23}
+        f = [rng.getrandbits(64) for _ in range(2)]
+        near = rng.randrange(2000)
+        f[1] = int(index.prints[near, 1]) ^ sum(1 << b for b in rng.sample(range(64), 16))
+        assert set(index.near(f).tolist()) == {k for k, p in enumerate(index.prints.tolist()) if min((x ^ y).bit_count() for x, y in zip(p, f, strict=True)) <= 16}
+        proposed += len(np.union1d(*(w.candidates(rng.getrandbits(64)) for w in index.words)))
+    assert proposed < 0.01 * 200 * 2000
+
+
+def test_recall_near_the_threshold(spark):
+    """Passages edited down to a similarity of 0.8 to 0.85, in longer and in shorter documents: all are found."""
+    rng, items, docs = random.Random(21), [], []
+    for k in range(60):
+        n = rng.choice((40, 60, 100, 200))
+        own = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        items.append((f"item {k}", " ".join(own), "x"))
+        for _ in range(8):
+            new = list(own)
+            while decontaminate.similarity(*(Counter(tuple(x[j : j + 5]) for j in range(n - 4)) for x in (new, own))) > 0.86:
+                at = rng.randrange(n)
+                new[at] = f"u{rng.randrange(10**6)}"
+            around = [[f"z{rng.randrange(10**6)}" for _ in range(rng.randrange(50))] for _ in range(2)]
+            docs.append((len(docs), " ".join(around[0] + new + around[1])))
+        docs.append((len(docs), " ".join(own[: n - n // 8])))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string, extra string"))
+    want = {m: v for k, t in docs for m, v in slow_matches([(k, t)], [items[k // 9][:2]]).items()}  # words of others are others
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want.keys() and len(want) > 400 and min(want.values()) < 0.83
 
 
 def test_duplicate_keys_with_other_texts(spark):
