@@ -20,8 +20,8 @@ from .common import batches, modest, rows, trim
 
 #: N-gram lengths in bytes, buckets, dimensions, bytes handled at once.
 GRAMS, BUCKETS, DIM, SLAB = (2, 3, 4), 1 << 16, 16, 1 << 20
-#: The sample: rows per language, and the longest text in it, in bytes.
-SAMPLE, SAMPLE_BYTES = 800, 1 << 14
+#: The sample: rows per language, the longest text in it, in bytes, and most languages.
+SAMPLE, SAMPLE_BYTES, LANGS = 800, 1 << 14, 256
 #: Share of the calibration documents whose right predictions may be rejected, and the most the limit may be.
 REJECT, MOST_LIMIT = 0.001, 0.4
 UNKNOWN = "und"
@@ -123,18 +123,19 @@ def fit(sample: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, seed:
     return Model(langs, (table * scale).astype(np.float32), bias * scale, limit)
 
 
-def training_sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
-    """At most about per_lang rows of each language, drawn by a hash of key and text over the whole table.
+def training_sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, most_langs: int = LANGS) -> list[tuple[str, str]]:
+    """At most about per_lang rows of each of the most_langs most frequent languages (of equal frequency the first), drawn
+    by a hash of key and text over the whole table; a text comes once for each language.
 
     Only rows that may be learnt from: lang known, crc32 of the key modulo 4 not 2, at most most_bytes of text.
     """
     fair = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key) & (F.octet_length(text) <= most_bytes))
-    counts = {r[0]: r[1] for r in fair.groupBy(lang).count().collect()}
+    counts = {r[0]: r[1] for r in fair.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_langs).collect()}
     if not counts:
         return []
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(1 << 30)) / (1 << 30)
-    return [tuple(r) for r in fair.filter(draw < share[F.col(lang)]).select(F.col(text), F.col(lang)).collect()]
+    return [tuple(r) for r in fair.filter(draw < share[F.col(lang)]).select(F.col(text), F.col(lang)).distinct().collect()]
 
 
 def held_out(key: str):

@@ -42,6 +42,8 @@ LOW = frozenset(("distinct", "letters"))
 _KIND = np.zeros(256, np.uint8)
 for _c in range(256):
     _KIND[_c] = 1 if chr(_c).islower() and _c < 128 or _c >= 128 else 2 if _c < 128 and chr(_c).isupper() else 3 if _c in b"#$%&*<>{}[]|\\~^" else 4 if _c in b" \t\n\r\v\f" else 0
+#: Bytes with letters folded to their kind.
+_FOLDED = np.where(_KIND == 1, 97, np.where(_KIND == 2, 65, np.arange(256))).astype(np.uint8)
 
 
 def facts(text: str) -> dict[str, float]:
@@ -125,20 +127,17 @@ def estimate(counts: dict[int, int], rounds: int = 100, smooth: float = 1.0) ->
 
 def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and shares of a text's features: its byte trigrams with letters folded to their kind in half of them."""
-    total = np.zeros(BUCKETS, np.float32)
+    total = np.zeros(BUCKETS, np.int64)
     data = text.encode("utf-8", "replace")
     for a in range(0, max(1, len(data)), SLAB):
         x = np.frombuffer(data[a : a + SLAB + 2], np.uint8)
-        kind = np.where(_KIND[x] == 1, 97, np.where(_KIND[x] == 2, 65, x)).astype(np.uint32)
-        for k, y in enumerate((x.astype(np.uint32), kind)):
-            if len(y) > 2:
-                h = (y[:-2] * np.uint32(0x01000193) ^ y[1:-1]) * np.uint32(0x01000193) ^ y[2:]
-                b = ((h[:SLAB] * np.uint32(0x9E3779B1) + np.uint32(k)) >> np.uint32(16)).astype(np.int64) % BUCKETS
-                total += np.bincount(b, minlength=BUCKETS) if len(b) > BUCKETS // 8 else 0
-                if len(b) <= BUCKETS // 8:
-                    np.add.at(total, b, 1)
+        if len(x) > 2:
+            both = np.stack([x, _FOLDED[x]]).astype(np.uint32)
+            h = (both[:, :-2] * np.uint32(0x01000193) ^ both[:, 1:-1]) * np.uint32(0x01000193) ^ both[:, 2:]
+            h = (h[:, :SLAB] * np.uint32(0x9E3779B1) + np.arange(2, dtype=np.uint32)[:, None]) >> np.uint32(16)
+            total += np.bincount((h & np.uint32(BUCKETS - 1)).ravel(), minlength=BUCKETS)
     at = np.flatnonzero(total)
-    share = np.sqrt(total[at])
+    share = np.sqrt(total[at].astype(np.float32))
     return at, share / (np.linalg.norm(share) or 1)
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import batches, cut, modest, publish, rows, scratch, store
 from .tok import encoder
@@ -43,8 +44,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
     Files follow each other in ascending key order; null keys come first, equal keys (repeated rows) in the order of
     their frames. A null or empty text is end_id alone. Documents are encoded and compressed before the one shuffle, so
     only frames move; a file is streamed and never held whole. The manifest (file, path, n_docs, n_ids) has a row per
-    file, none for an empty table, and is cut from its lineage. Other columns are dropped.
+    file, none for an empty table, and is cut from its lineage. Other columns are dropped; keys that aren't integers are
+    refused (TypeError), as the format has 64-bit keys.
     """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"the file format's keys are 64-bit integers; {key} is {docs.schema[key].dataType.simpleString()}")
     modest(docs.sparkSession)
     spark = docs.sparkSession
     n = docs.count()

@@ -94,7 +94,7 @@ def read_records(f: BinaryIO) -> Iterator[dict]:
         length = int(head["content-length"])
         sha = hashlib.sha1()
         fed = 0
-        for part in member:  # the header's chunk is in held already
+        while len(held) <= length + 4 and (part := next(member, None)) is not None:  # no more than the length says, and a chunk
             held += part
         if len(held) != length + 4 or held[length:] != b"\r\n\r\n":
             raise ValueError("Content-Length doesn't frame the block")

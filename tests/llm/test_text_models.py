@@ -174,3 +174,49 @@ def test_pattern_is_one_to_one():
     k = len(quality.LABELLERS)
     seen = {quality.pattern([n // 3**j % 3 for j in range(k)]) for n in range(3**k)}
     assert len(seen) == 3**k
+
+
+def slow_features(text):
+    """The scorer's features, trigram by trigram."""
+    data, total = text.encode("utf-8", "replace"), {}
+    kind = [97 if c >= 128 or chr(c).islower() else 65 if chr(c).isupper() else c for c in data]
+    for k, y in enumerate((list(data), kind)):
+        for a, b, c in zip(y, y[1:], y[2:], strict=False):
+            h = ((a * 0x01000193 & 0xFFFFFFFF) ^ b) * 0x01000193 & 0xFFFFFFFF ^ c
+            at = ((h * 0x9E3779B1 + k & 0xFFFFFFFF) >> 16) % quality.BUCKETS
+            total[at] = total.get(at, 0) + 1
+    return total
+
+
+def test_features_and_scores_against_a_plain_version(spark, sf_dir):
+    import math
+
+    rows = [r for r in table(spark, sf_dir, "documents").collect() if r.text][:60]
+    scorer = quality.learn_scorer([(r.text[:2000], k % 2) for k, r in enumerate(rows)], epochs=1)
+    for r in rows:
+        want = slow_features(r.text)
+        at, share = quality.hashed(r.text)
+        norm = math.sqrt(sum(want.values()))
+        assert {int(a) for a in at} == set(want) and all(abs(math.sqrt(want[int(a)]) / norm - s) < 1e-5 for a, s in zip(at, share, strict=True))
+        z = sum(math.sqrt(n) / norm * float(scorer.weights[a]) for a, n in want.items()) + scorer.bias
+        assert abs(1 / (1 + math.exp(-z)) - scorer.score(r.text)) < 1e-4
+    # expectation-maximisation, step by step over single rows
+    rng = np.random.default_rng(3)
+    patterns = [int(sum(v * 3**j for j, v in enumerate(rng.choice(3, len(quality.LABELLERS), p=(0.2, 0.6, 0.2))))) for _ in range(300)]
+    counts = {p: patterns.count(p) for p in patterns}
+    model = quality.estimate(counts, rounds=1)
+    votes = [[p // 3**j % 3 for j in range(len(quality.LABELLERS))] for p in patterns]
+    good = [0.1 if 0 in v else 0.9 if 2 in v else 0.5 for v in votes]
+    assert abs(model.prior - (sum(good) + 1) / (len(good) + 2)) < 1e-9
+    for j in range(len(quality.LABELLERS)):
+        for truth in (0, 1):
+            weight = [g if truth else 1 - g for g in good]
+            for x in range(3):
+                n = sum(w for w, v in zip(weight, votes, strict=True) if v[j] == x) + 1
+                assert abs(model.chance[j][truth][x] - n / (sum(weight) + 3)) < 1e-9
+
+
+def test_the_language_sample_is_bounded(spark):
+    rows = [(k, f"text {k % 7} of language", f"l{k % 40}") for k in range(4000)] + [(None, "the same", "l0")] * 3000
+    found = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=50, most_langs=5)
+    assert len({lang for _, lang in found}) == 5 and len(found) == len(set(found)) <= 5 * 8

@@ -139,3 +139,26 @@ def test_token_files_are_plain_zstandard_and_checked(spark, odd_docs):
         import pyarrow as pa
 
         tokenio.seek_table(pa.BufferReader(bytes(100)))
+
+
+def test_registered_queries_against_the_library(spark, sf_dir):
+    """op8 and op10 over a whole table, as registered, against the libraries text by text."""
+    import public_tokenizers
+    import sentencepiece
+    import tokenizers
+
+    docs = sorted((r.doc_id, r.text or "") for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect())
+    lib, pieces = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want, start = [], 0
+    for k, t in docs:
+        ids = [*lib.encode(t, add_special_tokens=False).ids, 1]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in queries.op8_token_files(spark, sf_dir).collect()) == want
+    counts = [(k, len(t.encode()), n, n > 4096) for k, t in docs for n in [len(pieces.encode(t))]]
+    assert sorted(tuple(r) for r in queries.op10_token_counts(spark, sf_dir).collect()) == counts
+
+
+def test_token_files_refuse_other_keys(spark, tmp_path):
+    with pytest.raises(TypeError):
+        tokenio.write_token_files(spark.createDataFrame([("a", "x")], "doc_id string, text string"), str(tmp_path))
