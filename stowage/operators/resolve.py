@@ -55,16 +55,23 @@ def best_ekey(encoding: DataFrame, key_names: DataFrame | None = None) -> DataFr
     return first_wins(marked.select("ckey", "size", "pos", "ekey", F.coalesce("known", F.lit(False)).alias("known")), ["ckey"], [~F.col("known"), "pos"]).select("ckey", "ekey", "size")
 
 
-def resolve(names: DataFrame, entries: DataFrame, encoding: DataFrame, index: DataFrame, locale: int, key_names: DataFrame | None = None, static: bool = False) -> DataFrame:
+def resolve(names: DataFrame, entries: DataFrame, encoding: DataFrame | None, index: DataFrame | None, locale: int, key_names: DataFrame | None = None, static: bool = False) -> DataFrame:
     """Every path with its keys and location, and the first stage that failed as an error code: name_not_found,
-    encoding_not_found or index_not_found; null where all is found. A static container has no encoding: ckey is ekey."""
-    chosen = select_entries(entries, locale).select("name_hash", "ckey", "locale", "content")
+    encoding_not_found or index_not_found; null where all is found. A static container has no encoding (ckey is ekey) and
+    no index. Where entries have an ekey of their own, it counts if the encoding table has none."""
+    own = "ekey" in entries.columns
+    chosen = select_entries(entries, locale).select("name_hash", "ckey", "locale", "content", *([F.col("ekey").alias("_own")] if own else []))
     found = names.select("name_hash", "path").join(chosen, "name_hash", "left")
     if static:
         found = found.withColumns({"ekey": F.col("ckey"), "size": F.lit(None).cast("bigint")})
     else:
         found = found.join(best_ekey(encoding, key_names), "ckey", "left")
-    found = found.withColumn("ekey9", key9(F.col("ekey"))).join(index.withColumnRenamed("size", "encoded_size"), "ekey9", "left")
+    if own:
+        found = found.withColumn("ekey", F.coalesce("ekey", "_own")).drop("_own")
+    found = found.withColumn("ekey9", key9(F.col("ekey")))
+    if index is None:
+        return found.withColumn("error", F.when(F.col("ckey").isNull(), "name_not_found"))
+    found = found.join(index.withColumnRenamed("size", "encoded_size"), "ekey9", "left")
     error = F.when(F.col("ckey").isNull(), "name_not_found").when(F.col("ekey").isNull(), "encoding_not_found").when(F.col("offset").isNull(), "index_not_found")
     return found.withColumn("error", error)
 
@@ -75,6 +82,7 @@ def longest_prefix(paths: DataFrame, packages: DataFrame, path: str = "path", pa
     Only prefixes as long as some package are made, so a path becomes a row per length, and the join is by equality.
     The table of packages is a dimension; it is broadcast only if it is small.
     """
+    # at most as many as the longest package has characters
     lengths = sorted(r[0] for r in packages.select(F.length(package)).distinct().collect() if r[0])
     if not lengths:
         return paths.withColumn(key, F.lit(None).cast(packages.schema[key].dataType))
@@ -114,7 +122,7 @@ def rename_numbered(names: DataFrame, toc: DataFrame, groups: DataFrame) -> Data
     # fixed values: the five folders
     p = r"(?i)^(base/(?:child|meta|payload|paylow|paymed))/([+-]?[0-9]{1,10})(-.*)?$"
     own = names.withColumns({"_id": F.regexp_extract("path", p, 2).try_cast("int"), "_folder": F.regexp_extract("path", p, 1), "_sub": F.regexp_extract("path", p, 3)}).filter("_id is not null")
-    known = toc.join(F.broadcast(groups), "grp", "left").withColumns({"group_name": F.coalesce("group_name", F.lit("Unknown")), "ext": F.coalesce("ext", F.lit(""))})
+    known = toc.join(small(groups), "grp", "left").withColumns({"group_name": F.coalesce("group_name", F.lit("Unknown")), "ext": F.coalesce("ext", F.lit(""))})
     display = F.when(F.trim("name") == "", F.col("_id").cast("string")).otherwise(F.col("name"))
     new = F.concat(F.concat_ws("/", "_folder", "group_name", display), "_sub", "ext")
     return own.join(known, own["_id"] == known["sno_id"]).select("name_hash", F.col("path").alias("old_path"), new.alias("path"))

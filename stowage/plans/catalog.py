@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..functions.columns import GAME_PREFIXES
+from ..functions.columns import GAME_PREFIXES, LOCALE_ALL
+from ..functions.hashing import name_hash
 from ..operators import resolve, search
-from ..sources import binary, blocks, formats, text
+from ..operators.unique import first_wins
+from ..sources import binary, blocks, formats, text, trie
 
 
 class OpenError(ValueError):
@@ -65,7 +68,7 @@ def parse_config(body: str) -> dict[str, list[str]]:
 
 def products(info: DataFrame) -> list[str]:
     """The products of a bar table of builds: the Product column, else what follows `tpr/` in CDNPath."""
-    rows = info.orderBy("row_no").limit(1000).collect()
+    rows = info.orderBy("row_no").collect()  # made of a text on the driver
     out = []
     for r in rows:
         d = r.asDict()
@@ -107,6 +110,7 @@ class Archive:
     fdids: DataFrame
     encoding: DataFrame | None
     index: DataFrame | None
+    store: Callable[[DataFrame], DataFrame]
     config: dict[str, list[str]] = field(default_factory=dict)
     locale: int = 0xFFFFFFFF
     keys: DataFrame | None = None
@@ -130,52 +134,207 @@ class Archive:
         return resolve.resolve(self.names if names is None else names, self.entries, self.encoding, self.index, self.locale, known, self.encoding is None)
 
     def contents(self, names: DataFrame | None = None) -> DataFrame:
-        """(path, data, error): every path's content; blocks are read once per key, decoded once, and joined back."""
+        """(path, data, error): every path's content; blobs are read once per key, decoded once, and joined back."""
         rows = self.resolved(names)
-        wanted = rows.filter("error is null").select("ekey", "ekey9", "storage", "archive", "offset", F.col("encoded_size").alias("size")).dropDuplicates(["ekey9"])
-        read = blocks.read_blocks(wanted, self.folders).select("ekey9", "ekey", "blob", F.col("error").alias("read_error"))
-        done = codec.decoded(read, "blob", "ekey", self.keys).select("ekey9", "data", F.coalesce("read_error", F.col("error")).alias("blob_error"))
-        return rows.join(done, "ekey9", "left").select("path", "data", F.coalesce(rows["error"], F.col("blob_error")).alias("error"))
+        done = self.store(rows.filter(F.col("ekey").isNotNull()).select("ekey").distinct())
+        done = done.select("ekey", "data", F.col("error").alias("blob_error"))
+        lost = F.when(F.col("data").isNull(), F.coalesce(rows["error"], F.col("blob_error")))
+        return rows.join(done, "ekey", "left").select("path", "data", lost.alias("error"))
 
 
-def open_archive(spark: SparkSession, folder: str, product: str | None = None, keys: DataFrame | None = None) -> Archive:
-    """Open `<folder>/.build.info` and what it leads to: build configuration, local indices, encoding table, root."""
+#: What serves blobs: (ekey) to (ekey, data, error), decoded, a row for each key.
+Store = Callable[[DataFrame], DataFrame]
+
+
+def local_store(index: DataFrame, folders: list[str], keys: DataFrame | None, mirrors: list[str] | None = None, cache: str | None = None) -> Store:
+    """Blobs by the local index; on any failure, be it of the index, the read or the decoder, from the mirrors."""
+
+    def load(wanted: DataFrame) -> DataFrame:
+        located = wanted.select("ekey").withColumn("ekey9", F.substring("ekey", 1, 9)).join(index, "ekey9", "left")
+        read = blocks.read_blocks(located.filter("offset is not null"), folders).select("ekey", "blob", F.col("error").alias("read_error"))
+        done = codec.decoded(read, "blob", "ekey", keys).select("ekey", "data", F.coalesce("read_error", "error").alias("error"))
+        here = done.unionByName(located.filter("offset is null").select("ekey", F.lit(None).cast("binary").alias("data"), F.lit("index_not_found").alias("error")))
+        if not mirrors:
+            return here
+        far = blocks.remote_blobs(here.filter("error is not null").select("ekey"), [f"{m}/data" for m in mirrors], cache)
+        far = codec.decoded(far.filter("error is null").select("ekey", F.col("data").alias("blob")), "blob", "ekey", keys)
+        return resolve.fallback(here, far).select("ekey", "data", "error")
+
+    return load
+
+
+def static_store(folder: str, config: dict[str, list[str]], keys: DataFrame | None) -> Store:
+    """Blobs of a static container, whose keys tell where they are."""
+    index_bits = int(config["key-layout-index-bits"][0])
+    numbered = ((int(m[1]), v) for k, v in config.items() if (m := re.fullmatch(r"key-layout-([0-9]+)", k)))
+    layouts = sorted((n, *map(int, v[:3]), int(v[3]) if len(v) > 3 else 0) for n, v in numbered if len(v) >= 3)
+    if not layouts:
+        raise OpenError("no key layout")
+
+    def load(wanted: DataFrame) -> DataFrame:
+        where = blocks.static_location(F.col("ekey"), layouts, index_bits)
+        placed = wanted.select("ekey", where.alias("_w")).select("ekey", F.col("_w.byte_offset").alias("byte_offset"), blocks.candidate_files(F.col("_w")).alias("files"))
+        read = blocks.read_static(placed, folder).select("ekey", "blob", F.col("error").alias("read_error"))
+        return codec.decoded(read, "blob", None, keys, sniff=True).select("ekey", "data", F.coalesce("read_error", "error").alias("error"))
+
+    return load
+
+
+def vfs_keys(config: dict[str, list[str]]) -> dict[str, bytes]:
+    """The encoding keys of `vfs-root` and `vfs-<n>` fields."""
+    hexes = re.compile("[0-9a-fA-F]{32}")
+    own = {k: v for k, v in config.items() if re.fullmatch("vfs-(root|[0-9]+)", k) and len(v) > 1}
+    return {k: bytes.fromhex(v[1]) for k, v in own.items() if hexes.fullmatch(v[0]) and hexes.fullmatch(v[1])}
+
+
+def is_vfs_root(config: dict[str, list[str]]) -> bool:
+    """Whether a build has a virtual file system and no other root."""
+    return "vfs-root" in vfs_keys(config) and not (config.get("root") or ["0"])[0].strip("0")
+
+
+def is_static(config: dict[str, list[str]]) -> bool:
+    return bool(config.get("key-layout-index-bits")) and "encoding" not in config
+
+
+def vfs_rows(spark: SparkSession, config: dict[str, list[str]], store: Store, encoding: DataFrame | None) -> DataFrame:
+    """Root rows of a virtual file system; a key without a content key stands for it."""
+    found = vfs_keys(config)
+    if "vfs-root" not in found:
+        raise OpenError("no virtual file system")
+    root = spark.createDataFrame([(bytearray(found["vfs-root"]),)], "ekey binary")
+    if not store(root).filter("error is null").take(1):
+        raise OpenError("the virtual file system's root can't be read")
+    nested = spark.createDataFrame([(bytearray(k[:9]), bytearray(k)) for k in found.values()], "ekey9 binary, full binary")
+    files = binary.vfs_tree(store, root, nested).withColumn("ekey9", F.substring("ekey", 1, 9)).withColumn("entry_ord", F.monotonically_increasing_id())
+    if encoding is not None:
+        files = files.join(resolve.reverse_encoding(encoding.withColumn("_o", F.lit(0)), ["_o"]), "ekey9", "left")
+    else:
+        files = files.withColumn("ckey", F.lit(None).cast("binary"))
+    none = F.lit(None).cast("bigint")
+    return files.select(name_hash(F.col("path")).alias("name_hash"), "entry_ord", none.alias("file_data_id"), "path", F.coalesce("ckey", "ekey").alias("ckey"), F.lit(LOCALE_ALL).cast("bigint").alias("locale"), F.lit(0).cast("bigint").alias("content"), "ekey")
+
+
+def renamed(rows: DataFrame, store: Store, groups: DataFrame | None) -> DataFrame:
+    """Root rows with the names that a table of contents (`base/coretoc.dat`) has for numbered paths: these stay under
+    their old hash without a path, and are added under the new one. groups(grp, group_name, ext) is the user's table."""
+    spark = rows.sparkSession
+    toc = rows.filter(F.lower("path") == "base/coretoc.dat").select("ekey").limit(1)
+    if not toc.take(1):
+        return rows
+    known = binary.parsed(store(toc).select(F.col("data").alias("blob")), "contents").filter("error is null")
+    known = first_wins(known.select("sno_id", "grp", "name", "ord"), ["sno_id"], ["ord"]).drop("ord")
+    groups = groups if groups is not None else spark.createDataFrame([], "grp int, group_name string, ext string")
+    new = resolve.rename_numbered(rows.select("name_hash", "path"), known, groups).select("name_hash", F.col("path").alias("new")).cache()
+    both = rows.join(new, "name_hash", "left").withColumn("path", F.when(F.col("new").isNull(), F.col("path")))
+    more = rows.join(new, "name_hash").withColumns({"path": F.col("new"), "name_hash": name_hash(F.col("new"))})
+    return both.drop("new").unionByName(more.drop("new"))
+
+
+def catalogued(spark: SparkSession, rows: DataFrame, store: Store, **parts) -> Archive:
+    """An archive of root rows."""
+    rows = rows.cache()
+    entries = rows.select("name_hash", "entry_ord", "ckey", "locale", "content", *(["ekey"] if "ekey" in rows.columns else []))
+    pairs = rows.filter("file_data_id is not null").select("file_data_id", "name_hash", "entry_ord")
+    names = resolve.first_wins(rows.filter("path is not null").select("name_hash", "path", "entry_ord"), ["name_hash"], ["entry_ord"]).drop("entry_ord")
+    return Archive(spark=spark, entries=entries, names=names, fdids=resolve.fdid_tables(pairs, ["entry_ord"])[1], store=store, **parts)
+
+
+def open_static(spark: SparkSession, folder: str, config: dict[str, list[str]], keys: DataFrame | None = None, groups: DataFrame | None = None) -> Archive:
+    """A static container: neither encoding table nor index, its root a virtual file system."""
+    data = f"{folder}/{folder_case(spark, folder, 'Data')}"
+    place = data if entries_of(spark, data) else folder
+    store = static_store(place, config, keys)
+    rows = renamed(vfs_rows(spark, config, store, None), store, groups)
+    return catalogued(spark, rows, store, folders=[place], encoding=None, index=None, config=config, keys=keys)
+
+
+def static_config(spark: SparkSession, folder: str) -> dict[str, list[str]] | None:
+    """The `.build.config` of a static container, in the folder or its Data folder; None if there is none of that kind."""
+    for place in (folder, f"{folder}/{folder_case(spark, folder, 'Data')}"):
+        try:
+            config = parse_config(read_text(spark, f"{place}/.build.config"))
+        except ValueError:
+            continue
+        if is_static(config):
+            return config
+    return None
+
+
+def root_rows(spark: SparkSession, config: dict[str, list[str]], store: Store, encoding: DataFrame) -> DataFrame:
+    """The rows of the build's root, whatever its kind; of one that isn't known those of its virtual file system, else of
+    its install manifest; without either it is an error."""
+    if is_vfs_root(config):
+        return vfs_rows(spark, config, store, encoding)
+
+    def blob(name: str) -> DataFrame:
+        hexes = config.get(name) or []
+        found = encoding.filter(F.hex("ckey") == hexes[0].upper()).select(F.element_at("ekeys", 1).alias("ekey")) if hexes else None
+        if found is None or not found.take(1):
+            raise OpenError(f"the {name} isn't in the encoding table")
+        return store(found).select(F.col("data").alias("blob")).cache()
+
+    body = blob("root")
+    kind = formats.root_kind(bytes(body.take(1)[0][0] or b""))
+    none = F.lit(None).cast("bigint")
+    if kind == "text":
+        return text.text_root(text.split_lines(body.select(F.decode("blob", "UTF-8").alias("text")))).withColumn("file_data_id", none)
+    if kind == "trie":
+        return trie.trie_entries(body).filter("status = 'ok'").withColumns({"entry_ord": F.monotonically_increasing_id(), "file_data_id": none})
+    if kind in formats.ROOTS:
+        return binary.root_entries(body).filter("error is null")
+    if "vfs-root" in vfs_keys(config):
+        return vfs_rows(spark, config, store, encoding)
+    if config.get("install"):
+        rows = binary.root_entries(blob("install")).filter("error is null")
+        if rows.take(1):
+            return rows
+    raise OpenError(f"a root of kind {kind}, and neither a virtual file system nor an install manifest")
+
+
+def read_config(spark: SparkSession, data: str, key: str, mirrors: list[str] | None) -> dict[str, list[str]]:
+    """A configuration by its key: the local one, else that of the first mirror that has it."""
+    name = f"config/{key[:2]}/{key[2:4]}/{key}"
+    for place in (data, *(mirrors or [])):
+        try:
+            return parse_config(read_text(spark, f"{place}/{name}"))
+        except OpenError:
+            continue
+    raise OpenError(f"no configuration {key}")
+
+
+def open_archive(spark: SparkSession, folder: str, product: str | None = None, keys: DataFrame | None = None, mirrors: list[str] | None = None, cache: str | None = None, groups: DataFrame | None = None) -> Archive:
+    """Open an installation: a static container by its `.build.config`, else `<folder>/.build.info` and what it leads to:
+    build configuration, local indices with those of archives, encoding table, and a root of any kind.
+
+    mirrors are folders with `data/` and `config/` below, which serve what isn't there or is broken; cache keeps what they
+    served. groups(grp, group_name, ext) names the groups of a table of contents.
+    """
+    static = static_config(spark, folder)
+    if static is not None:
+        return open_static(spark, folder, static, keys, groups)
     info = text.bar_table(spark, read_text(spark, f"{folder}/.build.info"))
     chosen = choose_product(product, products(info))
-    row = next((r.asDict() for r in info.orderBy("row_no").limit(1000).collect() if (r.asDict().get("Product") or chosen) == chosen), None)
+    row = next((r.asDict() for r in info.orderBy("row_no").collect() if (r.asDict().get("Product") or chosen) == chosen), None)
     if row is None:
         raise OpenError(f"no build of {chosen}")
     data = f"{folder}/{folder_case(spark, folder, 'Data')}"
-    build = row.get("BuildKey") or ""
-    config = parse_config(read_text(spark, f"{data}/config/{build[:2]}/{build[2:4]}/{build}"))
+    config = read_config(spark, data, row.get("BuildKey") or "", mirrors)
     storages = [f"{data}/{n}" for n, d in entries_of(spark, data) if d and n in ("data", "ecache")]
-    index = binary.local_indices(spark, storages).cache()
+    index = binary.local_indices(spark, storages)
+    archives = read_config(spark, data, row["CDNKey"], mirrors).get("archives", []) if row.get("CDNKey") else []
+    if archives and any(n.endswith(".index") for n, _ in entries_of(spark, f"{data}/indices")):
+        index = binary.merge_archive_indices(index, archives, binary.archive_entries(binary.blobs(spark, f"{data}/indices", "*.index")))
+    index = index.cache()
+    store = local_store(index, storages, keys, mirrors, cache)
     hexes = config.get("encoding") or []
     if len(hexes) < 2:
         raise OpenError("no encoding key")
-
-    def blob(ekey: str) -> DataFrame:
-        wanted = spark.createDataFrame([(bytearray.fromhex(ekey),)], "ekey binary").withColumn("ekey9", F.substring("ekey", 1, 9))
-        read = blocks.read_blocks(wanted.join(index, "ekey9"), storages).select("ekey", "blob")
-        return codec.decoded(read, "blob", "ekey", keys)
-
-    encoding_rows = binary.parsed(blob(hexes[1]).select(F.col("data").alias("blob")), "encoding").filter("error is null")
-    encoding = resolve.encoding_table(encoding_rows, ["ord"]).cache()
-    root = config.get("root") or []
-    found = encoding.filter(F.hex("ckey") == (root[0].upper() if root else "")).select(F.hex(F.element_at("ekeys", 1))).take(1)
-    if not found:
-        raise OpenError("the root isn't in the encoding table")
-    body = blob(found[0][0]).select(F.col("data").alias("blob")).cache()
-    kind = formats.root_kind(bytes(body.take(1)[0][0] or b""))
-    if kind == "text":
-        rows = text.text_root(text.split_lines(body.select(F.decode("blob", "UTF-8").alias("text")))).withColumn("file_data_id", F.lit(None).cast("bigint"))
-    else:
-        rows = binary.root_entries(body).filter("error is null")
-    rows = rows.cache()
-    entries = rows.select("name_hash", "entry_ord", "ckey", "locale", "content")
-    pairs = rows.filter("file_data_id is not null").select("file_data_id", "name_hash", "entry_ord")
-    names = resolve.first_wins(rows.filter("path is not null").select("name_hash", "path", "entry_ord"), ["name_hash"], ["entry_ord"]).drop("entry_ord")
-    return Archive(spark, storages, entries, names, resolve.fdid_tables(pairs, ["entry_ord"])[1], encoding, index, config, keys=keys)
+    table = store(spark.createDataFrame([(bytearray.fromhex(hexes[1]),)], "ekey binary"))
+    encoding = resolve.encoding_table(binary.parsed(table.select(F.col("data").alias("blob")), "encoding").filter("error is null"), ["ord"]).cache()
+    rows = root_rows(spark, config, store, encoding)
+    if "ekey" in rows.columns:
+        rows = renamed(rows, store, groups)
+    return catalogued(spark, rows, store, folders=storages, encoding=encoding, index=index, config=config, keys=keys)
 
 
 def probe(spark: SparkSession, folders: list[str], fail_fast: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import key9
+from ..operators.resolve import small
 from ..operators.unique import first_wins
 from . import formats
 
@@ -112,11 +113,19 @@ def merge_archive_indices(index: DataFrame, archives: list[str], entries: DataFr
     count by their place in the configuration, offsets beyond 32 bits are passed over."""
     spark = index.sparkSession
     places = spark.createDataFrame([(a, k) for k, a in enumerate(archives)], "archive_name string, archive bigint")
-    more = entries.join(F.broadcast(places), "archive_name").filter((F.col("offset") >= 0) & (F.col("offset") <= 0xFFFFFFFF))
+    more = entries.join(small(places), "archive_name").filter((F.col("offset") >= 0) & (F.col("offset") <= 0xFFFFFFFF))
     more = more.select(key9(F.col("ekey")).alias("ekey9"), F.lit(0).alias("storage"), "archive", "offset", "size", F.lit(1).alias("side"))
     return first_wins(index.select("ekey9", "storage", "archive", "offset", "size", F.lit(0).alias("side")).unionByName(more), ["ekey9"], ["side", "archive", "offset"]).drop("side")
 
 
+def archive_entries(files: DataFrame) -> DataFrame:
+    """(archive_name, ekey, size, offset) of archive index blobs (file, blob), named by their files; a malformed file counts
+    for nothing."""
+    rows = parsed(files, "archive_index").withColumn("archive_name", F.regexp_extract("file", r"([^/]*)\.index$", 1))
+    bad = rows.filter("error is not null").select("file").distinct()
+    return rows.filter("error is null").join(small(bad), "file", "left_anti").select("archive_name", "ekey", "size", "offset")
+
+
 def index_audit(files: DataFrame) -> DataFrame:
     """One row over archive index blobs (file, blob): files, errors, entries, entries that footers announce, files short of
     them."""
@@ -135,32 +144,33 @@ def index_audit(files: DataFrame) -> DataFrame:
 
 
 def root_entries(files: DataFrame, strict: bool = False) -> DataFrame:
-    """The root entries of blobs of any binary kind, told by their first bytes; an unknown kind gives no rows."""
+    """The root entries of blobs of the kinds that formats.ROOTS has, told by their first bytes; other kinds are malformed."""
 
     def parse(data: bytes) -> Iterator[tuple]:
         kind = formats.root_kind(data)
-        if kind in formats.ROOTS:
-            yield from formats.ROOTS[kind](data)
+        if kind not in formats.ROOTS:
+            raise formats.Malformed(f"a root of kind {kind}")
+        yield from formats.ROOTS[kind](data)
 
     return table_function(files, parse, ROOT_FIELDS, strict=strict)
 
 
-def vfs_tree(load: Callable[[list[bytes]], DataFrame], root: bytes, nested: DataFrame, most_depth: int = 32) -> DataFrame:
+def vfs_tree(load: Callable[[DataFrame], DataFrame], root: DataFrame, nested: DataFrame) -> DataFrame:
     """(path, ekey) of a virtual file system whose spans may name nested manifests.
 
-    nested(ekey9, ekey) are the manifests' keys; load(keys) gives (ekey, blob). Levels are followed until none is left;
-    a manifest that can't be had or read is passed over.
+    root(ekey) is the first manifest's key, nested(ekey9, full) are the manifests' keys, load(ekey) gives (ekey, data). A
+    file of one span whose key is among them is a manifest, whose paths go on below its own. All levels are followed; a
+    manifest within itself isn't, and one that can't be had or read is passed over.
     """
-    spark = nested.sparkSession
-    files, level, prefixes = None, load([root]).withColumn("prefix", F.lit("")), 0
-    while prefixes < most_depth:
-        rows = parsed(level.select("prefix", "blob"), "vfs_files").filter("error is null").select(F.concat("prefix", "path").alias("path"), "ekey").withColumn("ekey9", key9(F.col("ekey")))
-        inner = rows.join(F.broadcast(nested.withColumnRenamed("ekey", "full")), "ekey9")
-        plain = rows.join(F.broadcast(nested.select("ekey9")), "ekey9", "left_anti").select("path", "ekey")
+    known, files = small(nested.dropDuplicates(["ekey9"])), None
+    level = load(root).select(F.col("data").alias("blob"), F.lit("").alias("prefix"), F.array(key9(F.col("ekey"))).alias("above"))
+    while True:
+        rows = parsed(level, "vfs_files").filter("error is null").select(F.concat("prefix", "path").alias("path"), "ekey", "spans", "above").withColumn("ekey9", key9(F.col("ekey")))
+        rows = rows.join(known, "ekey9", "left").withColumn("inner", F.col("full").isNotNull() & (F.col("spans") == 1)).cache()
+        plain = rows.filter("not inner").select("path", "ekey")
         files = plain if files is None else files.unionByName(plain)
-        keys = [bytes(r[0]) for r in inner.select("full").distinct().limit(10_000).collect()]
-        if not keys:
-            break
-        level = inner.select(F.concat("path", F.lit("/")).alias("prefix"), F.col("full").alias("ekey")).join(load(keys), "ekey")
-        prefixes += 1
-    return files if files is not None else spark.createDataFrame([], "path string, ekey binary")
+        inner = rows.filter(F.col("inner") & ~F.array_contains("above", F.col("ekey9")))
+        if not inner.take(1):
+            return files
+        below = inner.select(F.concat("path", F.lit("/")).alias("prefix"), F.concat("above", F.array("ekey9")).alias("above"), F.col("full").alias("ekey"))
+        level = below.join(load(below.select("ekey").distinct()), "ekey").select(F.col("data").alias("blob"), "prefix", "above")

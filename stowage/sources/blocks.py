@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import be_uint, bits
-from ..operators.resolve import small
 
 #: Fixed value: the header before a block in a data file.
 BLOCK_HEADER = 30
@@ -202,5 +201,8 @@ def remote_blobs(wanted: DataFrame, mirrors: list[str], cache: str | None = None
 
 
 def known_layouts(table: DataFrame) -> list[tuple[int, int, int, int, int]]:
-    """key_layouts() as the list that static_location() takes; at most 256 rows by their index bits."""
-    return [tuple(r) for r in small(table).limit(256).collect()]
+    """key_layouts() as the list that static_location() takes; more than their index bits can tell apart is an error."""
+    found = [tuple(r) for r in table.limit(257).collect()]
+    if len(found) > 256:
+        raise ValueError("more than 256 layouts")
+    return found
