@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 _U32 = np.uint32
 #: Fixed values of the published lookup3 hash: rotations of its mixing and its final step.
 MIX, FINAL, SEED = (4, 6, 8, 16, 19, 4), (14, 11, 25, 16, 4, 14, 24), 0xDEADBEEF
+#: Places of the matrix that make up its four columns, and its four rows, each from the diagonal on.
+_COLUMNS = [[(5 * i + 4 * j) % 16 for i in range(4)] for j in range(4)]
+_ROWS = [[4 * i + (i + j) % 4 for i in range(4)] for j in range(4)]
 
 
 def _rot(x: np.ndarray, k: int) -> np.ndarray:
@@ -81,14 +84,12 @@ def salsa20(key: bytes, nonce: bytes, data: bytes) -> bytes:
         first[at : at + len(words)] = words[:, None]
     first[8], first[9] = counter.astype(_U32), (counter >> np.uint64(32)).astype(_U32)
     x = first.copy()
-    rows = [[(5 * i + 4 * j) % 16 for j in range(4)] for i in range(4)]  # columns of the matrix from the diagonal down
-    lines = [[4 * i + (i + j) % 4 for j in range(4)] for i in range(4)]
     for _ in range(10):
-        for group in (rows, lines):
-            for a, b, c, d in group:
-                x[b] ^= _rot(x[a] + x[d], 7)
-                x[c] ^= _rot(x[b] + x[a], 9)
-                x[d] ^= _rot(x[c] + x[b], 13)
-                x[a] ^= _rot(x[d] + x[c], 18)
+        for a, b, c, d in (_COLUMNS, _ROWS):  # four quarter rounds at once
+            own = [x[k] for k in (a, b, c, d)]
+            for step, turn in enumerate((7, 9, 13, 18), 1):
+                own[step % 4] ^= _rot(own[step - 1] + own[step - 2], turn)
+            for k, v in zip((a, b, c, d), own, strict=True):
+                x[k] = v
     stream = (x + first).T.astype("<u4").tobytes()
     return (np.frombuffer(data, np.uint8) ^ np.frombuffer(stream[: len(data)], np.uint8)).tobytes()

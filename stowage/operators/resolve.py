@@ -10,6 +10,8 @@ from .unique import first_wins, last_wins
 
 #: Sizes up to which a side is broadcast on purpose; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 200_000
+#: Lengths of packages up to which each gets a join of its own.
+MOST_LENGTHS = 32
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -79,15 +81,21 @@ def resolve(names: DataFrame, entries: DataFrame, encoding: DataFrame | None, in
 def longest_prefix(paths: DataFrame, packages: DataFrame, path: str = "path", package: str = "package", key: str = "package_id") -> DataFrame:
     """paths with the key of the longest package that is a true prefix (case-sensitive, at any character), else null.
 
-    Only prefixes as long as some package are made, so a path becomes a row per length, and the join is by equality.
-    The table of packages is a dimension; it is broadcast only if it is small.
+    Packages are a dimension. Where they are few (see small()) and of at most MOST_LENGTHS lengths, each length is a
+    broadcast join by equality and nothing is shuffled. Else a path becomes a row per length that some package has.
     """
     # at most as many as the longest package has characters
     lengths = sorted(r[0] for r in packages.select(F.length(package)).distinct().collect() if r[0])
     if not lengths:
         return paths.withColumn(key, F.lit(None).cast(packages.schema[key].dataType))
-    rows = paths.withColumn("_row", F.struct(*paths.columns)).select("_row")
     dims = first_wins(packages.select(F.col(package).alias("_p"), F.col(key).alias("_k")), ["_p"], ["_k"])
+    if len(lengths) <= MOST_LENGTHS and dims.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        out = paths
+        for n in lengths:
+            own = F.broadcast(dims.filter(F.length("_p") == n).select(F.col("_p").alias(f"_p{n}"), F.col("_k").alias(f"_k{n}")))
+            out = out.join(own, F.when(F.length(path) > n, F.substring(path, 1, n)) == F.col(f"_p{n}"), "left").drop(f"_p{n}")
+        return out.select(*paths.columns, F.coalesce(*[f"_k{n}" for n in reversed(lengths)]).alias(key))
+    rows = paths.withColumn("_row", F.struct(*paths.columns)).select("_row")
     text = F.col(f"_row.{path}")
     each = rows.select("_row", F.explode_outer(F.filter(F.array(*map(F.lit, lengths)), lambda n: n < F.length(text))).alias("_n"))
     found = each.withColumn("_p", F.substring(text, F.lit(1), F.col("_n"))).join(small(dims), "_p", "left")

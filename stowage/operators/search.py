@@ -134,4 +134,6 @@ def distinct_hashes(entries: DataFrame) -> DataFrame:
 
 def counts(entries: DataFrame, names: DataFrame) -> DataFrame:
     """One row: entries, distinct hashes, names."""
-    return entries.agg(F.count("*").alias("entries"), F.countDistinct("name_hash").alias("hashes")).crossJoin(names.agg(F.count("*").alias("names")))
+    own = entries.agg(F.count("*").alias("entries"), F.countDistinct("name_hash").alias("hashes"), F.lit(0).cast("bigint").alias("names"))
+    named = names.agg(F.lit(0).cast("bigint").alias("entries"), F.lit(0).cast("bigint").alias("hashes"), F.count("*").alias("names"))
+    return own.unionByName(named).agg(*[F.max(c).alias(c) for c in ("entries", "hashes", "names")])

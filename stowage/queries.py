@@ -145,12 +145,16 @@ def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.count_by(_chain(spark, sf_dir).select(plan_status(F.col("error"), there).alias("status")))
 
 
-@query("""with e as (select l_orderkey as ckey, l_linenumber as pos, l_partkey as ekey, l_partkey % 13 = 0 as known, l_suppkey as t from lineitem),
-k as (select *, row_number() over (partition by ckey order by known desc, pos, ekey, t) as n from e) select ckey, ekey from k where n = 1""")
+@query("""with e as (select l_orderkey as ckey, l_linenumber as pos, upper(md5(l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey)) as ekey, l_partkey % 13 = 0 as known from lineitem),
+k as (select *, row_number() over (partition by ckey order by known desc, pos, ekey) as n from e) select ckey, ekey from k where n = 1""")
 def best_ekey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first key that is known, else the first: over order lines in place of keys."""
-    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ckey"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("ekey"), "l_suppkey")
-    return first_wins(own, ["ckey"], [F.col("ekey") % 13 != 0, "pos", "ekey", "l_suppkey"]).select("ckey", "ekey")
+    """Of an order's lines as keys the first that is known by its first eight bytes, else the first."""
+    hexed = F.upper(F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ckey"), "l_linenumber", hexed.alias("ekey"), (F.col("l_partkey") % 13 == 0).alias("known"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "ekey"))), lambda x: F.unhex(x["ekey"]))
+    encoding = own.groupBy("ckey").agg(listed.alias("ekeys"), F.count("*").alias("size"))
+    names = own.filter("known").select(C.le_uint(F.unhex("ekey"), 1, 8).alias("key_name"))
+    return resolve.best_ekey(encoding, names).select("ckey", F.hex("ekey").alias("ekey"))
 
 
 @query(f"""with {ROOT}, pkg(package, package_id) as (values ('Corpus/', 1), ('Corpus/src1', 2), ('Corpus/src1/', 3), ('Corpus/src12/fr/', 4), ('corpus/src2', 5), ('Corpus/src2/en/Doc_', 6)),
@@ -226,28 +230,6 @@ def tree_dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.array_join(F.concat("folder_key", F.array("file_key")), "/").alias("key"), "page_id")
 
 
-@query("""with d as (select source, doc_id, coalesce(doc_id - lag(doc_id) over (partition by source order by doc_id) - 1, doc_id) as delta from documents)
-select source, doc_id, cast(sum(delta) over (partition by source order by doc_id rows unbounded preceding) + row_number() over (partition by source order by doc_id) - 1 as bigint) as decoded from d""")
-def fdid_delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids from their deltas: a running sum and the row's place."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce(F.col("doc_id") - F.lag("doc_id").over(w) - 1, F.col("doc_id")).alias("delta"))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return d.select("source", "doc_id", (F.sum("delta").over(run) + F.row_number().over(w) - 1).alias("decoded"))
-
-
-@query("""select cast(count(*) as bigint) as entries, cast(count(distinct l_orderkey) as bigint) as archives, cast(sum(case when l_quantity < 5 then 1 else 0 end) as bigint) as short, max(l_linenumber) as widest from lineitem""")
-def index_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("entries"), F.countDistinct("l_orderkey").alias("archives"), F.count_if(F.col("l_quantity") < 5).alias("short"), F.max("l_linenumber").alias("widest"))
-
-
-@query("""with o as (select distinct md5(text) as k, lang from documents where source < 'src15'), n as (select distinct md5(text) as k, lang from documents where source >= 'src12')
-select k, lang from n except select k, lang from o""")
-def archive_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").select(F.md5("text").alias("k"), "lang", "source")
-    return own.filter("source >= 'src12'").drop("source").subtract(own.filter("source < 'src15'").drop("source"))
-
-
 @query(f"""with {ROOT} select coalesce(a.path, b.path) as path, case when a.path is null then 'added' when b.path is null then 'removed' else 'changed' end as change
 from (select path, ckey from root where source < 'src15') a full join (select path, case when lang = 'de' then 'x' else ckey end as ckey from root where source >= 'src12') b on a.path = b.path
 where a.path is null or b.path is null or a.ckey <> b.ckey""")
@@ -257,16 +239,17 @@ def archive_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.archive_diff(own.filter("source < 'src15'"), new)
 
 
-@query(f"with {ROOT} select doc_id, path from root where doc_id in (select doc_id from labels where quality = 0)")
+@query(f"with {ROOT} select doc_id from root where doc_id in (select doc_id from labels where quality = 0)")
 def selection_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
-    return root(spark, sf_dir).join(chosen, "doc_id", "left_semi").select("doc_id", "path")
+    entries = root(spark, sf_dir).select(F.col("doc_id").alias("name_hash"), F.explode(F.array(F.lit(1), F.lit(0))).alias("entry_ord"))
+    chosen = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("name_hash"))
+    return sets.export_selection(entries, chosen).filter("entry_ord = 0").select(F.col("name_hash").alias("doc_id"))
 
 
 @query("select doc_id, case when toxic = 1 then 134217728 else 0 end + case when quality = 0 then 1 else 0 end as content from labels where toxic = 1 or quality = 0")
 def content_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = content(spark, sf_dir).withColumn("content", C.known_content(F.col("content")))
-    return own.filter(F.col("content").bitwiseAND(0x08000001) != 0)
+    return own.filter(search.SearchQuery().with_content(0x08000001).predicate())
 
 
 @query(f"""with {ROOT}, v as (select doc_id, cast('0x' || substr(ckey, 19, 14) as bigint) as b from root)
@@ -300,12 +283,6 @@ def sno_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.rename_numbered(names, toc, groups)
 
 
-@query("""select page_id, case when starts_with(html, '<!DOCTYPE') then 'document' when contains(html, '<html') then 'fragment' else 'text' end as kind from pages""")
-def content_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", F.when(h.startswith("<!DOCTYPE"), "document").when(h.contains("<html"), "fragment").otherwise("text").alias("kind"))
-
-
 @query("""with e as (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) % 3 as axis from embeddings) select label, cast(axis as integer) as axis, min(v) as low, max(v) as high from e group by label, axis""")
 def mesh_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds per axis, the vectors taken as coordinates of three axes in turn."""
@@ -323,14 +300,6 @@ def formula_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("p_partkey", F.size(C.sf_references(F.col("f"))).alias("refs"), C.search_class(F.col("f")).alias("kind"), C.formula_class(F.col("f")).alias("class"))
 
 
-@query("""select event_id, trim(split_part(kv, '=', 1)) as key, cast(len(list_filter(string_split(trim(split_part(kv, '=', 2)), ' '), lambda v: v <> '')) as integer) as n
-from (select event_id, event_type || ' = ' || user_id || '  ' || event_id as kv from events)""")
-def kv_config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kv = F.concat("event_type", F.lit(" = "), F.col("user_id").cast("string"), F.lit("  "), F.col("event_id").cast("string"))
-    split = F.split(kv, "=", 2)
-    return table(spark, sf_dir, "events").select("event_id", F.trim(split[0]).alias("key"), F.size(F.filter(F.split(F.trim(split[1]), r"\s+"), lambda v: v != "")).alias("n"))
-
-
 @query("""select page_id, regexp_extract(url, '[^/\\\\]*$') as base, case when regexp_matches(lower(url), '\\.(blp|tex)$') then 'image' else 'other' end as kind from pages""")
 def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", C.base_name(F.col("url")).alias("base"), C.file_class(F.col("url")).alias("kind"))
@@ -377,9 +346,10 @@ def selection_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.toggle(own.filter("lang = 'en'").select("k").distinct(), own.filter("lang = 'fr'").select("k").distinct())
 
 
-@query(f"with {ROOT} select cast(count(*) as bigint) as entries, cast(count(distinct ckey) as bigint) as hashes, cast(count(distinct path) as bigint) as names from root")
+@query(f"with {ROOT} select cast(count(*) as bigint) as entries, cast(count(distinct doc_id % 100) as bigint) as hashes, cast(sum(case when lang <> 'es' then 1 else 0 end) as bigint) as names from root")
 def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return root(spark, sf_dir).agg(F.count("*").alias("entries"), F.countDistinct("ckey").alias("hashes"), F.countDistinct("path").alias("names"))
+    own = root(spark, sf_dir)
+    return search.counts(own.select((F.col("doc_id") % 100).alias("name_hash")), own.filter("lang <> 'es'"))
 
 
 @query()
@@ -442,9 +412,9 @@ def text_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive index files made of order lines by one task per archive, parsed, and audited against their footers."""
+    """Archive index files made of order lines of bounded size, parsed, and audited against their footers."""
     own = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 16).cast("int").alias("archive"), F.unhex(F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("ekey"), F.col("l_quantity").cast("bigint").alias("size"), F.col("l_partkey").alias("offset"))
-    packed = own.withColumn("part", F.col("offset") % 64)
+    packed = own.withColumn("part", F.col("offset") % max(1, own.count() // 8000))
 
     def build(key, pdf):
         import pandas as pd
@@ -456,5 +426,5 @@ def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.index_audit(files)
 
 
-ORACLE_SQL["index_files"] = """with p as (select l_orderkey % 16 as a, l_partkey % 64 as b, count(*) as n from lineitem group by 1, 2)
+ORACLE_SQL["index_files"] = """with p as (select l_orderkey % 16 as a, l_partkey % greatest(1, (select count(*) // 8000 from lineitem)) as b, count(*) as n from lineitem group by 1, 2)
 select cast(count(*) as bigint) as files, cast(0 as bigint) as errors, cast(sum(n) as bigint) as entries, cast(sum(n) as bigint) as announced, cast(0 as bigint) as short from p"""

@@ -291,3 +291,33 @@ select doc_id, printf('%03d', chunk) || '/0x' || printf('%04x', archive) || '-me
 def static_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = blocks.static_location(F.unhex("ckey"), [(0, 12, 14, 30, 0)], 0)
     return root(spark, sf_dir).select("doc_id", F.element_at(blocks.candidate_files(where), 1).alias("file"))
+
+
+@query("""with p as (select floor(c_custkey / 2000) as part, count(*) as n from customer group by 1)
+select cast(count(*) as bigint) as files, cast(0 as bigint) as errors, cast(sum(n) as bigint) as entries, cast(sum(n) as bigint) as announced, cast(0 as bigint) as short from p""")
+def index_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = files(_customers(spark, sf_dir), ["part"], lambda p: formats.write_archive_index([(bytes(k), len(n), 0) for k, n in zip(p["k"], p["c_name"], strict=True)], offset_bytes=0))
+    return binary.index_audit(made)
+
+
+@query("select source, doc_id as decoded from documents")
+def fdid_delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a manifest's blocks from their deltas."""
+    own = table(spark, sf_dir, "documents").select("source", "doc_id", F.floor(F.col("doc_id") / 2000).alias("part"))
+    made = files(own, ["source", "part"], lambda p: formats.write_manifest_root([(2, 0x10000000, [(i, bytes(16), None) for i in sorted(p["doc_id"])])], 1))
+    return binary.root_entries(made, strict=True).select(F.element_at(F.split("file", "-"), 1).alias("source"), F.col("file_data_id").alias("decoded"))
+
+
+@query("select event_type || '.' || event_id as key, cast(2 as integer) as n from events")
+def kv_config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.concat_ws(" ", F.concat("event_type", F.lit("."), "event_id"), F.lit("= "), F.col("user_id").cast("string"), F.lit(" "), F.col("event_id").cast("string"))
+    return text.config(table(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), lines.alias("line"))).select("key", F.size("values").alias("n"))
+
+
+@query("select case page_id % 3 when 0 then 'audio' when 1 then 'chunked' else 'text' end as plugin, cast(count(*) as bigint) as blobs from pages where length(html) > 0 group by 1")
+def content_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plug-in that claims a blob, by its first bytes."""
+    k = F.col("page_id") % 3
+    head = F.when(k == 0, "OggS").when(k == 1, "REVM").otherwise("")
+    blobs = table(spark, sf_dir, "pages").filter("length(html) > 0").select(F.concat(F.lit("p"), "page_id").alias("name"), F.concat(head, "html").cast("binary").alias("blob"))
+    return content.previews(blobs, "name").groupBy("plugin").agg(F.count("*").alias("blobs"))

@@ -7,11 +7,7 @@ from stowage.operators import resolve, search, sets, tree
 from stowage.operators.unique import first_wins, last_wins
 from stowage.plans import glob as G
 
-PATHS = [
-    (1, "base/meta/Sound/foo.snd"), (2, "base/meta/Sound/bar.snd"), (3, "base/meta/Music/themesong.mus"),
-    (4, "base/meta/Power/Necromancer_SkeletonWarrior.pow"), (5, "base/meta/Power/Necromancer_ArmyoftheDead.pow"),
-    (6, "base/meta/Power/Barbarian_WhirlwindOfDeath.pow"), (7, "Interface/Icons/INV_Sword_04.blp"),
-]
+PATHS = list(enumerate("world/audio/rain.ogg world/audio/birds.ogg world/music/theme.mid units/Orc_Raider.mdl units/Orc_Shaman.mdl units/Elf_Archer.mdl Textures/Wall_02.dds units/elves/readme".split(), 1))
 
 
 @pytest.fixture(scope="module")
@@ -31,8 +27,8 @@ def ids(df):
 
 @pytest.mark.parametrize(
     ("query", "want"),
-    [("base/meta/Sound", [1, 2]), ("*Necromancer*.pow", [4, 5]), ("base/meta/Power/*.pow", [4, 5, 6]), ("**/*.blp", [7]), ("Interface/Icons/INV_Sword_04.blp", [7]), ("*.nonexistent", []),
-     ("/base/*", [1, 2, 3, 4, 5, 6]), ("*.{snd,mus}", [1, 2, 3]), ("base/*/Power/[!N]*", [6]), ("base/**/foo.snd", [1]), ("base/**", [1, 2, 3, 4, 5, 6]), ("BASE\\META\\sound", [1, 2]), ("f?o.snd", [1]), ("", [1, 2, 3, 4, 5, 6, 7])],
+    [("world/audio", [1, 2]), ("*orc*.mdl", [4, 5]), ("units/*.mdl", [4, 5, 6]), ("**/*.dds", [7]), ("Textures/Wall_02.dds", [7]), ("*.none", []), ("/world/*", [1, 2, 3]), ("*.{ogg,mid}", [1, 2, 3]),
+     ("units/[!O]*", [6, 8]), ("world/**/rain.ogg", [1]), ("units/**", [4, 5, 6, 8]), ("WORLD\\AUDIO", [1, 2]), ("ra?n.ogg", [1]), ("", list(range(1, 9)))],
 )
 def test_path_queries(names, query, want):
     parsed = G.PathQuery.parse(query)
@@ -65,11 +61,11 @@ def test_rewrites_match_the_regular_expression(spark, pattern):
 
 def test_search_fields(names, entries):
     q = search.SearchQuery
-    assert [r.name_hash for r in search.search(entries, names, q().filename("SOUND")).collect()] == [2, 1, 1]
+    assert [r.name_hash for r in search.search(entries, names, q().filename("AUDIO")).collect()] == [2, 1, 1]
     assert ids(search.search(entries, names, q().with_locale(16))) == [1, 50]
     assert ids(search.search(entries, names, q().with_locale(0))) == []
     assert ids(search.search(entries, names, q().with_content(0x08000000))) == [50]
-    assert ids(search.search(entries, names, q(name_contains=""))) == [1, 1, 2, 3, 4, 5, 7]  # null names never match
+    assert ids(search.search(entries, names, q(name_contains=""))) == [1, 1, 2, 3, 4, 5, 7, 8]  # null names never match
     assert ids(search.search(entries, names, q(ckey_hex="0303"))) == [3]
     assert ids(search.search(entries, names, q(hash_hex="000000000000003"))) == [50]
     assert ids(search.search(entries, names, q(hash_hex="xyz"))) == []
@@ -77,7 +73,7 @@ def test_search_fields(names, entries):
     assert [r.path for r in found] == sorted(p for h, p in PATHS if h != 6)[:3]
     assert search.search(entries, names, q()).collect()[-1].path is None
     assert ids(search.by_hash(entries, names, 1)) == [1, 1]
-    assert ids(search.by_text(entries, names, "*.pow")) == [4, 5]  # 6 has no entry
+    assert ids(search.by_text(entries, names, "*.mdl")) == [4, 5]  # 6 has no entry
     assert search.exists(entries, name_hash=50) and not search.exists(entries, name_hash=6)
 
 
@@ -102,7 +98,7 @@ def test_resolve_errors(spark, names, entries):
     encoding = spark.createDataFrame([(bytearray([h] * 16), [bytearray([h + 100] * 16)], h) for h in (1, 2, 3)], "ckey binary, ekeys array<binary>, size long")
     index = spark.createDataFrame([(bytearray([h + 100] * 9), 0, 0, 10 * h, 7) for h in (1, 2)], "ekey9 binary, storage int, archive long, offset long, size long")
     found = {r.name_hash: (r.error, r.offset) for r in resolve.resolve(names, entries, encoding, index, 0xFFFFFFFF).collect()}
-    assert found == {1: (None, 10), 2: (None, 20), 3: ("index_not_found", None), 4: ("encoding_not_found", None), 5: ("encoding_not_found", None), 6: ("name_not_found", None), 7: ("encoding_not_found", None)}
+    assert found == {1: (None, 10), 2: (None, 20), 3: ("index_not_found", None), 4: ("encoding_not_found", None), 5: ("encoding_not_found", None), 6: ("name_not_found", None), 7: ("encoding_not_found", None), 8: ("encoding_not_found", None)}
 
 
 def test_best_ekey_prefers_a_known_key(spark):
@@ -118,6 +114,8 @@ def test_longest_prefix_is_strict_and_keeps_repeats(spark):
     packages = spark.createDataFrame([("a", 1), ("ab", 2), ("ab/c", 3)], "package string, package_id int")
     assert sorted((r.path, r.package_id) for r in resolve.longest_prefix(paths, packages).collect() if r.package_id) == [("ab", 1), ("ab/c", 2), ("ab/c", 2), ("abc", 2)]
     assert resolve.longest_prefix(paths, packages.limit(0)).count() == 5
+    many = spark.createDataFrame([("ab/c"[:1] + "x" * k, k) for k in range(50)] + [("ab", 99)], "package string, package_id int")
+    assert sorted((r.path, r.package_id) for r in resolve.longest_prefix(paths, many).collect()) == [("ab", 0), ("ab/c", 99), ("ab/c", 99), ("abc", 99), ("x", None)]
 
 
 def test_tree(spark):
