@@ -35,8 +35,8 @@ GROUPS = r"\+[0-9]{1,3}[\x20-]?\([0-9]{1,4}\)[\x20-]?[0-9]{2,4}(?:[\x20-][0-9]{2
 #: What an instance must look like to be of a kind.
 SHAPE = {"email": r"@|\bat\b", "ip": r"^[0-9.:]+$", "card": r"^[0-9-]{12,}$", "phone": r"^[0-9().+-]{7,}$"}
 CONTEXT = r"(\p{L}{2,24}[^\p{L}\p{N}]{0,6})$"
-#: Distinct labelled instances that a pattern needs, its least confidence, an instance's least score, rounds.
-SUPPORT, CONFIDENCE, SCORE, ROUNDS = 3, 0.7, 0.7, 2
+#: Distinct labelled instances that a pattern needs, its least confidence, and an instance's least score.
+SUPPORT, CONFIDENCE, SCORE = 3, 0.7, 0.7
 
 
 def found(text: Column, pattern: str, hint: str | None = None) -> Column:
@@ -108,11 +108,12 @@ def scan(docs: DataFrame, key: str | None, text: str) -> DataFrame:
     return cut(own.select(*(["key"] if key else []), "digest", "base", apart.alias("tokens")))
 
 
-def discover(scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, score: float = SCORE, rounds: int = ROUNDS) -> DataFrame:
+def discover(scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, score: float = SCORE) -> DataFrame:
     """(digest, extra): the discovered spans of each distinct text that has some, array<struct<kind, start, end>>.
 
     Pairs of pattern and instance are made distinct before they are shuffled further, and counts are pre-aggregated; what
-    is joined is cut, so a pattern or an instance with a large share of the pairs is split.
+    is joined is cut, so a pattern or an instance with a large share of the pairs is split. Rounds end when one adds no
+    pattern and no instance; as masses and scores only grow, none that was added goes.
     """
     seeds = scanned.select(F.explode("base").alias("s")).select(context(F.col("s.before")).alias("pattern"), F.lower("s.value").alias("instance"), F.col("s.kind").alias("kind"))
     tokens = scanned.select("digest", F.explode("tokens").alias("s")).select("digest", context(F.col("s.before")).alias("pattern"), F.lower("s.value").alias("instance"), "s.start", "s.end")
@@ -128,12 +129,14 @@ def discover(scanned: DataFrame, support: int = SUPPORT, confidence: float = CON
     shaped = cut(loose.select("pattern", "instance", F.explode(fits).alias("kind")))
     learnt = labelled.select("pattern", "kind").limit(0)
     scores = shaped.select("instance", "kind", F.lit(0.0).alias("s")).limit(0)
-    for _ in range(rounds):
+    last, now = None, (0, 0)
+    while now != last:
         known = labelled.select("pattern", "kind", "instance", F.lit(1.0).alias("s")).unionByName(shaped.join(scores, ["instance", "kind"]).select("pattern", "kind", "instance", "s"))
-        sums = cut(known.groupBy("pattern", "kind").agg(F.sum("s").alias("mass"), F.count("*").alias("k")))
-        learnt = cut(sums.join(totals, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("c"), "mass").filter((F.col("mass") >= support) & (F.col("c") >= confidence)).select("pattern", "kind", "c"))
+        sums = cut(known.groupBy("pattern", "kind").agg(F.sum("s").alias("mass"), F.count("*").alias("k")), bare=True)
+        learnt = cut(sums.join(totals, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("c"), "mass").filter((F.col("mass") >= support) & (F.col("c") >= confidence)).select("pattern", "kind", "c"), bare=True)
         reached = shaped.join(learnt, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("s"))
-        scores = cut(reached.filter(F.col("s") >= score))
+        scores = cut(reached.filter(F.col("s") >= score), bare=True)
+        last, now = now, (learnt.count(), scores.count())
     sure = shaped.join(learnt.select("pattern", "kind"), ["pattern", "kind"]).join(scores, ["instance", "kind"]).groupBy("pattern", "instance").agg(F.max(F.struct("s", F.negate("kind").alias("k")))["k"].alias("k"))
     sure = cut(sure.select("pattern", "instance", F.negate("k").alias("kind")))
     spans = open_.join(sure, ["pattern", "instance"]).unionByName(whole.withColumn("kind", F.col("own"))).select("digest", F.struct("kind", "start", "end").alias("span"))

@@ -220,3 +220,15 @@ def test_the_language_sample_is_bounded(spark):
     rows = [(k, f"text {k % 7} of language", f"l{k % 40}") for k in range(4000)] + [(None, "the same", "l0")] * 3000
     found = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=50, most_langs=5)
     assert len({lang for _, lang in found}) == 5 and len(found) == len(set(found)) <= 5 * 8
+
+
+def test_discovery_goes_on_until_nothing_is_added(spark):
+    """What only a third round finds: bravo passes by what alpha and omega found, carol by what bravo found."""
+    valid = {"alpha": 60, "omega": 60, "bravo": 2, "carol": 8}
+    lines = [f"{word} 10.{k}.1.{n}" for k, (word, most) in enumerate(valid.items()) for n in range(most)]
+    for step, (words, most) in enumerate(((("alpha", "omega", "bravo"), 20), (("bravo", "carol"), 4), (("carol",), 2))):
+        lines += [f"{word} 999.{step}.7.{n}" for word in words for n in range(most)]  # no valid address: known by context only
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.extract(df).collect()}
+    missed = [t for k, t in enumerate(lines) if not found[k]]
+    assert not missed, missed[:5]
