@@ -38,11 +38,34 @@ def seal(entries: list[bytes]) -> bytes:
     return SKIP.pack(SKIPPABLE, len(table) + TAIL.size) + table + TAIL.pack(len(entries), len(table), MAGIC)
 
 
+class Numbers:
+    """The file of each row: ends are the keys that end equal shares of the rows, nulls how many files null keys need. A key
+    that ends several shares has that many files of its own, behind that of the smaller keys of its first share."""
+
+    def __init__(self, ends: list[int], nulls: int):
+        self.bounds, times = np.unique(np.asarray(ends, np.int64), return_counts=True)
+        self.nulls, self.own = nulls, np.where(times > 1, times, 0)
+        self.base = nulls + np.arange(len(times) + 1) + np.concatenate([[0], np.cumsum(self.own)]).astype(np.int64)
+        self.files = int(self.base[-1]) + 1
+
+    def of(self, key: int | None, digest: int) -> int:
+        """Files of one key take equal ranges of the signed 64-bit digests."""
+        u = digest + (1 << 63)
+        if key is None:
+            return u * self.nulls >> 64
+        at = int(np.searchsorted(self.bounds, key, "left"))
+        if at < len(self.bounds) and self.own[at] and self.bounds[at] == key:
+            return int(self.base[at]) + 1 + (u * int(self.own[at]) >> 64)
+        return int(self.base[at])
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, key: str = "doc_id", text: str = "text", file_docs: int = FILE_DOCS) -> DataFrame:
     """Write the ids of every whole text, end_id after each, to files in folder; return their manifest.
 
     Files follow each other in ascending key order; null keys come first, equal keys (repeated rows) in the order of
-    their frames. A null or empty text is end_id alone. Documents are encoded and compressed before the one shuffle, so
+    their ids' hashes. A key that holds more than a file's share of the rows, null included, is dealt into as many files
+    as it needs by that hash, so that only rows alike in key and text always share a file. A null or empty text is end_id
+    alone. Documents are encoded and compressed before the one shuffle, so
     only frames move; a file is streamed and never held whole. The manifest (file, path, n_docs, n_ids) has a row per
     file, none for an empty table, and is cut from its lineage. Other columns are dropped; keys that aren't integers are
     refused (TypeError), as the format has 64-bit keys.
@@ -51,10 +74,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
         raise TypeError(f"the file format's keys are 64-bit integers; {key} is {docs.schema[key].dataType.simpleString()}")
     modest(docs.sparkSession)
     spark = docs.sparkSession
-    n = docs.count()
+    n, nulls = docs.agg(F.count("*"), F.count_if(F.col(key).isNull())).first()
     files = max(1, min(MOST_FILES, -(-n // file_docs)))
     ends = docs.agg(F.percentile_approx(F.col(key).cast("bigint"), [k / files for k in range(1, files)], 10 * files)).first()[0] if files > 1 else []
-    bounds = np.unique(np.asarray(ends or [], np.int64))
+    numbers = Numbers(ends or [], -(-nulls * files // max(n, 1)))
     end = np.asarray([end_id], "<u4").tobytes()
 
     def framed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,8 +91,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
             for b in found:
                 for k, t in rows(b):
                     ids = own.encode(t) + end
-                    at = 0 if k is None else int(np.searchsorted(bounds, k, "left"))
-                    yield at, k, len(ids), int.from_bytes(xxhash.xxh64(ids).digest(), "big", signed=True), press.compress(ids)
+                    digest = int.from_bytes(xxhash.xxh64(ids).digest(), "big", signed=True)
+                    yield numbers.of(k, digest), k, len(ids), digest, press.compress(ids)
 
         yield from batches(made(), schema)
 
@@ -102,7 +125,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
     return cut(
         docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
         .mapInArrow(framed, "file int, key bigint, size bigint, digest bigint, frame binary")
-        .repartition(max(files, 1), "file")
+        .repartition(numbers.files, "file")
         .sortWithinPartitions("file", F.col("key").asc_nulls_first(), "digest")
         .mapInArrow(written, "file int, path string, n_docs bigint, n_ids bigint")
     )

@@ -119,6 +119,29 @@ def test_token_files(spark, odd_docs, no_docs):
     assert tokenio.read_token_files(tokenio.write_token_files(no_docs, scratch(spark, "ids"))).collect() == []
 
 
+def test_hot_keys_are_dealt_into_files(spark):
+    """A null key and another hold a third of the rows each: files are alike in size, keys ascend over them."""
+    rng = random.Random(23)
+    rows = [((None, 500, rng.randrange(1000))[k % 3], f"text {k} of {rng.randrange(10**6)}") for k in range(3000)]
+    manifest = tokenio.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), scratch(spark, "ids"), file_docs=100)
+    assert manifest.count() > 25 and max(r.n_docs for r in manifest.collect()) < 250
+    found = sorted(tokenio.read_token_files(manifest).collect(), key=lambda r: r.start)
+    lib = tok.encoder("word_bpe_49k.json", False)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in found) == Counter((k, lib.raw(t) + b"\1\0\0\0") for k, t in rows)
+    assert [r.doc_id or -1 for r in found] == sorted(-1 if k is None else k or -1 for k, _ in rows)
+    assert [r.start for r in found] == np.cumsum([0, *[r.n_tokens for r in found[:-1]]]).tolist()
+
+
+def test_numbers_of_files():
+    rng = random.Random(24)
+    for ends in ([], [5], [1, 2, 2, 2, 7, 7, 9]):
+        numbers = tokenio.Numbers(ends, 2)
+        rows = sorted([(k, rng.getrandbits(64) - (1 << 63)) for k in range(11) for _ in range(200)])
+        at = [numbers.of(None, -1 << 63), numbers.of(None, (1 << 63) - 1), *(numbers.of(*r) for r in rows)]
+        assert at == sorted(at) and set(at) <= set(range(numbers.files)) and at[:2] == [0, 1]
+    assert {numbers.of(2, d) for k, d in rows if k == 2} == {4, 5, 6} and numbers.of(1, 0) == 2 and numbers.of(3, 0) == 7
+
+
 def test_token_files_are_plain_zstandard_and_checked(spark, odd_docs):
     import io
 
