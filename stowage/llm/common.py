@@ -118,17 +118,18 @@ def batches(found, schema: pa.Schema, most_bytes: int = 8 << 20, most_rows: int
 SIEVE = 1 << 26
 
 
-def sieve(found: DataFrame, c: str):
+def sieve(found: DataFrame, c: str, size: int = SIEVE):
     """A test for arrays of 64-bit hashes that holds for all in column c of found and for few others (all, if found is far
-    larger than SIEVE): what it clears needs no join. It is a bitmap of SIEVE bits, 8 MB, whatever the size of found."""
-    at = F.pmod(F.col(c), F.lit(SIEVE))
+    larger than size): what it clears needs no join. It is a bitmap of size bits (a power of two; 8 MB by default),
+    whatever the size of found."""
+    at = F.pmod(F.col(c), F.lit(size))
     words = found.select(F.shiftright(at, 5).cast("int").alias("w"), at.bitwiseAND(31).alias("bit")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1, cast(bit as int))")).alias("b")).toArrow()
-    bitmap = np.zeros(SIEVE >> 5, np.int32)
+    bitmap = np.zeros(size >> 5, np.int32)
     bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy()
     shared = found.sparkSession.sparkContext.broadcast(bitmap.view(np.uint32))
 
     def near(h: np.ndarray) -> np.ndarray:
-        own = h.view(np.uint64) & np.uint64(SIEVE - 1)
+        own = h.view(np.uint64) & np.uint64(size - 1)
         return (shared.value[(own >> np.uint64(5)).astype(np.int64)] >> (own & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
 
     return near

@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batches, modest, rows
+from .common import batches, cut, modest, rows, sieve
 
 #: Words per shingle, least similarity, radius in bits, bytes of items per pass.
 WORDS, LEAST, RADIUS, BLOCK_BYTES = 5, 0.8, 16, 16 << 20
+#: Fewest and most bits of the marks of a benchmark that needs several passes (64 MB at most); item sizes up to how many
+#: times the least of a group are tested together.
+FEWEST_MARKS, MOST_MARKS, GROUP = 1 << 20, 1 << 29, 1.5
 #: Words handled at once; positions whose windows are fingerprinted at once; lookups that a block remembers.
 SLAB, AT_ONCE, REMEMBERED = 1 << 18, 1 << 13, 4096
 word_list = re.compile(r"\w+").findall
@@ -214,10 +217,77 @@ class Index:
         return found
 
 
-def item_passes(spark: SparkSession, benchmark: DataFrame, key: str, text: str, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in lists of bounded size: one query tells how many passes there must be, and each fetches its own."""
-    size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = -(-size // most) or 1
+def word_hashes(text: str) -> np.ndarray:
+    from xxhash import xxh64_intdigest as hashed
+
+    words = word_list(text.lower())
+    return np.fromiter((hashed(w) for w in words), np.uint64, len(words))
+
+
+def may_hold(benchmark: DataFrame, text: str, width: int, least: float):
+    """A test of one text that holds for all with a near copy of an item, and else mostly for texts that quote as much as
+    the smallest item: its shingles are looked up in a bitmap of all items'. A window as similar as `least` to an item of its size has at most 1 - least of its shingles
+    outside the item, and so has every part of it: for a group of item sizes a window of the least size is looked for that
+    lacks no more than the largest may. The bitmap has 16 bits a shingle, MOST_MARKS at most; beyond that more texts pass.
+    """
+
+    def marked(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple]:
+            for b in found:
+                for (t,) in rows(b):
+                    if t and len(words := word_hashes(t)):
+                        k = min(width, len(words))
+                        for h in shingle_hashes(words, k).view(np.int64).tolist():
+                            yield k, len(words) - k + 1, h
+
+        yield from batches(made(), pa.schema([("k", pa.int32()), ("n", pa.int64()), ("h", pa.int64())]), most_rows=1 << 16)
+
+    marks = cut(benchmark.select(F.col(text)).mapInArrow(marked, "k int, n bigint, h bigint"))
+    group = F.floor(F.log("n") / float(np.log(GROUP)))
+    sizes = [tuple(r) for r in marks.groupBy("k", group.alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high")).select("k", "low", "high").collect()]
+    bits = min(MOST_MARKS, max(FEWEST_MARKS, 1 << (16 * marks.count()).bit_length()))
+    near = sieve(marks, "h", bits)
+    longest = max((k + high - 1 for k, _, high in sizes), default=0)
+
+    def test(t: str | None) -> bool:
+        words = word_hashes(t) if t and sizes else np.zeros(0, np.uint64)
+        for k in sorted({k for k, _, _ in sizes}):
+            if len(words) < k:
+                continue
+            hit = near(shingle_hashes(words, k).view(np.int64))
+            if len(words) < longest and hit.sum() >= least * len(hit) - 1e-6:
+                return True
+            total = np.append(0, np.cumsum(hit))
+            for own, low, high in sizes:
+                if own == k and len(hit) >= low and (total[low:] - total[:-low]).max() >= low - (1 - least) * high - 1e-6:
+                    return True
+        return False
+
+    return test
+
+
+def parted(docs: DataFrame, at: int, test) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs of which column number `at` passes the test, written once, and the others."""
+
+    def taken(wanted: bool) -> DataFrame:
+        def part(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in found:
+                for a in range(0, b.num_rows, 256):
+                    own = b.slice(a, 256)
+                    yield own.filter(pa.array([test(t) == wanted for t in own.column(at).to_pylist()], pa.bool_()))
+
+        return docs.mapInArrow(part, docs.schema)
+
+    return cut(taken(True)), taken(False)
+
+
+def several(benchmark: DataFrame, text: str, most: int) -> int:
+    """How many passes of at most about `most` bytes the items need."""
+    return -(-(benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0) // most) or 1
+
+
+def item_passes(benchmark: DataFrame, key: str, text: str, n: int) -> Iterator[list[tuple]]:
+    """The items in n lists of about the same size, each fetched when it is asked for."""
     for k in range(n):
         part = benchmark if n == 1 else benchmark.filter(F.pmod(F.xxhash64(key, text), F.lit(n)) == k)
         yield [tuple(r) for r in part.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text)).distinct().collect()]
@@ -227,7 +297,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """(key, item, similarity): a row for each row of docs and item of which it holds a near copy; clean rows give none.
 
     Words are runs of letters, digits and underscores, lower-cased. Items go to the executors in passes of at most about
-    block_bytes of text each; every pass reads the documents, and with one pass nothing is shuffled. Null and empty texts
+    block_bytes of text each. The documents are read once, and nothing is shuffled: if there are several passes, a scan
+    first writes those that may hold an item (see may_hold()), and the passes read these. Null and empty texts
     or items match nothing; an item of fewer words than a shingle is one shingle; items that are the same text are each
     reported, with keys of any type; repeated rows are reported as often as they come, null keys with a null. Other columns are dropped.
     """
@@ -235,8 +306,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     spark = docs.sparkSession
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     item_type = to_arrow_type(benchmark.schema[item].dataType)
-    out = None
-    for items in item_passes(spark, benchmark, item, item_text, block_bytes):
+    out, n = None, several(benchmark, item_text, block_bytes)
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    if n > 1:
+        docs, _ = parted(docs, 1, may_hold(benchmark, item_text, width, least))
+    for items in item_passes(benchmark, item, item_text, n):
         shared = spark.sparkContext.broadcast(items)
 
         def made(found: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -245,19 +319,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                 hits = ((k, index.keys[i], x) for k, t in rows(b) for i, x in sorted(index.matches(t).items()))
                 yield from batches(hits, pa.schema([b.schema.field(0), ("item", item_type), ("similarity", pa.float64())]))
 
-        part = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(made, f"key {kinds[0]}, item {kinds[1]}, similarity double")
+        part = docs.mapInArrow(made, f"key {kinds[0]}, item {kinds[1]}, similarity double")
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("key").alias(key), F.col("item").alias(item), "similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, **options) -> DataFrame:
-    """docs without the rows that hold a near copy of an item; all columns, whatever their names, stay as they are."""
+    """docs without the rows that hold a near copy of an item; all columns, whatever their names, stay as they are. With
+    several passes (see contaminated()) the documents are read twice: for those that may hold an item, and for the rest."""
     modest(docs.sparkSession)
     spark = docs.sparkSession
-    at = docs.columns.index(text)
-    for items in item_passes(spark, benchmark, item, item_text, block_bytes):
+    at, n, rest = docs.columns.index(text), several(benchmark, item_text, block_bytes), None
+    made = (options.get("width", WORDS), options.get("radius", RADIUS), options.get("least", LEAST))
+    if n > 1:
+        docs, rest = parted(docs, at, may_hold(benchmark, item_text, made[0], made[2]))
+    for items in item_passes(benchmark, item, item_text, n):
         shared = spark.sparkContext.broadcast(items)
-        made = (options.get("width", WORDS), options.get("radius", RADIUS), options.get("least", LEAST))
 
         def kept(found: Iterator[pa.RecordBatch], shared=shared, made=made) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, *made)
@@ -267,4 +344,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                     yield part.filter(pa.array([not index.matches(t) for t in part.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(kept, docs.schema)
-    return docs
+    return docs if rest is None else docs.union(rest)

@@ -412,9 +412,31 @@ def test_recall_near_the_threshold(spark):
             around = [[f"z{rng.randrange(10**6)}" for _ in range(rng.randrange(50))] for _ in range(2)]
             docs.append((len(docs), " ".join(around[0] + new + around[1])))
         docs.append((len(docs), " ".join(own[: n - n // 8])))
-    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string, extra string"))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string, extra string")
     want = {m: v for k, t in docs for m, v in slow_matches([(k, t)], [items[k // 9][:2]]).items()}  # words of others are others
-    assert {(r.doc_id, r.item_id) for r in found.collect()} == want.keys() and len(want) > 400 and min(want.values()) < 0.83
+    assert len(want) > 400 and min(want.values()) < 0.83
+    for block_bytes in (1 << 20, 9000):  # one pass, and several
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench, block_bytes=block_bytes).collect()} == want.keys()
+
+
+def test_several_passes_read_only_what_may_hold_an_item(spark):
+    """Texts that quote less than the smallest item, or words in another order, aren't read again; all that hold one are."""
+    rng, items, good, bad = random.Random(22), [], [], []
+    for k in range(40):
+        own = [f"v{rng.randrange(10**4)}" for _ in range(rng.choice((12, 30, 45, 80, 300)))]
+        items.append((k, " ".join(own), "x"))
+        around = [[f"z{rng.randrange(10**4)}" for _ in range(rng.randrange(300))] for _ in range(2)]
+        new = own[: len(own) // 2] + ["other"] * (len(own) > 60) + own[len(own) // 2 + (len(own) > 60) :]
+        good += [" ".join(around[0] + new + around[1]), " ".join(own[: len(own) - len(own) // 10])]
+        bad += [" ".join(around[0] + own[:8] + around[1]), " ".join(around[0] + rng.sample(own, len(own)))]
+    bench = spark.createDataFrame([*items, (98, None, "x"), (99, "", "x")], BENCH)
+    test = decontaminate.may_hold(bench, "text", 5, 0.8)
+    assert all(map(test, good)) and not any(map(test, bad)) and not test(None) and not test("") and not test("...")
+    docs = spark.createDataFrame(list(enumerate(good + bad + [None, ""])), "doc_id long, text string")
+    found = [{tuple(r) for r in decontaminate.contaminated(docs, bench, block_bytes=most).collect()} for most in (1 << 20, 1000)]
+    assert found[0] == found[1] and len({k for k, _, _ in found[0]}) == len(good)
+    left = [sorted(r.doc_id for r in decontaminate.clean(docs, bench, block_bytes=most).collect()) for most in (1 << 20, 1000)]
+    assert left[0] == left[1] == list(range(len(good), len(good + bad) + 2))
 
 
 def test_duplicate_keys_with_other_texts(spark):
