@@ -15,7 +15,9 @@ from collections.abc import Iterator
 #: Texts that a worker encodes by both libraries before it relies on the faster one.
 PROVED = 64
 #: Most parts that a worker remembers in each of two generations, the longest part that it remembers, and the characters handled at once.
-MEMO, LONGEST, SLAB = 600_000, 64, 1 << 20
+MEMO, LONGEST, SLAB = 400_000, 64, 1 << 20
+#: Slots that tell which parts were met once, a power of two.
+ONCE = 1 << 21
 #: Marks that may follow a word, each a pre-token of its own.
 MARKS = frozenset(".,;:!?")
 #: The characters that stand for bytes in byte-level vocabularies: a printable one for itself, others from 256 on.
@@ -82,6 +84,8 @@ class Encoder:
         #: What is known, and what was known before the memo was last full.
         self.memo: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        #: By hash, whether a part was met since then.
+        self.once = bytearray(ONCE)
 
     def raw(self, text: str) -> bytes:
         import numpy as np
@@ -125,6 +129,17 @@ class Encoder:
         text = f" {core}" if self.spaced else core.lower()
         return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes() + tail
 
+    def remember(self, made: dict[str, bytes]) -> None:
+        """Add parts to the memo that are met again: most parts of junk never are, and would only fill it."""
+        memo, once, old = self.memo, self.once, self.old
+        for p, x in made.items():
+            at = hash(p) & ONCE - 1
+            if once[at] or p in old:
+                if len(p) <= LONGEST:
+                    memo[p] = x
+            else:
+                once[at] = 1
+
     def part_ids(self, parts: list[str]) -> bytes | None:
         """The ids of parts in order; None if they can't be encoded one by one."""
         memo = self.memo
@@ -146,8 +161,8 @@ class Encoder:
             for k in holes:
                 got[k] = made[parts[k]]
             if len(memo) + len(made) > MEMO:
-                self.old, self.memo = memo, {"": b""}
-            self.memo.update(made if max(map(len, new)) <= LONGEST else {p: x for p, x in made.items() if len(p) <= LONGEST})
+                self.old, self.memo, self.once = memo, {"": b""}, bytearray(ONCE)
+            self.remember(made)
         return b"".join(got)
 
     def ranked(self):

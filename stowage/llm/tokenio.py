@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import batches, cut, modest, publish, rows, scratch, store
+from .common import batches, cut, modest, publish, rows, scratch, store, trim
 from .tok import encoder
 
 ENTRY, TAIL, SKIP, MAGIC = struct.Struct("<q?QQQ"), struct.Struct("<QQ8s"), struct.Struct("<II"), b"STOWIDS1"
@@ -95,6 +95,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
                     yield numbers.of(k, digest), k, len(ids), digest, press.compress(ids)
 
         yield from batches(made(), schema)
+        trim()
 
     def written(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = store(folder)
@@ -121,6 +122,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
         if out:
             close()
         yield from batches(done, pa.schema([("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        trim()
 
     return cut(
         docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
@@ -176,6 +178,7 @@ def read_token_files(manifest: DataFrame, key: str = "doc_id", wanted: Iterable[
                             start += plain // 4
 
         yield from batches(made(), pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]))
+        trim()
 
     based = manifest.select("path", "file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     spread = cut(based).repartition(max(1, min(manifest.sparkSession.sparkContext.defaultParallelism * 4, MOST_FILES)), "file")
