@@ -25,6 +25,7 @@ MARKS = frozenset(".,;:!?")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+SPACE = chr(BYTE_CHARS[32])
 
 
 def tokenizer_path(name: str) -> str:
@@ -122,12 +123,15 @@ class Encoder:
             core, tail = core[:-1], self.marks[core[-1]]
         if not core.isalpha():
             return None
-        try:
-            core.encode("latin-1")
-        except UnicodeEncodeError:
-            return None
-        text = f" {core}" if self.spaced else core.lower()
-        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes() + tail
+        if core.isascii():  # letters that stand for themselves
+            text = f"{SPACE}{core}" if self.spaced else core.lower()
+        else:
+            try:
+                core.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+            text = (f" {core}" if self.spaced else core.lower()).encode().decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes() + tail
 
     def remember(self, made: dict[str, bytes]) -> None:
         """Add parts to the memo that are met again: most parts of junk never are, and would only fill it."""
@@ -150,12 +154,16 @@ class Encoder:
             lone = [p for p in new if p[-1].isspace() or p[0] not in " \n"] if self.spaced else []
             if any(p[-1].isspace() and p.strip(" \n") for p in lone):
                 return None
-            made = {p: self.old[p] for p in new if p in self.old}
-            made.update((p, self.raw(p)) for p in lone if p not in made)
-            if self.model:
-                plain = ((p, self.word(p)) for p in new if p not in made and (p[0] == " " or not self.spaced))
-                made.update((p, x) for p, x in plain if x is not None)
-            rest = [p for p in new if p not in made]
+            old, made, rest = self.old, {}, []
+            made.update((p, self.raw(p)) for p in lone if p not in old)
+            for p in new:
+                if p not in made:
+                    if (x := old.get(p)) is None and self.model and (p[0] == " " or not self.spaced):
+                        x = self.word(p)
+                    if x is None:
+                        rest.append(p)
+                    else:
+                        made[p] = x
             if rest:
                 made.update(zip(rest, self.apart(rest), strict=True))
             for k in holes:
