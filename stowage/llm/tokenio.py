@@ -127,7 +127,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
     return cut(
         docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
         .mapInArrow(framed, "file int, key bigint, size bigint, digest bigint, frame binary")
-        .repartition(numbers.files, "file")
+        .repartitionById(numbers.files, "file")
         .sortWithinPartitions("file", F.col("key").asc_nulls_first(), "digest")
         .mapInArrow(written, "file int, path string, n_docs bigint, n_ids bigint")
     )
