@@ -364,6 +364,35 @@ def typed_values(data: bytes, at: int, most: int = 8) -> list[str]:
     return out
 
 
+#: Fixed values of the block of scaling factors: where the record starts and its length stands, where in the record the
+#: first formula's place stands, the tags that end an entry, bytes behind its text, entries and failures at most.
+RECORD, RECORD_SIZE, FIRST_FORMULA, ENTRY_TAGS, ENTRY_TAIL, MOST_FACTORS, MOST_BAD = 0x10, 0x78, 0x258, (0, 5, 6), 12, 80, 3
+
+
+def scaling_factors(data: bytes) -> Iterator[tuple[int, str]]:
+    """(index, text) of the run of entries that the first formula begins: a printable text that a zero byte ends, filled
+    up to four bytes, a tag and its values. What isn't one takes an index and 16 bytes; three of those in a row end the run.
+    """
+    if len(data) < RECORD + FIRST_FORMULA + 8:
+        return
+    (size,), (at,) = (struct.unpack_from("<I", data, o) for o in (RECORD_SIZE, RECORD + FIRST_FORMULA))
+    if not 0 < size <= len(data) or at < RECORD + size:
+        return
+    entry, bad = re.compile(rb"([\x20-\x7e]*)\0"), 0
+    for index in range(MOST_FACTORS):
+        if bad == MOST_BAD or at + 16 > len(data):
+            return
+        found = entry.match(data, at)
+        tag = (found.end() + 3) // 4 * 4 if found else 0
+        if found and tag + ENTRY_TAIL > len(data):
+            return
+        if found and int.from_bytes(data[tag : tag + 4], "little") in ENTRY_TAGS:
+            yield index, found[1].decode("ascii")
+            at, bad = tag + ENTRY_TAIL, 0
+        else:
+            at, bad = at + 16, bad + 1
+
+
 def chunks(data: bytes) -> Iterator[tuple[str, int, int]]:
     """(name, offset, size) of reversed four-letter chunks, as terrain and world models have them."""
     at = 0

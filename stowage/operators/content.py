@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import preview
+from ..sources import model
 from ..sources.binary import table_function
 from ..sources.formats import Malformed
 from .unique import first_wins
@@ -57,6 +58,45 @@ def previews(blobs: DataFrame, path: str = "path", blob: str = "blob", forced: s
     return table_function(both, rows, "plugin string, made string, problem string", "_both").select(path, "plugin", "made", F.coalesce("problem", "error").alias("error"))
 
 
+def factors(blobs: DataFrame, path: str = "path", blob: str = "blob") -> DataFrame:
+    """(path, index, text, error): the scaling factors of every power file, by their names; see preview.scaling_factors."""
+    claimed = blobs.filter(F.col(path).rlike(r"(?i)\.pow$")).select(path, F.col(blob).alias("_blob"))
+    return table_function(claimed, preview.scaling_factors, "index int, text string", "_blob")
+
+
+#: What a file's first bytes tell, in the order in which it is asked, and how such a file is summed up.
+INSPECTORS: list[tuple[str, tuple[bytes, ...], Callable[[bytes], str]]] = [
+    ("model", tuple(model.MAGICS), lambda d: f"{len(model.load(d).sections)} sections, {sum(1 for _ in model.meshes(d))} meshes"),
+    ("creature", (b"MD20", b"MD21"), lambda d: "{name}: {vertices} vertices, {bones} bones".format(**preview.creature_model(d))),
+    ("world model", (b"REVM",), lambda d: "{groups} groups, {materials} materials".format(**preview.world_model(d))),
+    ("blp", (b"BLP2",), lambda d: "{}x{}".format(*preview.blp(d)[1:])),
+    ("texture", (preview.DE_MAGIC,), lambda d: "{}x{} {}".format(*preview.texture(d)[1:])),
+]
+
+
+def kind_of(blob: Column) -> Column:
+    """The kind of a file by its first bytes, whatever its name: `empty` without any, `unknown` if they tell nothing; null
+    for null."""
+    found = F.when(blob.isNull(), F.lit(None).cast("string")).when(F.octet_length(blob) == 0, "empty")
+    for kind, magics, _ in INSPECTORS:
+        for m in magics:
+            found = found.when(F.substring(blob, 1, len(m)) == F.lit(bytearray(m)), kind)
+    return found.otherwise("unknown")
+
+
+def inspected(blobs: DataFrame, path: str = "path", blob: str = "blob") -> DataFrame:
+    """(path, kind, summary, error) of every blob, be it read from a disk or from an archive; no summary if the kind is
+    unknown, and an error for what its kind's reader refuses. Only blobs of a known kind go to Python."""
+    known = blobs.select(path, F.col(blob).alias("_blob"), kind_of(F.col(blob)).alias("kind"))
+    plain = known.filter("kind is null or kind in ('empty', 'unknown')").select(path, "kind", F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("error"))
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        yield (next(made for _, magics, made in INSPECTORS if data.startswith(magics))(data),)
+
+    done = table_function(known.filter("kind not in ('empty', 'unknown')"), rows, "summary string", "_blob")
+    return done.select(path, "kind", "summary", "error").unionByName(plain)
+
+
 def images(blobs: DataFrame, blob: str = "blob") -> DataFrame:
     """(other columns, width, height, png, error) of textures and palette images."""
 

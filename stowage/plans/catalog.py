@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..functions.columns import GAME_PREFIXES, LOCALE_ALL
 from ..functions.hashing import name_hash
-from ..operators import resolve, search
+from ..operators import content, resolve, search
 from ..operators.unique import first_wins
 from ..sources import binary, blocks, formats, text, trie
 
@@ -101,7 +101,8 @@ def discover(spark: SparkSession, parents: list[str]) -> list[tuple[str, str]]:
 
 @dataclass
 class Archive:
-    """The tables of an open archive."""
+    """The tables of an open archive. hosts and remote_path tell where its remote copy is, file_index is the key of an index
+    of loose files there; a static container has none of them."""
 
     spark: SparkSession
     folders: list[str]
@@ -114,6 +115,9 @@ class Archive:
     config: dict[str, list[str]] = field(default_factory=dict)
     locale: int = 0xFFFFFFFF
     keys: DataFrame | None = None
+    hosts: list[str] = field(default_factory=list)
+    remote_path: str = ""
+    file_index: str | None = None
 
     def with_names(self, lines: DataFrame) -> Archive:
         """With a listfile's names added; names that are there stay."""
@@ -142,6 +146,16 @@ class Archive:
         return rows.join(done, "ekey", "left").select("path", "data", lost.alias("error"))
 
 
+    def inspect(self, path: str | None = None, file_data_id: int | None = None) -> DataFrame:
+        """(path, kind, summary, error) of the file of a path, or of those of an id; see operators.content.inspected."""
+        if file_data_id is not None:
+            named = self.fdids.filter(F.col("file_data_id") == file_data_id).select("name_hash").withColumn("path", F.lit(f"id {file_data_id}"))
+        else:
+            named = self.spark.createDataFrame([(path,)], "path string").select(name_hash(F.col("path")).alias("name_hash"), "path")
+        got = self.contents(named)
+        seen = content.inspected(got.select("path", F.col("data").alias("blob")))
+        return seen.withColumnRenamed("error", "_e").join(got.select("path", F.col("error").alias("_g")), "path").select("path", "kind", "summary", F.coalesce("_g", "_e").alias("error"))
+
 #: What serves blobs: (ekey) to (ekey, data, error), decoded, a row for each key.
 Store = Callable[[DataFrame], DataFrame]
 
@@ -321,7 +335,8 @@ def open_archive(spark: SparkSession, folder: str, product: str | None = None, k
     config = read_config(spark, data, row.get("BuildKey") or "", mirrors)
     storages = [f"{data}/{n}" for n, d in entries_of(spark, data) if d and n in ("data", "ecache")]
     index = binary.local_indices(spark, storages)
-    archives = read_config(spark, data, row["CDNKey"], mirrors).get("archives", []) if row.get("CDNKey") else []
+    remote = read_config(spark, data, row["CDNKey"], mirrors) if row.get("CDNKey") else {}
+    archives = remote.get("archives", [])
     if archives and any(n.endswith(".index") for n, _ in entries_of(spark, f"{data}/indices")):
         index = binary.merge_archive_indices(index, archives, binary.archive_entries(binary.blobs(spark, f"{data}/indices", "*.index")))
     index = index.cache()
@@ -334,7 +349,8 @@ def open_archive(spark: SparkSession, folder: str, product: str | None = None, k
     rows = root_rows(spark, config, store, encoding)
     if "ekey" in rows.columns:
         rows = renamed(rows, store, groups)
-    return catalogued(spark, rows, store, folders=storages, encoding=encoding, index=index, config=config, keys=keys)
+    places = {"hosts": (row.get("CDNHosts") or "").split(), "remote_path": row.get("CDNPath") or "", "file_index": next(iter(remote.get("file-index", [])), None)}
+    return catalogued(spark, rows, store, folders=storages, encoding=encoding, index=index, config=config, keys=keys, **places)
 
 
 def probe(spark: SparkSession, folders: list[str], fail_fast: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 import pandas as pd
@@ -321,3 +322,26 @@ def content_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(k == 0, "OggS").when(k == 1, "REVM").otherwise("")
     blobs = table(spark, sf_dir, "pages").filter("length(html) > 0").select(F.concat(F.lit("p"), "page_id").alias("name"), F.concat(head, "html").cast("binary").alias("blob"))
     return content.previews(blobs, "name").groupBy("plugin").agg(F.count("*").alias("blobs"))
+
+
+@query("""select case page_id % 6 when 0 then 'creature' when 1 then 'world model' when 2 then 'blp' when 3 then 'texture' when 4 then 'unknown' else 'empty' end as kind,
+  cast(count(*) as bigint) as blobs, cast(count_if(page_id % 6 < 4) as bigint) as refused from pages where length(html) > 0 group by 1""")
+def inspect_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a file is by its first bytes; the pages behind these are no files of their kinds."""
+    k = F.col("page_id") % 6
+    body = F.when(k < 4, F.concat(F.element_at(F.array(*map(F.lit, ("MD21", "REVM", "BLP2", "<DE("))), (F.least(k, F.lit(3)) + 1).cast("int")), "html")).when(k == 4, F.concat(F.lit("?"), "html")).otherwise("")
+    blobs = table(spark, sf_dir, "pages").filter("length(html) > 0").select(F.concat(F.lit("p"), "page_id").alias("path"), body.cast("binary").alias("blob"))
+    return content.inspected(blobs).groupBy("kind").agg(F.count("*").alias("blobs"), F.count("error").alias("refused"))
+
+
+@query("""select 'c' || c_custkey || '.pow' as path, cast(0 as integer) as index, c_name as text from customer
+union all select 'c' || c_custkey || '.pow', cast(2 as integer), c_mktsegment from customer""")
+def scaling_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of power files: a customer's name, sixteen bytes that are none, and the segment."""
+    head = bytearray(0x270)
+    struct.pack_into("<I", head, 0x78, 0x260)
+    struct.pack_into("<I", head, 0x268, 0x270)
+    filled = lambda c: F.encode(F.rpad(F.col(c), F.floor(F.length(c) / 4).cast("int") * 4 + 4, "\0"), "UTF-8")
+    tail, bad = F.lit(bytearray([5] + [0] * 11)), F.lit(bytearray([1] * 16))
+    blob = F.concat(F.lit(head), filled("c_name"), tail, bad, filled("c_mktsegment"), tail)
+    return content.factors(table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey", F.lit(".pow")).alias("path"), blob.alias("blob"))).select("path", "index", "text")

@@ -41,11 +41,11 @@ class Builder:
         (self.data / "data/data.000").write_bytes(self.blocks)
         (self.data / "data/0000000001.idx").write_bytes(formats.write_local_index([(e[:9], 0, o, n) for e, o, n in self.index]))
         (self.data / f"config/ab/11/{build}").write_text(text.config_text(self.config))
-        (self.data / f"config/cd/22/{cdn}").write_text(text.config_text({"archives": ["aa11", "bb22"]}))
+        (self.data / f"config/cd/22/{cdn}").write_text(text.config_text({"archives": ["aa11", "bb22"], "file-index": ["ee55", "10"]}))
         if self.indexed:
             (self.data / "indices/aa11.index").write_bytes(formats.write_archive_index([(e, n, o) for e, o, n in sorted(self.indexed)], offset_bytes=4))
             (self.data / "indices/bb22.index").write_bytes(b"malformed")
-        (self.top / ".build.info").write_text(f"Product!STRING:0|BuildKey!HEX:16|CDNKey!HEX:16\nwow|{build}|{cdn}\n")
+        (self.top / ".build.info").write_text(f"Product!STRING:0|BuildKey!HEX:16|CDNKey!HEX:16|CDNHosts!STRING:0|CDNPath!STRING:0\nwow|{build}|{cdn}|one.test two.test|tpr/x\n")
         return f"file://{self.top}"
 
 
@@ -161,3 +161,13 @@ def test_static_container(spark, tmp_path):
     (tmp_path / ".build.info").write_text("not even a table")
     archive = catalog.open_archive(spark, f"file://{tmp_path}")
     assert archive.encoding is None and {r.path: bytes(r.data) for r in archive.contents().collect() if r.error is None} == {"a/one": b"one" * 200, "a/two": b"two" * 300, "loose": b"loose" * 10}
+
+
+def test_inspect_and_places(spark, tmp_path):
+    b = Builder(tmp_path)
+    pairs = {p: b.store(d) for p, d in {"x/a.bin": b"MD20 is cut short" * 9, "x/b.txt": b"plain text" * 9}.items()}
+    b.field("root", b.store(formats.write_install([("all", 1, b"\xff")], [(p, c, 9) for p, (c, _) in pairs.items()])))
+    archive = catalog.open_archive(spark, b.finish())
+    assert (archive.hosts, archive.remote_path, archive.file_index) == (["one.test", "two.test"], "tpr/x", "ee55")
+    seen = [archive.inspect(p).first() for p in ("x/a.bin", "x/b.txt", "no")]
+    assert [(r.kind, r.error is None) for r in seen] == [("creature", False), ("unknown", True), (None, False)]

@@ -81,3 +81,30 @@ def test_batches_and_files(spark):
     wanted = spark.createDataFrame([(1, "A.skin"), (2, "no")], "key int, path string")
     blobs = spark.createDataFrame([("a.SKIN", bytearray(b"s"))], "path string, blob binary")
     assert {r.key: r.sibling for r in content.siblings(wanted, blobs, by="path").select("key", "sibling").collect()} == {1: b"s", 2: None}
+
+
+def test_scaling_factors():
+    """Entries by hand: a run of them, what isn't one, three of those in a row, and files cut short."""
+
+    def entry(text, tag=0):
+        return (text + b"\0").ljust(len(text) // 4 * 4 + 4, b"\0") + struct.pack("<I8x", tag)
+
+    head = bytearray(0x270)
+    struct.pack_into("<I", head, 0x78, 0x260)
+    struct.pack_into("<I", head, 0x268, 0x270)
+    none = bytes([7]) * 16
+    body = entry(b"SF_0 * 2") + entry(b"", 6) + none + entry(b"Table(34,1)", 5) + none * 3 + entry(b"unseen")
+    assert list(preview.scaling_factors(bytes(head) + body)) == [(0, "SF_0 * 2"), (1, ""), (3, "Table(34,1)")]
+    assert list(preview.scaling_factors(bytes(head) + entry(b"a", 4) + entry(b"bcd"))) == [(1, "bcd")]
+    many = list(preview.scaling_factors(bytes(head) + entry(b"abcd") * 90))
+    assert len(many) == 80
+    for n in (0, 100, 0x268, 0x270, 0x275):
+        assert list(preview.scaling_factors((bytes(head) + body)[:n])) == []
+    struct.pack_into("<I", head, 0x268, 0x100)
+    assert list(preview.scaling_factors(bytes(head) + body)) == []
+
+
+def test_inspected(spark):
+    rows = {"a": blp(2, 0, 0, 4, 4, struct.pack("<HHI", 0xF800, 0x001F, 0)), "b": b"BLP2", "c": b"", "d": b"what", "e": None, "f": b"MD20"}
+    got = {r.path: (r.kind, r.summary, r.error is None) for r in content.inspected(spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in rows.items()], "path string, blob binary")).collect()}
+    assert got == {"a": ("blp", "4x4", True), "b": ("blp", None, False), "c": ("empty", None, True), "d": ("unknown", None, True), "e": (None, None, True), "f": ("creature", None, False)}
