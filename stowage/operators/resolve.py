@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,27 +80,32 @@ def resolve(names: DataFrame, entries: DataFrame, encoding: DataFrame | None, in
     return found.withColumn("error", error)
 
 
-def longest_prefix(paths: DataFrame, packages: DataFrame, path: str = "path", package: str = "package", key: str = "package_id") -> DataFrame:
+def longest_prefix(paths: DataFrame, packages: DataFrame, path: str = "path", package: str = "package", key: str = "package_id", on: Sequence[str] = ()) -> DataFrame:
     """paths with the key of the longest package that is a true prefix (case-sensitive, at any character), else null.
 
-    Packages are a dimension. Where they are few (see small()) and of at most MOST_LENGTHS lengths, each length is a
+    on: columns of both that must be equal too, such as the file that a path and its packages came from. Packages are a dimension. Where they are few (see small()) and of at most MOST_LENGTHS lengths, each length is a
     broadcast join by equality and nothing is shuffled. Else a path becomes a row per length that some package has.
     """
     # at most as many as the longest package has characters
     lengths = sorted(r[0] for r in packages.select(F.length(package)).distinct().collect() if r[0])
     if not lengths:
         return paths.withColumn(key, F.lit(None).cast(packages.schema[key].dataType))
-    dims = first_wins(packages.select(F.col(package).alias("_p"), F.col(key).alias("_k")), ["_p"], ["_k"])
+    same = [f"_on{k}" for k in range(len(on))]
+    dims = first_wins(packages.select(*[F.col(c).alias(s) for c, s in zip(on, same, strict=True)], F.col(package).alias("_p"), F.col(key).alias("_k")), [*same, "_p"], ["_k"])
     if len(lengths) <= MOST_LENGTHS and dims.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         out = paths
         for n in lengths:
-            own = F.broadcast(dims.filter(F.length("_p") == n).select(F.col("_p").alias(f"_p{n}"), F.col("_k").alias(f"_k{n}")))
-            out = out.join(own, F.when(F.length(path) > n, F.substring(path, 1, n)) == F.col(f"_p{n}"), "left").drop(f"_p{n}")
+            own = F.broadcast(dims.filter(F.length("_p") == n).select(*same, F.col("_p").alias(f"_p{n}"), F.col("_k").alias(f"_k{n}")))
+            fits = F.when(F.length(path) > n, F.substring(path, 1, n)) == F.col(f"_p{n}")
+            for c, s in zip(on, same, strict=True):
+                fits &= F.col(c) == F.col(s)
+            out = out.join(own, fits, "left").drop(f"_p{n}", *same)
         return out.select(*paths.columns, F.coalesce(*[f"_k{n}" for n in reversed(lengths)]).alias(key))
     rows = paths.withColumn("_row", F.struct(*paths.columns)).select("_row")
     text = F.col(f"_row.{path}")
     each = rows.select("_row", F.explode_outer(F.filter(F.array(*map(F.lit, lengths)), lambda n: n < F.length(text))).alias("_n"))
-    found = each.withColumn("_p", F.substring(text, F.lit(1), F.col("_n"))).join(small(dims), "_p", "left")
+    each = each.withColumns({"_p": F.substring(text, F.lit(1), F.col("_n"))} | {s: F.col(f"_row.{c}") for c, s in zip(on, same, strict=True)})
+    found = each.join(small(dims), [*same, "_p"], "left")
     best = found.groupBy("_row").agg(F.max_by("_k", F.when(F.col("_k").isNotNull(), F.col("_n"))).alias(key))
     counts = rows.groupBy("_row").count()  # repeated rows stay repeated
     return best.join(counts, "_row").select("_row.*", key, F.explode(F.array_repeat(F.lit(0), F.col("count").cast("int"))).alias("_")).drop("_")

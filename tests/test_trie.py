@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from stowage.operators import resolve
 from stowage.sources import formats, trie
 
 
@@ -28,6 +29,28 @@ def test_root_resolution(spark):
     assert formats.root_kind(blob) == "trie"
 
 
+def test_roots_are_resolved_by_themselves(spark):
+    """Two roots whose numbers of packages, names and chains clash, and a path that both have."""
+    a, b, c, d = (bytes([k] * 16) for k in (1, 2, 3, 4))
+    own = [
+        trie.write_trie_root(["base/en", "frFR.stormdata"], {"one": [("base/en", a)], "two": [("frFR.stormdata", b)]}, ["one", "two"]),
+        trie.write_trie_root(["frFR.stormdata"], {"zero": [("frFR.stormdata", c)], "two": [("frFR.stormdata", d)]}, ["two", "zero"]),
+        trie.write_trie_root(["base"], {"en/one": [("base", d)]}, ["en/one"]),
+    ]
+    df = spark.createDataFrame([(f"r{k}", bytearray(x)) for k, x in enumerate(own)], "file string, blob binary")
+    found = sorted((r.path, r.status, bytes(r.ckey), r.locale) for r in trie.trie_entries(df, strict=True).collect())
+    assert found == [("base/en/one", "ok", a, 0xFFFFFFFF), ("base/en/one", "ok", d, 0xFFFFFFFF), ("frFR.stormdata/two", "ok", b, 16), ("frFR.stormdata/two", "ok", d, 16), ("frFR.stormdata/zero", "ok", c, 16)]
+
+
+@pytest.mark.parametrize("lengths", [0, 32])
+def test_longest_prefix_within_a_file(spark, monkeypatch, lengths):
+    monkeypatch.setattr(resolve, "MOST_LENGTHS", lengths)
+    packages = spark.createDataFrame([("x", "a", 0), ("x", "a/b", 1), ("y", "a", 7), ("z", "q", 3)], "file string, package string, package_id int")
+    paths = spark.createDataFrame([("x", "a/b/c"), ("y", "a/b/c"), ("y", "a/b/c"), ("z", "a/b/c")], "file string, path string")
+    found = [tuple(r) for r in resolve.longest_prefix(paths, packages, on=["file"]).sort("file").collect()]
+    assert found == [("x", "a/b/c", 1), ("y", "a/b/c", 7), ("y", "a/b/c", 7), ("z", "a/b/c", None)]
+
+
 def test_hostile_tries_are_malformed():
     good = trie.write_trie_root(["p"], {"n": [("p", bytes(16))]}, ["n"])
     rng = random.Random(2)
