@@ -15,20 +15,49 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles; a text of fewer words is one shingle, one without words has none."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word of a text, in their order."""
     from xxhash import xxh64_intdigest as hashed
 
     words = words_of(text) if text else []
-    own = np.fromiter((hashed(w, SEED) for w in words), np.uint64, len(words))
-    if not len(own):
-        return own
-    n = max(1, len(own) - width + 1)
+    return np.fromiter((hashed(w, SEED) for w in words), np.uint64, len(words))
+
+
+def in_order(own: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """The hash of the shingle at each place of a text whose words have these hashes."""
+    n = max(1, len(own) - width + 1) if len(own) else 0
     h = np.zeros(n, np.uint64)
     for k in range(min(width, len(own))):
         h = (h ^ own[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return np.unique(h)
+    return h
+
+
+def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles; a text of fewer words is one shingle, one without words has none."""
+    return np.unique(in_order(word_hashes(text), width))
+
+
+def looked_up(own: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The numbers of hashes in a table (sorted hashes, numbers); 0 for those that it hasn't."""
+    if not len(known[0]):
+        return np.zeros(len(own), np.int64)
+    at = np.searchsorted(known[0], own)
+    at[at == len(known[0])] = 0
+    return np.where(known[0][at] == own, known[1][at], 0)
+
+
+def among(own: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """np.isin() of sorted `known`, which a few hashes at a time needn't sort again."""
+    return looked_up(own, (known, np.ones(len(known), np.int64))) > 0
+
+
+def weighed_set(text: str | None, words: tuple[np.ndarray, np.ndarray], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_set(), and for each shingle the sum of its words' weights, which words (sorted hashes, whole numbers) gives."""
+    own = word_hashes(text)
+    s, at = np.unique(in_order(own, width), return_index=True)
+    sums = np.append(0, np.cumsum(looked_up(own, words)))
+    return s, sums[np.minimum(at + width, len(own))] - sums[at]
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> float:
@@ -37,17 +66,12 @@ def similar(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float = LEAST) -> np.ndarray:
+def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float = LEAST, weights: np.ndarray | int = 0) -> np.ndarray:
     """The first shingles of a set in one order of all shingles, uncommon ones first: two sets of n and m shingles whose
-    similarity is at least `least` share least * n, so among the first n - ceil(least * n) + 1 of each is a shared one."""
+    similarity is at least `least` share least * n, so among the first n - ceil(least * n) + 1 of each is a shared one.
+    The order is by count in common, then by weight, then by hash; all three must follow from the shingle alone."""
     n = len(own)
-    known, counts = common
-    often = np.zeros(n, np.int64)
-    if len(known):
-        at = np.searchsorted(known, own)
-        at[at == len(known)] = 0
-        often = np.where(known[at] == own, counts[at], 0)
-    return own[np.lexsort((own, often))][: n - int(np.ceil(least * n - 1e-9)) + 1]
+    return own[np.lexsort((own, np.broadcast_to(weights, n), looked_up(own, common)))][: n - int(np.ceil(least * n - 1e-9)) + 1]
 
 
 def parities(own: np.ndarray) -> np.ndarray:

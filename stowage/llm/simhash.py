@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, cut, modest, rows, sieve, trim
 from .components import connected
-from .shingles import LEAST, SHINGLE, differing, may_be, parities, partners, prefix, shingle_set, similar, words_of
+from .shingles import LEAST, SHINGLE, among, differing, in_order, may_be, parities, partners, prefix, shingle_set, similar, weighed_set, word_hashes, words_of
 
 #: Words per shingle, seed and radius of the defaults; white space that parts words; variants written out at once.
 WORDS, SEED, RADIUS, AT_ONCE = 4, 42, 4, 1 << 22
@@ -232,8 +232,12 @@ SAMPLE, COMMON, HOT = 8192, 4, 32
 #: Members up to which a bucket gives all its pairs; texts of a block of a larger one; ranks of partners taken first and
 #: how many times as far each next round goes.
 SMALL, BLOCK_TEXTS, FIRST, FURTHER = 8, 2048, 4, 64
-#: Groups of fewer texts are dealt into blocks of about FEW_TEXTS, up to FEW_BLOCKS of them, for the sake of more tasks.
-FEW_TEXTS, FEW_BLOCKS = 128, 16
+#: Groups of fewer texts are dealt into blocks of about FEW_TEXTS, up to FEW_BLOCKS of them, for the sake of more tasks;
+#: where all pairs would give more than MOST_TASKS such blocks, these are larger, as each text goes to a row of blocks.
+FEW_TEXTS, FEW_BLOCKS, MOST_TASKS = 128, 16, 1024
+#: Rounds in which shingles of large buckets go to the end of the order; rows of such buckets, and their share of the texts,
+#: that make one worth while; and shingles of a round. What is left goes to blocks.
+ROUNDS, WORTH, SHARE, MOST_LATE = 4, 1 << 12, 0.25, 1 << 18
 PAIR = "a bigint, b bigint"
 
 
@@ -242,59 +246,79 @@ def text_hash(text: str) -> F.Column:
     return F.when(F.col(text).rlike(r"[^ \t-\r]"), F.xxhash64(F.col(text))).otherwise(F.lit(0).cast("bigint"))
 
 
-def common_shingles(texts: DataFrame, n: int, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample of about SAMPLE distinct of n texts (h, text), in order, and their counts.
-    They only set the order in which prefix() takes shingles and how buckets are dealt: any order finds the same pairs,
-    this one keeps passages that many texts hold apart."""
+def common_shingles(texts: DataFrame, n: int, width: int = SHINGLE) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Shingles that are common in a sample of about SAMPLE distinct of n texts (h, text), in order, and their counts; and
+    words that are common there, with weights that grow with the logarithm of their counts. They only set the order in
+    which prefix() takes shingles and how buckets are dealt: any order finds the same pairs. This one keeps passages that
+    many texts hold apart, and takes shingles of rare words first: a sample doesn't show a shingle that one text in some
+    thousands has, and its bucket would grow with the input, but its words are common ones."""
 
     def shingled(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
             for (t,) in rows(b):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width).view(np.int64))], ["w"])
+                own = word_hashes(t)
+                for word, (w, n) in ((False, np.unique(in_order(own, width), return_counts=True)), (True, np.unique(own, return_counts=True))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), word)), pa.array(w.view(np.int64)), pa.array(n if word else np.ones(len(w), np.int64))], ["word", "w", "n"])
 
     sample = texts.filter(F.pmod(F.xxhash64("h"), F.lit(max(1, n // SAMPLE))) == 0).groupBy("h").agg(F.first("text").alias("text"))
-    counts = sample.select("text").mapInArrow(shingled, "w bigint").groupBy("w").count().filter(F.col("count") >= COMMON)
-    found = np.array([tuple(r) for r in counts.orderBy(F.desc("count"), "w").limit(1 << 16).collect()], np.int64).reshape(-1, 2)
-    w = found[:, 0].copy().view(np.uint64)
-    order = np.argsort(w)
-    return w[order], found[order, 1]
+    counts = cut(sample.select("text").mapInArrow(shingled, "word boolean, w bigint, n bigint").groupBy("word", "w").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON))
 
+    def most(word: bool) -> tuple[np.ndarray, np.ndarray]:
+        found = np.array([tuple(r) for r in counts.filter(F.col("word") == word).select("w", "n").orderBy(F.desc("n"), "w").limit(1 << 16).collect()], np.int64).reshape(-1, 2)
+        w = found[:, 0].copy().view(np.uint64)
+        order = np.argsort(w)
+        return w[order], found[order, 1]
 
-def prints_of(texts: DataFrame, common, width: int, least: float) -> DataFrame:
+    words, times = most(True)
+    return most(False), (words, np.rint(8 * np.log2(times)).astype(np.int64))
+
+
+def prints_of(texts: DataFrame, shared, width: int, least: float) -> DataFrame:
     """(h, n, fp, bits, p) of (h, text): size, SimHash, parities and prefix of a text's shingle set; a text that a task has
-    seen before is left out there, so that a hot one comes once a task."""
+    seen before is left out there, so that a hot one comes once a task. shared: common_shingles() as a broadcast."""
 
     def made(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def own() -> Iterator[tuple]:
             seen: set[int] = set()
+            common, words = shared.value
             for b in found:
                 for h, t in rows(b):
                     if h not in seen:
                         seen.add(h)
-                        s = shingle_set(t, width)
+                        s, weights = weighed_set(t, words, width)
                         fp = np.packbits(2 * bit_sums(s) > len(s)).view(">i8")[0]
-                        yield h, len(s), int(fp), parities(s).tobytes(), prefix(s, common.value, least).tobytes()
+                        yield h, len(s), int(fp), parities(s).tobytes(), prefix(s, common, least, weights).tobytes()
 
         yield from batches(own(), pa.schema([("h", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bits", pa.binary()), ("p", pa.binary())]))
 
     return texts.mapInArrow(made, "h bigint, n int, fp bigint, bits binary, p binary")
 
 
-def postings(prints: DataFrame, hot: np.ndarray, wanted: bool) -> DataFrame:
-    """(w, h, n) for every shingle w of the prefixes that is hot, or isn't, as wanted."""
+def postings(prints: DataFrame, hot: np.ndarray, wanted: bool, near=None) -> DataFrame:
+    """(w, h, n) for every shingle w of the prefixes that is hot, or isn't, as wanted; near: a sieve that w must pass too."""
 
     def spread(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
             for a in range(0, b.num_rows, 256):
                 h, n, p = (c.to_pylist() for c in b.slice(a, 256).columns)
                 w, many = np.frombuffer(b"".join(p), np.uint64), [len(x) // 8 for x in p]
-                at = np.flatnonzero(np.isin(w, hot) == wanted)
+                at = np.flatnonzero((among(w, hot) == wanted) & (near(w) if near else True))
                 cols = w[at].view(np.int64), np.repeat(np.array(h, np.int64), many)[at], np.repeat(np.array(n, np.int32), many)[at]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["w", "h", "n"])
 
     return prints.select("h", "n", "p").mapInArrow(spread, "w bigint, h bigint, n int")
 
 
+def without(posted: DataFrame, taken: np.ndarray) -> DataFrame:
+    """Rows whose w, the first column, isn't one of these shingles."""
+
+    def left(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            yield b.filter(pa.array(~among(b.column(0).to_numpy().view(np.uint64), taken)))
+
+    return posted.mapInArrow(left, posted.schema)
+
+
 def bucket_pairs(w: np.ndarray, h: np.ndarray, n: np.ndarray, least: float = LEAST) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """For rows in order of (w, n) with whole buckets w: all pairs of h from a bucket of up to SMALL members, if their sizes
     n allow the similarity (False); the rows (w, h) of a larger bucket (True)."""
@@ -402,16 +426,70 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, least: fl
     return cut(pairs.select("a", "b", "za", "zb").mapInArrow(judged, PAIR + ", good boolean"), bare=True)
 
 
+def mixed(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(w, h, root) of (w, h), and (w, hub, all) of the buckets w whose texts aren't all of one group: the largest group and
+    how many texts there are."""
+    rooted = cut(members.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
+    groups = rooted.groupBy("w", "root").agg(F.count("*").alias("m"))
+    hubs = groups.groupBy("w").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("hub")).filter("all > most")
+    return rooted, cut(hubs.select("w", "hub", "all"))
+
+
+def later(late: np.ndarray, counts: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """common with further shingles; of two counts the greater holds."""
+    w, c = np.append(common[0], late), np.append(common[1], counts)
+    order = np.lexsort((c, w))
+    w, c = w[order], c[order]
+    last = np.append(w[1:] != w[:-1], True) if len(w) else np.zeros(0, bool)
+    return w[last], c[last]
+
+
+def holding(members: DataFrame, late: np.ndarray) -> DataFrame:
+    """(h) of (w, h): the texts of these buckets."""
+
+    def held(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(among(b.column(0).to_numpy().view(np.uint64), late)))], ["h"])
+
+    return cut(members.select("w", "h").mapInArrow(held, "h bigint").distinct())
+
+
+def renewed(texts: DataFrame, affected: DataFrame, shared, taken: np.ndarray, width: int, least: float) -> DataFrame:
+    """(w, h, n, late) of the affected texts h: the shingles that come into their prefixes as the order changes, and (late)
+    those of the prefixes that are taken anyway. shared: the order before, the order now and the words' weights."""
+    near = sieve(affected, "h")
+
+    def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple]:
+            seen: set[int] = set()
+            before, now, words = shared.value
+            for b in parts:
+                for k in np.flatnonzero(near(b.column(0).to_numpy())).tolist():
+                    h = b.column(0)[k].as_py()
+                    if h not in seen:
+                        seen.add(h)
+                        s, weights = weighed_set(b.column(1)[k].as_py(), words, width)
+                        p = prefix(s, now, least, weights)
+                        late = among(p, taken)
+                        for w, x in ((p[late], True), (np.setdiff1d(p[~late], prefix(s, before, least, weights), assume_unique=True), False)):
+                            yield from ((w, h, len(s), x) for w in w.view(np.int64).tolist())
+
+        yield from batches(made(), pa.schema([("w", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("late", pa.bool_())]), most_rows=1 << 16)
+
+    return cut(texts.mapInArrow(found, "w bigint, h bigint, n int, late boolean"))
+
+
 def blocks(members: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
     """(w, i, j, first, out, h, n, bits) of (w, h): the tasks (w, i, j) in which each two texts of a bucket meet that aren't
     both of its largest group. Buckets with the same largest group are taken together, as copies share many shingles, and
     w names that group; what isn't of it is out. Block i of those (first) meets block j of all."""
-    rooted = cut(members.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
-    groups = rooted.groupBy("w", "root").agg(F.count("*").alias("m"))
-    hubs = groups.groupBy("w").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("hub")).filter("all > most")
-    texts = cut(rooted.join(cut(hubs.select("w", "hub")), "w").select(F.col("hub").alias("w"), "h", (F.col("root") != F.col("hub")).alias("out")).distinct())
-    parts = lambda n: F.greatest(F.ceil(n / BLOCK_TEXTS), F.least(F.ceil(n / FEW_TEXTS), F.lit(FEW_BLOCKS))).cast("int")
-    sizes = cut(texts.groupBy("w").agg(parts(F.count("*")).alias("nj"), parts(F.count_if("out")).alias("ni")))
+    rooted, hubs = mixed(members, roots)
+    texts = cut(rooted.join(hubs, "w").select(F.col("hub").alias("w"), "h", (F.col("root") != F.col("hub")).alias("out")).distinct())
+    sizes = cut(texts.groupBy("w").agg(F.count("*").alias("nj"), F.count_if("out").alias("ni")))
+    pairs = sizes.agg(F.sum(F.col("ni").cast("double") * F.col("nj"))).first()[0] or 0
+    few = min(BLOCK_TEXTS, max(FEW_TEXTS, int((pairs / MOST_TASKS) ** 0.5)))
+    parts = lambda n: F.greatest(F.ceil(n / BLOCK_TEXTS), F.least(F.ceil(n / few), F.lit(FEW_BLOCKS))).cast("int")
+    sizes = sizes.select("w", parts(F.col("ni")).alias("ni"), parts(F.col("nj")).alias("nj"))
     placed = texts.join(sizes, "w").join(known.select("h", "n", "bits"), "h")
     at = lambda n: F.pmod(F.xxhash64("h"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -453,12 +531,14 @@ def text_links(texts: DataFrame, n: int, width: int = SHINGLE, least: float = LE
     Links come in three steps, and every one is verified on the whole texts. First, ball hashing: SimHash fingerprints
     within RADIUS bits, equal ones included. At a similarity of 0.8 fingerprints differ in 10 bits or so, so an exact way
     follows for the rest: two such texts share a shingle of their prefixes (see prefix()), and pairs of buckets of up to
-    SMALL texts are all verified that sizes and parities don't rule out. In larger buckets (and those of shingles that
-    are hot in a sample) every text outside the largest group is held against all others, in blocks: in each round its
+    SMALL texts are all verified that sizes and parities don't rule out. Shingles of larger buckets that hold more than
+    one group, such as a passage that many texts quote, then go to the end of the order, where the sample would have put
+    them had it been larger: only texts that had them in their prefixes take other shingles, and only buckets of these are
+    new. In the large buckets that remain (and those of shingles that are hot in a sample) every text outside the largest group is held against all others, in blocks: in each round its
     next partners, of those that may be similar and aren't joined yet, are verified, until none is left.
     """
-    common = common_shingles(texts, n, width)
-    shared = texts.sparkSession.sparkContext.broadcast(common)
+    common, words = common_shingles(texts, n, width)
+    shared = texts.sparkSession.sparkContext.broadcast((common, words))
     hot = common[0][common[1] >= HOT]
     prints = cut(prints_of(texts, shared, width, least))
     known = cut(prints.groupBy("h").agg(*[F.first(c).alias(c) for c in ("n", "fp", "bits")]))
@@ -475,7 +555,30 @@ def text_links(texts: DataFrame, n: int, width: int = SHINGLE, least: float = LE
         members = members.unionByName(postings(prints, hot, True).select("w", "h").distinct())
     judged = verified(pairs, texts, width, least)
     roots = connected(judged.filter("good")).withColumnRenamed("node", "h")
-    placed = blocks(cut(members), known, roots)
+    members, taken, extra = cut(members), hot, []
+    for _ in range(ROUNDS):
+        hubs = without(mixed(members, roots)[1].select("w", "all"), taken)
+        if (hubs.agg(F.sum("all")).first()[0] or 0) < max(WORTH, SHARE * n):
+            break
+        late = hubs.orderBy(F.desc("all"), "w").limit(MOST_LATE).toArrow()
+        counts = np.maximum(1, late.column(1).to_numpy() * SAMPLE // max(n, SAMPLE))
+        late = late.column(0).to_numpy().view(np.uint64)
+        before, common, late = common, later(late, counts, common), np.sort(late)
+        taken = np.union1d(taken, late)
+        fresh = renewed(texts, holding(members, late), texts.sparkSession.sparkContext.broadcast((before, common, words)), taken, width, least)
+        new = fresh.filter("not late").select("w", "h", "n")
+        posted = postings(prints, taken, False, sieve(new, "w")).unionByName(new)
+        for x in extra:
+            posted = posted.unionByName(without(x, taken))
+        extra.append(new)
+        found = cut(proposed(posted, least))
+        pairs = cut(plausible(found.filter("not many").select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"), known, least), bare=True)
+        if pairs.take(1):
+            judged = judged.unionByName(verified(pairs, texts, width, least))
+            roots = connected(judged.filter("good")).withColumnRenamed("node", "h")
+        members = without(members, late).unionByName(fresh.filter("late").select("w", "h")).unionByName(found.filter("many").select(F.col("a").alias("w"), F.col("b").alias("h")))
+        members = cut(members.distinct(), bare=True)
+    placed = blocks(members, known, roots)
     lo, hi = 0, FIRST
     while placed.take(1):
         found = cut(further(placed, roots, lo, hi, least), bare=True)

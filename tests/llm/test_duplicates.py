@@ -209,6 +209,27 @@ def test_a_star_in_either_order(spark):
         assert got == want == {0}
 
 
+def test_passages_that_many_texts_quote(spark, monkeypatch):
+    """Passages too rare for the sample: their shingles leave the prefixes, so that texts that only share one aren't held
+    against each other in blocks; copies of such texts, and copies that are little but a passage, are found as before."""
+    for name, value in (("SAMPLE", 16), ("HOT", 8), ("WORTH", 1), ("MOST_LATE", 1 << 18)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rows, dealt = [], simhash.blocks
+    monkeypatch.setattr(simhash, "blocks", lambda *a: rows.append((found := dealt(*a)).count()) or found)
+    rng, texts = random.Random(23), []
+    for k in range(8):
+        passage = [f"p{k}-{j}" for j in range(25)]
+        for _ in range(30):
+            own = [[f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 90))] for _ in range(2)]
+            texts.append(own[0] + passage + own[1])
+            if rng.random() < 0.2:
+                texts.append([*texts[-1][:-12], *(f"u{rng.randrange(10**6)}" for _ in range(12))])
+        texts += [[*passage, f"end{j}"] for j in range(12)]
+    got, want = kept(spark, rng.sample(texts, len(texts)))
+    assert got == want and len(want) == 8 * 31
+    assert sum(rows) < len(texts) / 2, rows
+
+
 def test_replaced_tails(spark):
     """A block of a text is replaced, as much as a similarity of 0.8 allows: recall is 1 at every size."""
     rng, texts = random.Random(18), []
