@@ -309,12 +309,13 @@ def postings(prints: DataFrame, hot: np.ndarray, wanted: bool, near=None) -> Dat
     return prints.select("h", "n", "p").mapInArrow(spread, "w bigint, h bigint, n int")
 
 
-def without(posted: DataFrame, taken: np.ndarray) -> DataFrame:
-    """Rows whose w, the first column, isn't one of these shingles."""
+def without(posted: DataFrame, taken: np.ndarray, near=None) -> DataFrame:
+    """Rows whose w, the first column, isn't one of these shingles; near: a sieve that w must pass too."""
 
     def left(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
-            yield b.filter(pa.array(~among(b.column(0).to_numpy().view(np.uint64), taken)))
+            w = b.column(0).to_numpy().view(np.uint64)
+            yield b.filter(pa.array(~among(w, taken) & (near(w) if near else True)))
 
     return posted.mapInArrow(left, posted.schema)
 
@@ -567,9 +568,10 @@ def text_links(texts: DataFrame, n: int, width: int = SHINGLE, least: float = LE
         taken = np.union1d(taken, late)
         fresh = renewed(texts, holding(members, late), texts.sparkSession.sparkContext.broadcast((before, common, words)), taken, width, least)
         new = fresh.filter("not late").select("w", "h", "n")
-        posted = postings(prints, taken, False, sieve(new, "w")).unionByName(new)
+        near = sieve(new, "w")  # a bucket without a new row has given its pairs in a round before
+        posted = postings(prints, taken, False, near).unionByName(new)
         for x in extra:
-            posted = posted.unionByName(without(x, taken))
+            posted = posted.unionByName(without(x, taken, near))
         extra.append(new)
         found = cut(proposed(posted, least))
         pairs = cut(plausible(found.filter("not many").select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"), known, least), bare=True)

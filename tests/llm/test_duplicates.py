@@ -230,6 +230,33 @@ def test_passages_that_many_texts_quote(spark, monkeypatch):
     assert sum(rows) < len(texts) / 2, rows
 
 
+def test_a_round_sends_only_buckets_with_new_rows(spark, monkeypatch):
+    """Texts of several passages: when one's shingles leave the prefixes another's come, so that there are rounds. A row goes
+    out again only where its bucket has a row that hasn't gone out before."""
+    for name, value in (("SAMPLE", 16), ("HOT", 8), ("WORTH", 1)):
+        monkeypatch.setattr(simhash, name, value)
+    rounds, before, propose = [], set(), simhash.proposed
+
+    def proposed(posted, *a):
+        sent = {(r.w, r.h) for r in posted.select("w", "h").collect()}
+        new = {w for w, _ in sent - before}
+        rounds.append((len(sent), sum(w not in new for w, _ in sent)))
+        before.update(sent)
+        return propose(posted, *a)
+
+    monkeypatch.setattr(simhash, "proposed", proposed)
+    rng, texts = random.Random(29), []
+    passages = [[f"p{k}-{j}" for j in range(25)] for k in range(12)]
+    for _ in range(120):
+        own = [[f"v{rng.randrange(10**6)}" for _ in range(20)] for _ in range(2)]
+        texts.append([*own[0], *(w for k in rng.sample(range(12), 3) for w in passages[k]), *own[1]])
+        if rng.random() < 0.2:
+            texts.append([*texts[-1][:-10], *(f"u{rng.randrange(10**6)}" for _ in range(10))])
+    got, want = kept(spark, rng.sample(texts, len(texts)))
+    assert got == want and len(want) == 120
+    assert len(rounds) > 2 and not any(stale for _, stale in rounds), rounds
+
+
 def test_replaced_tails(spark):
     """A block of a text is replaced, as much as a similarity of 0.8 allows: recall is 1 at every size."""
     rng, texts = random.Random(18), []
